@@ -37,13 +37,14 @@ def decode(messages: DataFrame, value: str = "value") -> DataFrame:
         _DECODING_SCHEMA,
         {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _UNPARSED},
     )
-    flat = messages.select(payload.alias("payload"), event.alias("event")).select(
-        "payload", "event.*"
-    )
-    named = flat.withColumnsRenamed(EVENT_TO_COLUMN)
+    # A generator is never merged into a later filter, so each message is parsed once
+    # however many conditions are put on its fields.
+    named = messages.select(payload.alias("payload"), F.inline(F.array(event)))
+    named = named.withColumnsRenamed(EVENT_TO_COLUMN)
     moment = parse_time(F.col("event_time"))
+    empty = F.coalesce(F.trim("payload"), F.lit("")) == ""
     error = (
-        F.when(F.col("payload").isNull() | F.col(_UNPARSED).isNotNull(), BAD_JSON)
+        F.when(empty | F.col(_UNPARSED).isNotNull(), BAD_JSON)
         .when(F.col("event_time").isNull(), NO_EVENT_TIME)
         .when(moment.isNull(), BAD_EVENT_TIME)
     )

@@ -15,20 +15,17 @@ def measure(df: DataFrame, name: str) -> Column:
     """Numeric column with NaN turned into null.
 
     Spark orders NaN above every number, so a rule such as `abs(x) > limit` would
-    fire on it.
+    fire on it.  The column is named once only: it may stand for a long expression.
     """
-    column = F.col(name)
-    if isinstance(df.schema[name].dataType, FLOATS):
-        return F.when(~F.isnan(column), column)
+    column, kind = F.col(f"`{name}`"), df.schema[name].dataType
+    if isinstance(kind, FLOATS):
+        return F.nanvl(column, F.lit(None).cast(kind))
     return column
 
 
 def is_missing(df: DataFrame, name: str) -> Column:
     """True for null and, in floating-point columns, for NaN."""
-    column = F.col(f"`{name}`")
-    if isinstance(df.schema[name].dataType, FLOATS):
-        return column.isNull() | F.isnan(column)
-    return column.isNull()
+    return measure(df, name).isNull()
 
 
 def clock(run_ts: datetime | str | None) -> Column:

@@ -74,7 +74,7 @@ def column_modes(df: DataFrame) -> DataFrame:
     distributed count in the columns' own types.
     """
     known = df.select(
-        *[F.when(~is_missing(df, c), F.col(f"`{c}`")).alias(c) for c in df.columns]
+        *[measure(df, c).alias(c) for c in df.columns]
     )
     quoted = [F.col(f"`{c}`") for c in df.columns]
     counts = known.groupingSets([[c] for c in quoted], *quoted).agg(
@@ -106,7 +106,7 @@ def fill(df: DataFrame, values: Mapping[str, object]) -> DataFrame:
         if value is None:
             continue
         kind = df.schema[column].dataType
-        kept = F.when(~is_missing(df, column), F.col(f"`{column}`"))
+        kept = measure(df, column)
         if isinstance(value, float) and isinstance(kind, (T.IntegralType, T.DecimalType)):
             filled[column] = F.coalesce(kept.cast("double"), F.lit(value))
         else:
@@ -143,9 +143,9 @@ def sign_amounts(
     the seed, so it does not change with the partitioning or on a retried task.
     """
     require_columns(df, amount, *key)
-    number = measure(df, amount) if amount in numeric_columns(df) else F.col(
-        f"`{amount}`"
-    ).try_cast("double")
+    number = measure(df, amount)
+    if amount not in numeric_columns(df):
+        number = number.try_cast("double")
     text = F.concat_ws(":", *[F.col(f"`{c}`").cast("string") for c in key])
     withdrawal = hash_share(text, seed) < F.lit(withdrawal_share)
     return df.withColumn(

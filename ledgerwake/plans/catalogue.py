@@ -26,7 +26,6 @@ RUN_TS = "2024-02-01 00:00:00"
 # Event amounts are small, so the stream queries use limits that some of them exceed.
 EVENT_LIMITS = detect.Limits(relative_share=0.5, absolute=200)
 WRITE_ORDER = ["event_time", "l_partkey", "l_suppkey"]
-NUMERIC_TEXT = {"amount": "double", "current_balance": "double"}
 
 
 def _lines(spark, sf_dir):
@@ -168,7 +167,7 @@ def reprocess_profile(spark, sf_dir):
 
 def insert_ignore_first(spark, sf_dir):
     rows = keyed.first_per_key(_lines(spark, sf_dir), ["transaction_id"], WRITE_ORDER)
-    return _plain(rows)
+    return _plain(rows.drop("l_linenumber"))
 
 
 def _raw_table(spark, purpose, **options):
@@ -260,14 +259,14 @@ def _damaged_messages(spark, sf_dir):
     """Messages of the lines, some cut off, some with a bad or absent event time."""
     rows = _gappy(spark, sf_dir)
     gender = F.coalesce("customer_gender", F.lit("?"))
-    line_no = F.substring_index("transaction_id", "-", -1)
+    line_no = F.col("l_linenumber")
     text = events.encode(rows)
     time = F.regexp_replace(text, '"EventTime":"[^"]*"', '"EventTime":"soon"')
     gone = F.regexp_replace(text, '"EventTime":"[^"]*"', '"EventTime":null')
     value = (
-        F.when((gender == "A") & (line_no == "1"), F.substring(text, 1, 40))
-        .when((gender == "B") & (line_no == "2"), time)
-        .when((gender == "F") & (line_no == "3"), gone)
+        F.when((gender == "A") & (line_no == 1), F.substring(text, 1, 40))
+        .when((gender == "B") & (line_no == 2), time)
+        .when((gender == "F") & (line_no == 3), gone)
         .otherwise(text)
     )
     return rows.select(value.cast("binary").alias("value"))
@@ -287,7 +286,7 @@ def load_counts(spark, sf_dir):
     rows = keyed.first_per_key(_lines(spark, sf_dir), ["transaction_id"], WRITE_ORDER)
     folder = work_folder(spark, "load")
     table = InsertIgnoreTable(spark, f"{folder}/raw", RAW_TRANSACTIONS, ["transaction_id"])
-    counts = jobs.load_messages(events.to_messages(rows), table, f"{folder}/rejected")
+    counts = jobs.load_messages(events.to_messages(rows), table, f"{folder}/batch")
     stored = table.read().agg(F.count("*").alias("n_rows"))
     return stored.select(
         *[F.lit(n).cast("bigint").alias(f"n_{stage}") for stage, n in counts.items()], "n_rows"
@@ -323,7 +322,7 @@ def validate_valid(spark, sf_dir):
     stored = validate.narrow(
         valid, "decimal(12,2)", "customer_account_balance", "transaction_amount_inr"
     )
-    return _plain(stored)
+    return _plain(stored.drop("l_linenumber"))
 
 
 def validate_counts(spark, sf_dir):

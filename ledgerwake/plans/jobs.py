@@ -31,24 +31,32 @@ def replay_profiles(transactions: DataFrame, table: UpsertTable, end, run_ts=Non
 
 
 def load_messages(
-    messages: DataFrame, table: InsertIgnoreTable, rejected_path: str
+    messages: DataFrame, table: InsertIgnoreTable, batch_path: str
 ) -> dict[str, int]:
     """Messages into the raw table.  Returns rows read, stored and rejected.
 
-    Unreadable messages and rows that break a constraint go to the rejected path.  The
-    counts are observed while the rows are written, not by jobs of their own.
+    The messages are decoded once, into `batch_path`; key check and load read that copy.
+    What could not be read or breaks a constraint stays there under `accepted=false`.
+    The counts are observed during that write.
     """
     decoded = events.decode(messages)
     checks = {
         "unreadable": F.col("decode_error").isNotNull(),
         **validate.raw_transaction_checks(decoded),
     }
-    valid, rejected = validate.split(decoded, checks)
-    stored, aside = Observation("stored"), Observation("rejected")
-    table.append(valid.observe(stored, F.count("*").alias("n")))
-    file_sink.overwrite(rejected.observe(aside, F.count("*").alias("n")), rejected_path)
-    counts = {"stored": stored.get["n"], "rejected": aside.get["n"]}
-    return {"read": sum(counts.values()), **counts}
+    judged = validate.tag(decoded, checks).withColumn(
+        "accepted", F.size("reject_reasons") == 0
+    )
+    seen = Observation("load")
+    judged.observe(
+        seen,
+        F.count("*").alias("read"),
+        F.count(F.when(F.col("accepted"), 1)).alias("stored"),
+        F.count(F.when(~F.col("accepted"), 1)).alias("rejected"),
+    ).write.mode("overwrite").partitionBy("accepted").parquet(batch_path)
+    batch = messages.sparkSession.read.schema(judged.schema).parquet(batch_path)
+    table.append(batch.filter("accepted"))
+    return seen.get
 
 
 def clean_csv(

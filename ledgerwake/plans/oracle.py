@@ -108,8 +108,11 @@ tops AS (
 ),
 totals AS (
   SELECT customer_id,
-         round(CAST(sum(transaction_amount_inr) AS DOUBLE) / count(transaction_amount_inr), 6)
-           AS avg_transaction,
+         -- Six decimals, half up, in whole numbers: a double can miss an exact tie.
+         sign(sum(transaction_amount_inr))
+           * ((20000 * abs(CAST(sum(transaction_amount_inr) * 100 AS HUGEINT))
+               + count(transaction_amount_inr)) // (2 * count(transaction_amount_inr)))
+           / 1000000.0 AS avg_transaction,
          CAST(max(customer_account_balance) AS DOUBLE) AS max_balance,
          count(*) AS transaction_count
   FROM {source} GROUP BY customer_id

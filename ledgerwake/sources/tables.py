@@ -9,12 +9,15 @@ from pyspark.sql import types as T
 from ledgerwake.fixed_values import RAW_DECIMAL
 
 
+LINE_KEYS = ("l_linenumber", "l_partkey", "l_suppkey")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def line_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines as bank transactions; `l_partkey` and `l_suppkey` tell repeats apart.
+    """Order lines as bank transactions; the line keys tell repeats apart.
 
     Customers join the orders and nations the suppliers first, so the long table takes
     part in one join on the order key and one on the supplier key.
@@ -43,8 +46,7 @@ def line_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
         .cast(RAW_DECIMAL)
         .alias("transaction_amount_inr"),
         F.col("l_shipdate").alias("event_time"),
-        "l_partkey",
-        "l_suppkey",
+        *LINE_KEYS,
     )
 
 
@@ -75,27 +77,25 @@ def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gappy_transactions(transactions: DataFrame) -> DataFrame:
     """Line transactions as doubles with gaps: nulls and NaN placed by other columns."""
-    line_no = F.substring_index("transaction_id", "-", -1)
-    gender = F.col("customer_gender")
+    line_no, gender = F.col("l_linenumber"), F.col("customer_gender")
     return transactions.select(
         "transaction_id",
-        F.when(~((line_no == "2") & (gender == "B")), F.col("customer_id")).alias("customer_id"),
-        F.when(line_no != "4", F.col("customer_dob")).alias("customer_dob"),
-        F.when(line_no != "5", gender).alias("customer_gender"),
-        F.when(~((line_no == "6") & (gender == "M")), F.col("customer_location")).alias(
+        F.when(~((line_no == 2) & (gender == "B")), F.col("customer_id")).alias("customer_id"),
+        F.when(line_no != 4, F.col("customer_dob")).alias("customer_dob"),
+        F.when(line_no != 5, gender).alias("customer_gender"),
+        F.when(~((line_no == 6) & (gender == "M")), F.col("customer_location")).alias(
             "customer_location"
         ),
-        F.when(line_no == "1", None)
-        .when((line_no == "3") & (gender == "A"), F.lit(float("nan")))
+        F.when(line_no == 1, None)
+        .when((line_no == 3) & (gender == "A"), F.lit(float("nan")))
         .otherwise(F.col("customer_account_balance").cast("double"))
         .alias("customer_account_balance"),
-        F.when((line_no == "7") & (gender == "H"), None)
-        .when((line_no == "7") & (gender == "F"), F.lit(float("nan")))
+        F.when((line_no == 7) & (gender == "H"), None)
+        .when((line_no == 7) & (gender == "F"), F.lit(float("nan")))
         .otherwise(F.col("transaction_amount_inr").cast("double"))
         .alias("transaction_amount_inr"),
         "event_time",
-        "l_partkey",
-        "l_suppkey",
+        *LINE_KEYS,
     )
 
 
