@@ -37,7 +37,7 @@ def _gappy(spark, sf_dir):
 
 
 def _events(spark, sf_dir):
-    return tables.event_transactions(tables.table(spark, sf_dir, "events"))
+    return tables.event_transactions(tables.spread(tables.table(spark, sf_dir, "events")))
 
 
 def _plain(df: DataFrame) -> DataFrame:

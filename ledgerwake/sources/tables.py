@@ -9,6 +9,9 @@ from pyspark.sql import types as T
 from ledgerwake.fixed_values import RAW_DECIMAL
 
 
+# A scan gets about one task per this many bytes at best, and one at least per row group.
+BYTES_PER_TASK = 32 * 1024 * 1024
+
 LINE_KEYS = ("l_linenumber", "l_partkey", "l_suppkey")
 
 
@@ -16,20 +19,60 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """Size of a scan as Spark knows it from the file listing."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deals the rows out to all cores when the table is too small to occupy them.
+
+    A large table is left as it is: its scan has tasks enough and a shuffle would only
+    cost.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if estimated_bytes(df) < cores * BYTES_PER_TASK else df
+
+
+def lookup(rows: DataFrame, other: DataFrame, condition) -> DataFrame:
+    """Rows with the one match each has in `other`; broadcast when that is small.
+
+    Spark takes the size of a join as the product of its sides and would rather
+    broadcast a long table than a short join.  As each row finds one partner, the sum of
+    the two is a bound, and it is held against the session's own broadcast limit.
+    """
+    joined = rows.join(other, condition)
+    limit = rows.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    bound = estimated_bytes(rows) + estimated_bytes(other)
+    return F.broadcast(joined) if bound <= _bytes(limit) else joined
+
+
+def _bytes(setting: str) -> int:
+    """Byte count of a setting such as 10485760b or 10m."""
+    units = {"b": 1, "k": 2**10, "m": 2**20, "g": 2**30}
+    number = setting.lower().rstrip("bkmg")
+    unit = setting.lower()[len(number):][:1] or "b"
+    return int(number) * units[unit]
+
+
 def line_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as bank transactions; the line keys tell repeats apart.
 
     Customers join the orders and nations the suppliers first, so the long table takes
     part in one join on the order key and one on the supplier key.
     """
-    holders = table(spark, sf_dir, "orders").join(
-        table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")
+    holders = lookup(
+        table(spark, sf_dir, "orders"),
+        table(spark, sf_dir, "customer"),
+        F.col("o_custkey") == F.col("c_custkey"),
     )
-    places = table(spark, sf_dir, "supplier").join(
-        table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")
+    places = lookup(
+        table(spark, sf_dir, "supplier"),
+        table(spark, sf_dir, "nation"),
+        F.col("s_nationkey") == F.col("n_nationkey"),
     )
     lines = (
-        table(spark, sf_dir, "lineitem")
+        spread(table(spark, sf_dir, "lineitem"))
         .join(holders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(places, F.col("l_suppkey") == F.col("s_suppkey"))
     )
