@@ -73,21 +73,19 @@ def column_modes(df: DataFrame) -> DataFrame:
     Values are counted with one grouping set per column, so a single scan feeds a
     distributed count in the columns' own types.
     """
-    known = df.select(
-        *[measure(df, c).alias(c) for c in df.columns]
-    )
-    quoted = [F.col(f"`{c}`") for c in df.columns]
-    counts = known.groupingSets([[c] for c in quoted], *quoted).agg(
+    # Plain internal names, so that no column of the data can clash with the counts.
+    cells = [f"cell_{i}" for i in range(len(df.columns))]
+    known = df.select(*[measure(df, c).alias(cell) for c, cell in zip(df.columns, cells)])
+    counts = known.groupingSets([[cell] for cell in cells], *cells).agg(
         F.grouping_id().alias("set_id"), F.count("*").alias("n")
     )
-    width = len(df.columns)
     modes = []
-    for position, column in enumerate(quoted):
+    for position, (name, cell) in enumerate(zip(df.columns, cells)):
         # In a grouping id the bit of the one grouped column is 0, all others are 1.
-        own_set = (1 << width) - 1 - (1 << (width - 1 - position))
-        counted = (F.col("set_id") == own_set) & column.isNotNull()
-        rank = F.when(counted, F.struct(-F.col("n"), column))
-        modes.append(F.min_by(column, rank).alias(df.columns[position]))
+        own_set = (1 << len(cells)) - 1 - (1 << (len(cells) - 1 - position))
+        counted = (F.col("set_id") == own_set) & F.col(cell).isNotNull()
+        rank = F.when(counted, F.struct(-F.col("n"), cell))
+        modes.append(F.min_by(cell, rank).alias(name))
     return counts.agg(*modes)
 
 
