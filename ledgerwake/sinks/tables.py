@@ -64,26 +64,21 @@ class KeyedTable:
             writer = writer.partitionBy(*self.partition_by)
         writer.parquet(f"{self.path}/{kind}={number}")
 
-    def _load(self, kind: str, number: int) -> DataFrame:
-        folder = f"{self.path}/{kind}={number}"
-        return (
-            self.spark.read.schema(self.schema)
-            .option("basePath", folder)
-            .parquet(folder)
-            .select(*self.schema.names)
-        )
+    def _load(self, kind: str, numbers: list[int]) -> DataFrame:
+        """Folders of one kind as one scan, with their number as a column."""
+        schema = T.StructType([*self.schema.fields, T.StructField(kind, T.LongType())])
+        folders = [f"{self.path}/{kind}={n}" for n in numbers]
+        reader = self.spark.read.schema(schema).option("basePath", self.path)
+        return reader.parquet(*folders).select(*self.schema.names, kind)
 
     def _base(self) -> DataFrame | None:
         snapshot = self._snapshot()
-        return None if snapshot is None else self._load("snapshot", snapshot)
+        return None if snapshot is None else self._load("snapshot", [snapshot])
 
     def _changes(self) -> DataFrame | None:
         """Rows written after the snapshot, each with its version number."""
-        parts = [
-            self._load("version", n).withColumn("_version", F.lit(n).cast("bigint"))
-            for n in self._open_versions()
-        ]
-        return reduce(DataFrame.unionByName, parts) if parts else None
+        versions = self._open_versions()
+        return self._load("version", versions) if versions else None
 
     def _empty(self) -> DataFrame:
         return self.spark.createDataFrame([], self.schema)
@@ -124,8 +119,16 @@ class InsertIgnoreTable(KeyedTable):
         self._add(rows)
 
     def insert(self, batch: DataFrame, order_by: Sequence[str] = ()) -> None:
-        rows = conform(batch, self.schema)
-        self._add(keyed.insert_ignore(self.read(), rows, self.keys, order_by))
+        """Adds the rows with new keys.
+
+        The batch is read twice, for its keys and for its rows, so let it be a stored or
+        persisted frame when it is costly to compute.
+        """
+        rows = conform(batch, self.schema).na.drop(subset=self.keys)
+        if self._snapshot() is None and not self._open_versions():
+            self._add(keyed.first_per_key(rows, self.keys, order_by))
+        else:
+            self._add(keyed.insert_ignore(self.read(), rows, self.keys, order_by))
 
     def read(self) -> DataFrame:
         """Versions hold disjoint keys, so reading is a plain union without a shuffle."""
@@ -148,14 +151,9 @@ class UpsertTable(KeyedTable):
 
     def read(self) -> DataFrame:
         base, changes = self._base(), self._changes()
-        if changes is None:
-            return self._empty() if base is None else base
         if base is None:
-            latest = keyed.latest_per_key(changes, self.keys, ["_version"])
-            return latest.select(*self.schema.names)
-        return keyed.upsert(
-            base.withColumn("_version", F.lit(-1).cast("bigint")),
-            changes,
-            self.keys,
-            ["_version"],
-        ).select(*self.schema.names)
+            base = self._empty().withColumn("snapshot", F.lit(None).cast("bigint"))
+        base = base.withColumnRenamed("snapshot", "version")
+        if changes is not None:
+            base = keyed.upsert(base, changes, self.keys, ["version"])
+        return base.select(*self.schema.names)

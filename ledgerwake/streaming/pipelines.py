@@ -42,11 +42,16 @@ def start(
 
 
 def fan_out(*steps: Step) -> Callable[[DataFrame, int], None]:
-    """One micro-batch for several sinks.  It is read once and kept for all of them."""
+    """One micro-batch for several sinks.  It is read once and kept for all of them.
+
+    Counting it first tells Spark its true size, so that joins with a large table can
+    broadcast a small batch and leave the table where it is.
+    """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         kept = batch.persist()
         try:
+            kept.count()
             for step in steps:
                 step(kept, batch_id)
         finally:

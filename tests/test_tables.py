@@ -76,3 +76,7 @@ def test_unfinished_write_is_not_read(spark, folder):
     table.insert(rows(spark, ("x", 3)))
     assert content(table) == [("a", 1), ("x", 3)]
     assert table._open_versions() == [0, 2]
+
+
+def test_work_folder_is_below_the_shared_folder(spark, folder):
+    assert folder.startswith(spark.sparkContext.getConf().get("spark.checkpoint.dir") + "/")
