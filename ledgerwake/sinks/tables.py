@@ -121,14 +121,20 @@ class InsertIgnoreTable(KeyedTable):
     def insert(self, batch: DataFrame, order_by: Sequence[str] = ()) -> None:
         """Adds the rows with new keys.
 
-        The batch is read twice, for its keys and for its rows, so let it be a stored or
-        persisted frame when it is costly to compute.
+        The batch is read more than once, for its keys and for its rows, so let it be a
+        stored or persisted frame when it is costly to compute.
         """
         rows = conform(batch, self.schema).na.drop(subset=self.keys)
         if self._snapshot() is None and not self._open_versions():
             self._add(keyed.first_per_key(rows, self.keys, order_by))
-        else:
-            self._add(keyed.insert_ignore(self.read(), rows, self.keys, order_by))
+            return
+        # Only keys between the batch's smallest and greatest can match.  Ids that begin
+        # with a time lie close together, so most older files need not be opened.
+        key = self.keys[0]
+        low, high = rows.agg(F.min(key), F.max(key)).first()
+        if low is not None:
+            near = self.read().filter(F.col(key).between(low, high))
+            self._add(keyed.insert_ignore(near, rows, self.keys, order_by))
 
     def read(self) -> DataFrame:
         """Versions hold disjoint keys, so reading is a plain union without a shuffle."""
@@ -146,6 +152,8 @@ class UpsertTable(KeyedTable):
     def upsert(self, batch: DataFrame, order_by: Sequence[str] = ()) -> None:
         """Adds the batch as a version, at the cost of the batch and not of the table."""
         ordered = batch.na.drop(subset=self.keys)
+        if ordered.isEmpty():
+            return
         rows = keyed.latest_per_key(ordered, self.keys, order_by)
         self._add(conform(rows, self.schema))
 
