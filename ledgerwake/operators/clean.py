@@ -44,20 +44,28 @@ def drop_missing(df: DataFrame) -> DataFrame:
 
 
 def fill_mean(df: DataFrame) -> DataFrame:
-    columns = numeric_columns(df)
+    """Numeric columns that miss something get their mean; all others keep their type."""
+    columns = columns_with_gaps(df, numeric_columns(df))
     if not columns:
         return df
-    row = df.agg(
-        F.struct(*[F.avg(measure(df, c)).cast("double").alias(c) for c in columns]).alias("m")
-    ).first()["m"]
-    return fill(df, {c: row[c] for c in columns})
+    means = df.agg(F.array(*[F.avg(measure(df, c)).cast("double") for c in columns])).first()[0]
+    return fill(df, dict(zip(columns, means)))
 
 
 def fill_median(df: DataFrame) -> DataFrame:
-    medians = exact_quantiles(df, numeric_columns(df), [0.5])
+    """Numeric columns that miss something get their median; all others keep their type."""
+    medians = exact_quantiles(df, columns_with_gaps(df, numeric_columns(df)), [0.5])
     return fill(df, {c: m[0] for c, m in medians.items()})
 
 
+def columns_with_gaps(df: DataFrame, columns: list[str]) -> list[str]:
+    """Those of the columns that miss at least one cell, found in one pass."""
+    if not columns:
+        return []
+    missing = df.agg(F.array(*[F.max(is_missing(df, c)) for c in columns])).first()[0]
+    return [c for c, some in zip(columns, missing) if some]
+
+
 def fill_mode(df: DataFrame) -> DataFrame:
     return fill(df, column_modes(df).first().asDict())
 

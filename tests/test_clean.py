@@ -9,6 +9,8 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from ledgerwake.operators import clean, quantiles, summary
 from ledgerwake.plans import jobs
 from ledgerwake.sources import files as file_source
@@ -47,6 +49,9 @@ def test_strategies(rows):
     assert (mean["e"].n, mean["b"].x, mean["e"].word, mean["a"].empty) == (4.25, 4.25, None, None)
     median = by_key(clean.clean(rows, "fill_median"))
     assert (median["e"].n, median["b"].x, median["a"].empty) == (3.0, 3.0, None)
+    full = rows.withColumn("n", F.coalesce("n", F.lit(0)))
+    assert clean.fill_median(full).schema["n"] == clean.fill_mean(full).schema["n"]
+    assert clean.fill_median(full).schema["n"].dataType.typeName() == "long"
     mode = by_key(clean.clean(rows, "fill_mode"))
     assert (mode["e"].n, mode["b"].x, mode["e"].word, mode["a"].empty) == (1, 1.0, "a", None)
     custom = by_key(clean.fill_custom(rows, {"word": "Unknown", "x": 0, "absent": 1}))
