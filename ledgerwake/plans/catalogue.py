@@ -157,7 +157,11 @@ def reprocess_lookback(spark, sf_dir):
 def reprocess_profile(spark, sf_dir):
     table = _profile_table(spark, "reprocess_profile")
     jobs.replay_profiles(
-        _events(spark, sf_dir), table, F.lit(REPLAY_END).cast("timestamp"), RUN_TS
+        _events(spark, sf_dir),
+        table,
+        F.lit(REPLAY_END).cast("timestamp"),
+        work_folder(spark, "reprocess_rejected"),
+        RUN_TS,
     )
     return _plain(table.read())
 

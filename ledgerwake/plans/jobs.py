@@ -20,12 +20,16 @@ def rebuild_profiles(transactions: DataFrame, table: UpsertTable, run_ts=None) -
     table.overwrite(profile.batch_profile(transactions, run_ts))
 
 
-def replay_profiles(transactions: DataFrame, table: UpsertTable, end, run_ts=None) -> None:
+def replay_profiles(
+    transactions: DataFrame, table: UpsertTable, end, rejected_path: str, run_ts=None
+) -> None:
     """Window profiles up to `end` from a bounded read, upserted into the table.
 
-    Unlike the stream this also reports windows that are still open.
+    Unlike the stream this also reports windows that are still open.  Rows that lack a
+    measure, customer or time go to the rejected path.
     """
-    ready, _ = validate.split(transactions, validate.measure_checks(transactions))
+    ready, rejected = validate.split(transactions, validate.measure_checks(transactions))
+    file_sink.overwrite(rejected, rejected_path)
     rows = profile.reprocess_filter(ready, end)
     table.upsert(profile.window_profile(rows, run_ts=run_ts), ["window_start"])
 

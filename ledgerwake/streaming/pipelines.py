@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -185,12 +186,14 @@ def single_pipeline(
     """One job, two modes: `realtime` detection or `reprocess` of profiles.
 
     For a replay give a fresh checkpoint and a source that starts at the earliest record.
+    It takes rows up to `end`, by default the moment it is started.  Rows that lack what a
+    profile needs cannot be averaged; `jobs.replay_profiles` also stores them.
     """
     if mode == "realtime":
         steps = [alerts_to(alerts, "keep", limits)]
         return start(transactions, "realtime-detection", checkpoint, steps=steps, trigger=trigger)
     if mode == "reprocess":
-        until = F.current_timestamp() if end is None else end
+        until = F.lit(datetime.now(timezone.utc)) if end is None else end
         ready, _ = validate.split(transactions, validate.measure_checks(transactions))
         return start(
             profile_stream(ready, until),

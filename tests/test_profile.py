@@ -5,7 +5,9 @@ from decimal import Decimal
 from pyspark.sql import functions as F
 
 from ledgerwake.operators import profile
-from ledgerwake.schemas import RAW_TRANSACTIONS
+from ledgerwake.plans import jobs
+from ledgerwake.schemas import PROFILES, RAW_TRANSACTIONS
+from ledgerwake.sinks.tables import UpsertTable
 from tests.samples import at, frame, txn
 
 
@@ -106,3 +108,22 @@ def test_reprocess_filter(spark):
     start = end - F.expr("interval 10 minutes")
     ids = {r.transaction_id for r in profile.reprocess_filter(rows, end, start).collect()}
     assert ids == {"edge"}
+
+
+def test_replay_keeps_what_it_cannot_profile(spark, folder):
+    rows = frame(
+        spark,
+        [
+            txn("1", 5.0, 1.0, event_time=at("00:01:00")),
+            txn("2", 6.0, 3.0, event_time=at("00:07:00")),
+            txn("3", None, 3.0, event_time=at("00:08:00")),
+            txn("4", 9.0, 3.0, event_time=at("02:00:00")),
+        ],
+    )
+    table = UpsertTable(spark, f"{folder}/profiles", PROFILES, ["customer_id"])
+    for _ in range(2):
+        jobs.replay_profiles(rows, table, F.lit(at("01:00:00")), f"{folder}/rejected")
+        kept = table.read().collect()
+        assert [(r.transaction_count, r.max_balance) for r in kept] == [(1, 6.0)]
+    rejected = spark.read.parquet(f"{folder}/rejected").collect()
+    assert [r.transaction_id for r in rejected] == ["3"]
