@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ledgerwake.fixed_values import PROFILE_WINDOW, WATERMARK_DELAY
+from ledgerwake.fixed_values import PROFILE_WINDOW, REPORT_DECIMAL, WATERMARK_DELAY
 from ledgerwake.functions import events
 from ledgerwake.operators import detect, profile, validate
 from ledgerwake.sinks.tables import InsertIgnoreTable, UpsertTable
@@ -129,11 +129,24 @@ def alerts_to(
     incomplete: str = "drop",
     limits: detect.Limits = detect.Limits(),
     run_ts=None,
+    rejected_path: str | None = None,
 ) -> Step:
-    """Step that stores the alerts of a batch; a repeated batch adds none."""
+    """Step that stores the alerts of a batch; a repeated batch adds none.
+
+    Alerts the table has no room for are set aside.  Where incomplete rows are kept, only
+    the size of the amounts is checked.
+    """
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        table.insert(anomaly_stream(batch, incomplete, limits, run_ts))
+        found = detect.detect(batch, incomplete, limits)
+        if incomplete == "drop":
+            checks = validate.alert_checks(found)
+        else:
+            checks = validate.fits(found, REPORT_DECIMAL, "amount", "current_balance")
+        valid, rejected = validate.split(found, checks)
+        table.insert(detect.alerts(valid, run_ts))
+        if rejected_path:
+            set_aside(rejected, rejected_path, batch_id)
 
     return step
 
@@ -165,7 +178,10 @@ def speed_layer(
         "speed-layer",
         checkpoint,
         steps=[
-            on_good(alerts_to(alerts, "drop", limits), need_time=False),
+            on_good(
+                alerts_to(alerts, "drop", limits, rejected_path=f"{rejected_path}/alerts"),
+                need_time=False,
+            ),
             on_good(archive_to(archive, f"{rejected_path}/rows"), need_time=False),
             quarantine_to(f"{rejected_path}/messages"),
         ],
@@ -182,6 +198,7 @@ def single_pipeline(
     end=None,
     trigger: dict | None = None,
     limits: detect.Limits = detect.Limits(),
+    rejected_path: str | None = None,
 ) -> StreamingQuery:
     """One job, two modes: `realtime` detection or `reprocess` of profiles.
 
@@ -190,7 +207,7 @@ def single_pipeline(
     profile needs cannot be averaged; `jobs.replay_profiles` also stores them.
     """
     if mode == "realtime":
-        steps = [alerts_to(alerts, "keep", limits)]
+        steps = [alerts_to(alerts, "keep", limits, rejected_path=rejected_path)]
         return start(transactions, "realtime-detection", checkpoint, steps=steps, trigger=trigger)
     if mode == "reprocess":
         until = F.lit(datetime.now(timezone.utc)) if end is None else end

@@ -127,3 +127,13 @@ def test_first_rows_within_watermark(spark, folder):
     rows = spark.read.schema(stream.schema).parquet(f"{folder}/out").collect()
     assert sorted(r.transaction_id for r in rows) == ["1", "2", "3", "4", "5"]
     assert stream.columns == TRANSACTION_COLUMNS
+
+
+def test_alerts_without_room_are_set_aside(spark, folder):
+    table = InsertIgnoreTable(spark, f"{folder}/alerts", ANOMALIES, ["alert_id"])
+    batch = frame(spark, [txn("wide", 1.0, 1e20), txn("fine", 1.0, 5.0)])
+    pipelines.alerts_to(table, "drop", rejected_path=f"{folder}/aside")(batch, 0)
+    assert {r.transaction_id for r in table.read().collect()} == {"fine"}
+    aside = spark.read.parquet(f"{folder}/aside/batch=0").collect()
+    assert {r.transaction_id for r in aside} == {"wide"}
+    assert aside[0].reject_reasons == ["amount_overflow"]
