@@ -7,10 +7,10 @@ ranges of the hash (the suffix filter: ranges bound what the rest can have in co
 most pairs; the others are verified once, on whole sets.
 
 No group of similar documents is expanded into all its pairs.  Copies of one set act as one
-document.  Documents that meet on a shingle are first compared with one of them, a hub
-chosen for each shingle by hash, so a document meets several hubs.  Links join documents into
-components, and only pairs that meet on a shingle and are still in different components are
-then compared with each other.
+document.  Documents that meet on a shingle are first compared with one of them, the hub,
+which is the one with the least of its own before that shingle.  Links join documents into
+components.  Where those that meet on a shingle are still in different components, another
+hub is tried, and in the end all pairs that meet and are in different components are compared.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ PERCENT = 80
 # Counters of shingle frequency, by hash; their number is fixed, whatever the input.
 COUNTERS, SLICES = 1 << 20, 64
 BINS = 32
+# Hubs with which those that meet on a shingle are compared before any two of them are.
+HUBS = 2
 # Words whose hash a task remembers, and sets whose repetition within a task it notices.
 MEMO, NOTICED = 300_000, 200_000
 
@@ -215,12 +217,15 @@ def meetings(docs: DataFrame, counts: np.ndarray) -> DataFrame:
 
 
 def _can_link(a: str, b: str) -> Column:
-    """Length and positional filter for rows that meet at positions a.at and b.at."""
+    """Length and positional filter for rows that meet at positions a.at and b.at.
+
+    The first shingle that two linked sets have in common leaves at least the overlap they
+    need, itself included, in both; meetings further back need not be looked at.
+    """
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    i, j = F.col(f"{a}.at"), F.col(f"{b}.at")
-    most = F.least(i, j) + 1 + F.least(n - i - 1, m - j - 1)
+    rest = F.least(n - F.col(f"{a}.at"), m - F.col(f"{b}.at"))
     return (100 * F.least(n, m) >= PERCENT * F.greatest(n, m)) & (
-        (100 + PERCENT) * most >= PERCENT * (n + m)
+        (100 + PERCENT) * rest >= PERCENT * (n + m)
     )
 
 
@@ -304,9 +309,9 @@ def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row.
 
     Words are runs of other than space and \\t-\\r, after lower-casing A-Z; fewer than five
-    words make one shingle, none (null or empty text) make none and link with nothing.  Rows
-    that repeat an id are one document that links by any of its texts.  Rows without an id
-    take no part; their component is null.  An empty table gives an empty result; other
+    words make one shingle, none (null or empty text) make none and link with nothing.  Ids should
+    be unique: rows that repeat one share a component, and are looked up by one of their
+    texts where these differ.  Rows without an id take no part; their component is null.  An empty table gives an empty result; other
     columns are ignored.
     """
     profiled = profile(docs)
@@ -323,36 +328,77 @@ def join(docs: DataFrame) -> DataFrame:
         .agg(F.min("at").alias("at"))
     )
     folded = staged(folded, "folded")
-    hub = F.min(F.struct(F.xxhash64("shingle", "node").alias("mark"), "node", "n", "at"))
-    hubs = folded.groupBy("shingle").agg(hub.alias("hub"), F.count(F.lit(1)).alias("rows"))
-    hubs = hubs.filter("rows > 1").select("shingle", "hub.node", "hub.n", "hub.at")
-    star = folded.alias("a").join(hubs.alias("b"), "shingle").filter("a.node <> b.node")
-    star = staged(_pairs(star.filter(_can_link("a", "b"))), "pairs")
-    nodes = staged(folded.join(hubs.select("shingle"), "shingle", "left_semi").select("node").distinct(), "nodes")
-    sets = sets_of(docs, nodes)
-    links = staged(verified(star, sets), "links")
-    labels = components(links)
-    labelled = folded.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    apart = labelled.groupBy("shingle").agg(F.min("label").alias("x"), F.max("label").alias("y"))
+    several = folded.groupBy("shingle").count().filter("count > 1").select("shingle")
     apart = staged(
-        labelled.join(apart.filter("x <> y").select("shingle"), "shingle", "left_semi"), "apart"
+        folded.join(several, "shingle", "left_semi").withColumn("label", F.col("node")), "apart"
     )
-    rest = apart.alias("a").join(apart.alias("b"), "shingle").filter(
-        (F.col("a.node") < F.col("b.node")) & (F.col("a.label") != F.col("b.label"))
+    sets = sets_of(docs, staged(apart.select("node").distinct(), "nodes"))
+    tried = None
+    labels = apart.select("node", "label").limit(0)
+    for turn in range(HUBS + 1):
+        met = _with_hub(apart, turn) if turn < HUBS else _all_pairs(apart)
+        met = met.filter((F.col("a.label") != F.col("b.label")) & _can_link("a", "b"))
+        fresh = _pairs(met)
+        if tried is not None:
+            fresh = fresh.join(tried, ["low", "high"], "left_anti")
+        pairs = staged(fresh, "pairs")
+        links = staged(verified(pairs, sets), "links")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        if not links.isEmpty():
+            labels = _merged(labels, links)
+            apart = _still_apart(apart, labels) if turn < HUBS else apart
+    ends = copies.groupBy("doc_id").agg(F.min("node").alias("node"))
+    found = rows.join(ends, "doc_id", "left").withColumn("node", F.coalesce("node", "doc_id"))
+    return found.join(labels, "node", "left").select(
+        "doc_id",
+        F.col("n_shingles").cast("long").alias("n_shingles"),
+        F.coalesce("label", "node").alias("component_id"),
     )
-    rest = _pairs(rest.filter(_can_link("a", "b"))).join(star, ["low", "high"], "left_anti")
-    more = staged(verified(staged(rest, "pairs"), sets), "links")
-    every = links.unionByName(more)
-    same = copies.select(F.col("node").alias("low"), F.col("doc_id").alias("high"))
-    labels = components(every.unionByName(same).filter("low <> high").distinct())
-    return (
-        rows.join(labels, rows["doc_id"] == labels["node"], "left")
-        .select(
-            "doc_id",
-            F.col("n_shingles").cast("long").alias("n_shingles"),
-            F.coalesce("label", "doc_id").alias("component_id"),
-        )
+
+
+def _all_pairs(apart: DataFrame) -> DataFrame:
+    """Rows that meet on a shingle; the caller keeps those in different components."""
+    return apart.alias("a").join(apart.alias("b"), "shingle").filter("a.node < b.node")
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after further links: components of the components, staged."""
+    known = labels.withColumnRenamed("node", "end")
+
+    def to_label(df: DataFrame, end: str) -> DataFrame:
+        seen = known.select(F.col("end").alias(end), F.col("label").alias(f"{end}_label"))
+        return df.join(seen, end, "left").withColumn(end, F.coalesce(f"{end}_label", end))
+
+    ends = to_label(to_label(links, "low"), "high").select(
+        F.least("low", "high").alias("low"), F.greatest("low", "high").alias("high")
     )
+    moved = components(ends.filter("low <> high").distinct())
+    older = labels.join(moved.toDF("label", "to"), "label", "left").select(
+        "node", F.coalesce("to", "label").alias("label")
+    )
+    new = moved.join(labels.select("node"), "node", "left_anti")
+    return staged(older.unionByName(new), "labels")
+
+
+def _with_hub(apart: DataFrame, turn: int) -> DataFrame:
+    """Rows a beside the hub b of their shingle.
+
+    First it is the set with the fewest shingles rarer than this one, so one with little of
+    its own; then another one by hash in each turn.
+    """
+    mark = F.struct(F.col("at") if turn == 0 else F.lit(0), F.xxhash64(F.lit(turn), "node"))
+    hub = F.min(F.struct(mark.alias("mark"), "node", "n", "at", "label"))
+    hubs = apart.groupBy("shingle").agg(hub.alias("hub")).select("shingle", "hub.*")
+    return apart.alias("a").join(hubs.alias("b"), "shingle")
+
+
+def _still_apart(apart: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows with their new labels, of the shingles on which several components meet."""
+    now = apart.drop("label").join(labels, "node", "left")
+    now = now.withColumn("label", F.coalesce("label", "node"))
+    ends = now.groupBy("shingle").agg(F.min("label").alias("x"), F.max("label").alias("y"))
+    mixed = ends.filter("x <> y").select("shingle")
+    return staged(now.join(mixed, "shingle", "left_semi"), "apart")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
