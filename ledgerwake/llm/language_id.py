@@ -31,7 +31,7 @@ LEXICON = 300
 # Lengths of the runs that are spliced into code-switched training sequences.
 RUN, SEQUENCE, BATCH = (4, 40), 64, 64
 # Words whose scores a worker remembers, and words that one forward-backward takes.
-MEMO, AT_ONCE = 150_000, 200_000
+MEMO, AT_ONCE = 500_000, 200_000
 UNKNOWN = "und"
 
 _WORDS = re.compile(r"[^\W\d_]+")

@@ -2,21 +2,25 @@
 
 Both vocabularies cut a text before their merges, and never join what stands on two sides
 of a single space.  So a text's ids are those of its words in turn, and a word met before
-need not be encoded again.  The memo belongs to the worker process and is emptied when full.
+need not be encoded again.  The memo belongs to the worker process.  When it is full it becomes
+the older memo, from which words still in use move to the new one.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import string
 from functools import lru_cache
 
 import numpy as np
 
-# Words held by the memo; about 200 bytes each.
-MEMO = 250_000
-# Words that the library encodes in one call.
-AT_ONCE = 4096
+# Words held by each of the two memos, about 200 bytes each, and words looked up in one go.
+MEMO, GROUP = 500_000, 250_000
+# Words that stand in one text when they are encoded, and texts of one call.
+IN_TEXT, AT_ONCE = 256, 64
+# Marks the bounds of words for a vocabulary that drops spaces; one id of its own.
+_MARK = "\0"
 
 _SPACE_RUN = re.compile(r"\s\s")
 _SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
@@ -39,8 +43,13 @@ class Encoder:
         # Strings of special tokens inside a text are ordinary text.
         self.tokenizer.encode_special_tokens = True
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         # A vocabulary without normaliser keeps spaces: a word includes the space before it.
         self.keeps_spaces = self.tokenizer.normalizer is None
+        if self.keeps_spaces:
+            self.sizes = np.array([len(b) for b in token_bytes(path)])
+        else:
+            self.mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
@@ -56,10 +65,10 @@ class Encoder:
 
     @staticmethod
     def _groups(words: list[list[str]]) -> list[int]:
-        """Ends of runs of texts that together have no more words than the memo takes."""
+        """Ends of runs of texts that together have at most GROUP words, or of a longer text."""
         ends, count = [], 0
         for n, one in enumerate(words):
-            if count and count + len(one) > MEMO:
+            if count and count + len(one) > GROUP:
                 ends.append(n)
                 count = 0
             count += len(one)
@@ -67,16 +76,77 @@ class Encoder:
 
     def _learn(self, group: list[list[str]]) -> None:
         wanted = set().union(*group)
-        fresh = [w for w in wanted if w not in self.memo]
+        fresh = wanted.difference(self.memo)
         if len(self.memo) + len(fresh) > MEMO:
-            self.memo.clear()
-            fresh = list(wanted)
-        for start in range(0, len(fresh), AT_ONCE):
-            part = fresh[start : start + AT_ONCE]
+            self.older, self.memo, fresh = self.memo, {}, wanted
+        known = fresh.intersection(self.older)
+        self.memo.update((w, self.older[w]) for w in known)
+        cut, wanted = [], set()
+        for word in fresh - known:
+            # Marks after a letter are a piece of their own, so the two are encoded apart.
+            stem = word.rstrip(string.punctuation)
+            if stem and stem != word and stem[-1].isalpha():
+                cut.append((word, stem, word[len(stem) :]))
+                wanted.update(cut[-1][1:])
+            else:
+                wanted.add(word)
+        wanted.difference_update(self.memo)
+        again = wanted.intersection(self.older)
+        self.memo.update((w, self.older[w]) for w in again)
+        self._encode_words(list(wanted - again))
+        for word, stem, rest in cut:
+            self.memo[word] = self.memo[stem] + self.memo[rest]
+
+    def _encode_words(self, words: list[str]) -> None:
+        """Encodes many words in one text where their ids can be told apart, else one by one."""
+        fits = self._spaced_fits if self.keeps_spaces else self._folded_fits
+        joined = [w for w in words if fits(w)]
+        groups = [joined[n : n + IN_TEXT] for n in range(0, len(joined), IN_TEXT)]
+        lone = [w for w in words if not fits(w)]
+        between = "" if self.keeps_spaces else f" {_MARK} "
+        for start in range(0, len(groups), AT_ONCE):
+            part = groups[start : start + AT_ONCE]
+            found = self.tokenizer.encode_batch_fast(
+                [between.join(g) for g in part], add_special_tokens=False
+            )
+            for group, one in zip(part, found):
+                ids = np.array(one.ids, dtype="<u4")
+                bounds = self._bounds(group, ids)
+                if bounds is None:
+                    lone += group
+                    continue
+                raw = ids.tobytes()
+                self.memo.update(
+                    (w, raw[4 * a : 4 * b]) for w, a, b in zip(group, *(b.tolist() for b in bounds))
+                )
+        for start in range(0, len(lone), IN_TEXT):
+            part = lone[start : start + IN_TEXT]
             found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
             for word, one in zip(part, found):
                 self.memo[word] = np.array(one.ids, dtype="<u4").tobytes()
 
+    def _bounds(self, group: list[str], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """Where the ids of each word begin and end; None if they don't come apart."""
+        if not self.keeps_spaces:
+            at = np.flatnonzero(ids == self.mark[0])
+            if len(at) != len(group) - 1:
+                return None
+            return np.concatenate([[0], at + 1]), np.concatenate([at, [len(ids)]])
+        upto = np.cumsum(self.sizes[ids])
+        ends = np.cumsum([len(w.encode()) for w in group])
+        last = np.searchsorted(upto, ends)
+        if last[-1] >= len(ids) or (upto[last] != ends).any():
+            return None
+        return np.concatenate([[0], last[:-1] + 1]), last + 1
+
+    @staticmethod
+    def _spaced_fits(word: str) -> bool:
+        """A single space, then no space at either end: texts are cut before such a word."""
+        return len(word) > 1 and word[0] == " " and not (word[1].isspace() or word[-1].isspace())
+
+    def _folded_fits(self, word: str) -> bool:
+        return _MARK not in word and len(self.mark) == 1
+
     @staticmethod
     def _spaced(texts: list[str]) -> list[list[str]]:
         out = []
