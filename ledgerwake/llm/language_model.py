@@ -36,7 +36,7 @@ FREQUENT = 200_000
 ANCHORS, ENDINGS = 24, 8
 CLASSES = ANCHORS + ENDINGS
 # Hashed features, rounds of training, tokens of a gradient step, learning rate.
-FEATURES, ROUNDS, STEP, RATE = 1 << 13, 2, 8192, 0.3
+FEATURES, ROUNDS, STEP, RATE = 1 << 13, 2, 4096, 0.3
 SLICES = 64
 # Words that a task counts before it hands them on.
 COUNTED = 200_000
@@ -209,13 +209,44 @@ def histories(kinds: np.ndarray, hashed: np.ndarray, first: np.ndarray) -> np.nd
     return np.stack(mixed, axis=1).astype(np.int64) % FEATURES
 
 
-def log_classes(weights: np.ndarray, features: np.ndarray) -> np.ndarray:
-    """Natural logs of the class probabilities, a row per token."""
-    scores = np.take(weights, features[:, 0], axis=0)
-    for k in range(1, features.shape[1]):
-        scores += np.take(weights, features[:, k], axis=0)
-    scores -= scores.max(axis=1, keepdims=True)
-    return scores - np.log(np.exp(scores).sum(axis=1, keepdims=True))
+class Softmax:
+    """Class probabilities and gradient steps on arrays that are made once per task."""
+
+    def __init__(self, weights: np.ndarray):
+        self.weights = weights
+        self.scores, self.picked = (np.empty((STEP, CLASSES), dtype=np.float32) for _ in range(2))
+        self.cells = np.empty((STEP, CLASSES), dtype=np.int64)
+        self.change = np.empty(weights.size, dtype=np.float32)
+        self.squares = np.full(FEATURES, 1e-6, dtype=np.float32)
+
+    def logs(self, features: np.ndarray) -> np.ndarray:
+        """Natural logs of the class probabilities, a row per token; the next call overwrites them."""
+        n = len(features)
+        scores, picked = self.scores[:n], self.picked[:n]
+        np.take(self.weights, features[:, 0], axis=0, out=scores, mode="clip")
+        for k in range(1, features.shape[1]):
+            np.take(self.weights, features[:, k], axis=0, out=picked, mode="clip")
+            scores += picked
+        scores -= scores.max(axis=1, keepdims=True)
+        np.exp(scores, out=picked)
+        scores -= np.log(picked.sum(axis=1, keepdims=True))
+        return scores
+
+    def step(self, features: np.ndarray, kinds: np.ndarray) -> None:
+        """One Adagrad step on up to STEP tokens; each feature has its own rate."""
+        n = len(kinds)
+        slope = np.exp(self.logs(features), out=self.picked[:n])
+        slope[np.arange(n), kinds] -= 1
+        slope /= n
+        cells, change = self.cells[:n], self.change
+        change.fill(0)
+        for k in range(features.shape[1]):
+            np.add(features[:, k, None] * CLASSES, np.arange(CLASSES), out=cells)
+            np.add.at(change, cells.reshape(-1), slope.reshape(-1))
+        change = change.reshape(self.weights.shape)
+        self.squares += np.einsum("ij,ij->i", change, change) / CLASSES
+        change *= (RATE / np.sqrt(self.squares))[:, None]
+        self.weights -= change
 
 
 def _batch_tokens(vocabulary: Vocabulary, texts: list[str]):
@@ -243,16 +274,16 @@ def train(training: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
 
         def steps(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             start = shared.value
-            own, squares, used = start.copy(), np.full(FEATURES, 1e-6, dtype=np.float32), 0
+            softmax, used = Softmax(start.copy()), 0
             for batch in in_pieces(batches, 200):
                 if not batch.num_rows:
                     continue
                 _, _, _, _, kinds, features = _batch_tokens(words.value, texts_of(batch))
                 for n in range(0, len(kinds), STEP):
-                    _step(own, squares, features[n : n + STEP], kinds[n : n + STEP])
+                    softmax.step(features[n : n + STEP], kinds[n : n + STEP])
                     used += 1
             if used:
-                yield _slices(np.append((own - start).reshape(-1), np.float32(1)))
+                yield _slices(np.append((softmax.weights - start).reshape(-1), np.float32(1)))
 
         chosen = training.filter(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == turn)
         parts = chosen.select("text").mapInArrow(steps, "slice int, part binary")
@@ -263,19 +294,6 @@ def train(training: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
     return weights
 
 
-def _step(weights: np.ndarray, squares: np.ndarray, features: np.ndarray, kinds: np.ndarray) -> None:
-    """One gradient step; each feature row has its own rate."""
-    slope = np.exp(log_classes(weights, features))
-    slope[np.arange(len(kinds)), kinds] -= 1
-    slope /= len(kinds)
-    cells = features.reshape(-1, 1) * CLASSES + np.arange(CLASSES)
-    change = np.zeros(weights.size, dtype=np.float32)
-    np.add.at(change, cells.reshape(-1), np.repeat(slope, features.shape[1], axis=0).reshape(-1))
-    change = change.reshape(weights.shape)
-    squares += (change**2).mean(axis=1)
-    weights -= RATE * change / np.sqrt(squares)[:, None]
-
-
 def class_sizes(counts: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
     """Tokens and distinct tokens of each class in training."""
     words = counts.sparkSession.sparkContext.broadcast(vocabulary)
@@ -317,7 +335,7 @@ def _score(docs: DataFrame, vocabulary: Vocabulary, weights: np.ndarray, sizes:
         words, common, per_class = shared.value
         below = np.log10(per_class[0] + per_class[1] + 1.0)
         known = np.log10(words.counts + 1.0)
-        row = TaskContext.get().partitionId() << 33
+        softmax, row = Softmax(common), TaskContext.get().partitionId() << 33
         for batch in in_pieces(batches, 200):
             if not batch.num_rows:
                 continue
@@ -325,7 +343,7 @@ def _score(docs: DataFrame, vocabulary: Vocabulary, weights: np.ndarray, sizes:
             logs = np.zeros(len(tokens))
             for n in range(0, len(tokens), STEP):
                 part = slice(n, n + STEP)
-                found = log_classes(common, features[part])
+                found = softmax.logs(features[part])
                 logs[part] = found[np.arange(len(found)), kinds[part]] / LN10 - below[kinds[part]]
             frequent = at >= 0
             rare = [Counter() for _ in lengths]
