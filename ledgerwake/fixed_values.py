@@ -44,7 +44,6 @@ STREAM_PREMIUM_AVG = 15000
 # Event time handling.
 PROFILE_WINDOW = "5 minutes"
 WATERMARK_DELAY = "2 minutes"
-LOOKBACK_MINUTES = 10
 EVENT_TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 ID_TIME_FORMAT = "yyyyMMddHHmmss"
 

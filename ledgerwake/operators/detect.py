@@ -25,12 +25,19 @@ class Limits:
     absolute: float = ABSOLUTE_LIMIT
 
 
-def reasons(amount: Column, balance: Column, limits: Limits = Limits()) -> Column:
-    """Array of the reasons that apply, in rule order; empty when a measure is null."""
+def reasons(
+    amount: Column, balance: Column, limits: Limits = Limits(), stated: Column | None = None
+) -> Column:
+    """Array of the reasons that apply, in rule order; empty when a measure is null.
+
+    `amount` and `balance` have null in place of NaN, so a comparison with NaN never holds.
+    A balance of NaN is still a balance: `stated` says whether there is one.
+    """
+    stated = balance.isNotNull() if stated is None else stated
     fired = {
         REASON_RELATIVE: amount > balance * F.lit(limits.relative_share),
-        # Both measures must be known, though this rule only reads the amount.
-        REASON_ABSOLUTE: balance.isNotNull() & (F.abs(amount) > F.lit(limits.absolute)),
+        # A balance must be there, though this rule only reads the amount.
+        REASON_ABSOLUTE: stated & (F.abs(amount) > F.lit(limits.absolute)),
         REASON_OVERDRAFT: balance - amount < 0,
     }
     return F.array_compact(F.array(*[F.when(hit, reason) for reason, hit in fired.items()]))
@@ -42,7 +49,8 @@ def detect(
     """One row per transaction and matching rule.
 
     `incomplete` says what happens to rows without id, customer or location: `drop`
-    leaves them out, `keep` judges them like any other but wants an event time.
+    leaves them out, `keep` judges them like any other but wants an event time.  A balance
+    of NaN is given out as null.
     """
     if incomplete == "drop":
         rows = complete(transactions)
@@ -52,8 +60,9 @@ def detect(
         raise ValueError(f"incomplete must be drop or keep, not {incomplete}")
     amount = measure(transactions, "transaction_amount_inr")
     balance = measure(transactions, "customer_account_balance")
+    stated = F.col("customer_account_balance").isNotNull()
     return (
-        rows.withColumn("anomaly_reason", F.explode(reasons(amount, balance, limits)))
+        rows.withColumn("anomaly_reason", F.explode(reasons(amount, balance, limits, stated)))
         .select(
             "customer_id",
             "transaction_id",
@@ -70,15 +79,17 @@ def alerts(anomalies: DataFrame, run_ts=None) -> DataFrame:
     """Stored form of anomalies: repeatable id, detection time, two decimals.
 
     The id covers the whole event, so two different events that share a transaction
-    id keep separate alerts while a replay of one event does not add a second.
+    id keep separate alerts while a replay of one event does not add a second.  It is made
+    from the stored forms, decimals and whole seconds, so it does not depend on whether an
+    event came as JSON or from the archive.
     """
     identity = content_id(
         F.col("transaction_id"),
         F.col("customer_id"),
         F.col("location"),
-        F.col("amount"),
-        F.col("current_balance"),
-        F.unix_micros(F.col("event_time").cast("timestamp")),
+        F.col("amount").try_cast(REPORT_DECIMAL),
+        F.col("current_balance").try_cast(REPORT_DECIMAL),
+        F.unix_seconds(F.col("event_time").cast("timestamp")),
         F.col("anomaly_reason"),
     )
     return anomalies.select(

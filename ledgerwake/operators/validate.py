@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -111,6 +112,24 @@ def require_columns(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Columns of a target table, picked by name and cast to its types."""
+    """Columns of a target table, picked by name and cast to its types.
+
+    NaN is stored as null.  A value that the type has no room for ends the job instead of
+    becoming null: `split` with `fits` sets such rows aside before.
+    """
     require_columns(df, *schema.names)
-    return df.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema])
+    columns = []
+    for f in schema:
+        value = measure(df, f.name)
+        stored = value.try_cast(f.dataType)
+        lost = value.isNotNull() & stored.isNull()
+        problem = F.raise_error(F.lit(f"{f.name}: a value does not fit {f.dataType.simpleString()}"))
+        columns.append(F.when(lost, problem.cast(f.dataType)).otherwise(stored).alias(f.name))
+    return df.select(*columns)
+
+
+def keyed_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows, of which none may lack a key; one that does ends the job."""
+    absent = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    problem = F.raise_error(F.lit(f"a row lacks its key {', '.join(keys)}")).cast("boolean")
+    return df.filter(F.when(absent, problem).otherwise(F.lit(True)))

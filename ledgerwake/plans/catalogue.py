@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerwake.functions import events
 from ledgerwake.operators import clean, detect, keyed, profile, summary, telemetry, validate
 from ledgerwake.plans import jobs
-from ledgerwake.schemas import ANOMALIES, PROFILES, RAW_TRANSACTIONS, TRANSACTION_COLUMNS
+from ledgerwake.schemas import ANOMALIES, PROFILES, RAW_TRANSACTIONS
 from ledgerwake.session import use_utc, work_folder
 from ledgerwake.sinks import files as file_sink
 from ledgerwake.sinks.tables import InsertIgnoreTable, UpsertTable
@@ -37,7 +38,7 @@ def _gappy(spark, sf_dir):
 
 
 def _events(spark, sf_dir):
-    return tables.event_transactions(tables.spread(tables.table(spark, sf_dir, "events")))
+    return tables.event_transactions(tables.table(spark, sf_dir, "events"))
 
 
 def _plain(df: DataFrame) -> DataFrame:
@@ -146,10 +147,10 @@ def reprocess_filter(spark, sf_dir):
 
 
 def reprocess_lookback(spark, sf_dir):
-    """With the lower bound that a replay may switch on: the last ten minutes."""
+    """With the lower bound that a replay may switch on, here the last day."""
     end = F.lit(REPLAY_END).cast("timestamp")
     rows = profile.reprocess_filter(
-        _events(spark, sf_dir), end, end - F.expr("interval 10 minutes")
+        _events(spark, sf_dir), end, end - F.expr("interval 1 day")
     )
     return _plain(rows.select("transaction_id", "customer_id", "event_time"))
 
@@ -195,7 +196,7 @@ def insert_ignore_table(spark, sf_dir):
     table.insert(rows.filter(~returned), WRITE_ORDER[:1])
     table.insert(rows.filter(returned), WRITE_ORDER[:1])
     table.insert(rows.filter(~returned), WRITE_ORDER[:1])
-    return _plain(table.read().select("transaction_id", "customer_id", "event_time"))
+    return _plain(table.read())
 
 
 def _profile_slices(spark, sf_dir):
@@ -431,16 +432,51 @@ def csv_inferred(spark, sf_dir):
     return _named(file_source.read_csv(spark, f"{folder}/in"))
 
 
+def csv_reordered(spark, sf_dir):
+    """Columns in another order with two further ones between; all are found by name."""
+    folder, rows = work_folder(spark, "csv-reordered"), _dataset(spark, sf_dir)
+    moved = rows.select(
+        F.lit("kept").alias("note"),
+        *reversed(rows.columns),
+        (F.col("l_partkey") + 1).alias("next_part"),
+    )
+    file_sink.write_csv(moved, f"{folder}/in")
+    return _named(file_source.read_csv(spark, f"{folder}/in", rows.schema))
+
+
+def csv_rejects(spark, sf_dir):
+    """How many lines fit, have a cell too many, or text in a number column."""
+    folder, rows = work_folder(spark, "csv-rejects"), _named(_dataset(spark, sf_dir))
+    kind = F.col("l_suppkey") % 10
+    amount = F.coalesce(F.col("amount").cast("string"), F.lit(""))
+    line = F.concat(
+        "transaction_id",
+        F.lit(","),
+        F.when(kind == 0, F.concat(amount, F.lit(",more")))
+        .when(kind == 1, "unknown amount")
+        .otherwise(amount),
+    )
+    rows.select(line).write.text(f"{folder}/in")
+    schema = T.StructType(
+        [T.StructField("id", T.StringType()), T.StructField("amount", T.DoubleType())]
+    )
+    good, rejected = file_source.split_csv(spark, f"{folder}/in", schema, header=False)
+    outcomes = good.select(F.lit("fits").alias("outcome")).unionByName(
+        rejected.select(F.col("reject_reasons")[0].alias("outcome"))
+    )
+    return outcomes.groupBy("outcome").agg(F.count("*").alias("n"))
+
+
 def csv_clean_job(spark, sf_dir):
     folder, schema = _csv_dataset(spark, sf_dir, "csv-clean")
-    jobs.clean_csv(spark, f"{folder}/in", f"{folder}/out", "custom", schema)
+    jobs.clean_csv(spark, f"{folder}/in", f"{folder}/out", f"{folder}/rejected", "custom", schema)
     return _named(file_source.read_csv(spark, f"{folder}/out", schema))
 
 
 def csv_sign_job(spark, sf_dir):
     folder, schema = _csv_dataset(spark, sf_dir, "csv-sign")
     key = ["transaction_id", "l_partkey", "l_suppkey"]
-    jobs.sign_csv(spark, f"{folder}/in", f"{folder}/out", key, schema)
+    jobs.sign_csv(spark, f"{folder}/in", f"{folder}/out", key, f"{folder}/rejected", schema)
     signed = _named(file_source.read_csv(spark, f"{folder}/out", schema))
     return signed.select(*key, "amount")
 
@@ -452,6 +488,7 @@ def bulk_load_events(spark, sf_dir):
         spark,
         f"{folder}/in",
         lambda messages: messages.write.text(f"{folder}/topic"),
+        f"{folder}/rejected",
         RUN_TS,
         ["transaction_id", "l_partkey", "l_suppkey"],
         schema,
@@ -528,30 +565,42 @@ def speed_layer_archive(spark, sf_dir):
 
 def speed_layer_alerts(spark, sf_dir):
     alerts, _ = _run_speed_layer(spark, sf_dir, "speed-alerts")
-    return _plain(alerts.read().drop("alert_id", "detected_at"))
+    return _plain(alerts.read().drop("detected_at"))
+
+
+def alert_replay(spark, sf_dir):
+    """Alerts from JSON, then again from the archived rows, which must add none."""
+    alerts, archive = _run_speed_layer(spark, sf_dir, "alert-replay")
+    again = detect.detect(archive.read(), "drop", EVENT_LIMITS)
+    alerts.insert(detect.alerts(again))
+    return _plain(alerts.read().drop("detected_at"))
 
 
 def single_pipeline_realtime(spark, sf_dir):
     table = _alert_table(spark, "pipeline-alerts")
-    pipelines.single_pipeline(
+    for query in pipelines.single_pipeline(
         _stream(spark, sf_dir),
         "realtime",
         work_folder(spark, "pipeline-state"),
+        work_folder(spark, "pipeline-rejected"),
         alerts=table,
         limits=EVENT_LIMITS,
-    ).awaitTermination()
+    ):
+        query.awaitTermination()
     return _plain(table.read().drop("detected_at"))
 
 
 def single_pipeline_reprocess(spark, sf_dir):
     table = _profile_table(spark, "pipeline-profiles")
-    pipelines.single_pipeline(
+    for query in pipelines.single_pipeline(
         _stream(spark, sf_dir),
         "reprocess",
         work_folder(spark, "pipeline-state"),
+        work_folder(spark, "pipeline-rejected"),
         profiles=table,
         end=F.lit(REPLAY_END).cast("timestamp"),
-    ).awaitTermination()
+    ):
+        query.awaitTermination()
     return _plain(table.read().drop("last_updated"))
 
 
@@ -631,6 +680,8 @@ QUERIES: tuple[Query, ...] = (
     row_counts,
     csv_roundtrip,
     csv_inferred,
+    csv_reordered,
+    csv_rejects,
     csv_clean_job,
     csv_sign_job,
     bulk_load_events,
@@ -639,6 +690,7 @@ QUERIES: tuple[Query, ...] = (
     stream_first_rows,
     speed_layer_archive,
     speed_layer_alerts,
+    alert_replay,
     single_pipeline_realtime,
     single_pipeline_reprocess,
     throughput_1h,

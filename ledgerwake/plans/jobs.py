@@ -63,21 +63,32 @@ def load_messages(
     return seen.get
 
 
+def _fitting(spark: SparkSession, source: str, schema, rejected_path: str) -> DataFrame:
+    rows, rejected = file_source.split_csv(spark, source, schema)
+    file_sink.overwrite(rejected, rejected_path)
+    return rows
+
+
 def clean_csv(
-    spark: SparkSession, source: str, target: str, strategy: str = "fill_median",
-    schema=CSV_SCHEMA,
+    spark: SparkSession, source: str, target: str, rejected_path: str,
+    strategy: str = "fill_median", schema=CSV_SCHEMA,
 ) -> tuple[DataFrame, DataFrame]:
-    """Cleans a CSV dataset.  Returns the missing-cell reports before and after."""
-    rows = file_source.read_csv(spark, source, schema)
+    """Cleans a CSV dataset.  Returns the missing-cell reports before and after.
+
+    Further columns are kept.  Rows that do not fit the schema go to the rejected path.
+    """
+    rows = _fitting(spark, source, schema, rejected_path)
     cleaned = clean.clean(rows, strategy)
     file_sink.write_csv(cleaned, target)
     return clean.with_gaps(clean.null_report(rows)), clean.null_report(cleaned)
 
 
 def sign_csv(
-    spark: SparkSession, source: str, target: str, key: list[str], schema=CSV_SCHEMA, **options
+    spark: SparkSession, source: str, target: str, key: list[str], rejected_path: str,
+    schema=CSV_SCHEMA, **options,
 ) -> None:
-    rows = file_source.read_csv(spark, source, schema)
+    """Signs the amounts of a CSV dataset; further columns are kept, as in `clean_csv`."""
+    rows = _fitting(spark, source, schema, rejected_path)
     file_sink.write_csv(clean.sign_amounts(rows, key, **options), target)
 
 
@@ -85,6 +96,7 @@ def bulk_load(
     spark: SparkSession,
     source: str,
     publish: Callable[[DataFrame], None],
+    rejected_path: str,
     run_ts=None,
     row_key: list[str] | None = None,
     schema=CSV_SCHEMA,
@@ -92,9 +104,10 @@ def bulk_load(
     """A CSV dataset as event messages, handed to `publish`.  Returns how many.
 
     A topic write can repeat rows after a task failure.  With `row_key` a repeated row
-    keeps its id, so insert-ignore downstream removes it.
+    keeps its id, so insert-ignore downstream removes it.  Rows that do not fit the schema
+    go to the rejected path.
     """
-    rows = file_source.read_csv(spark, source, schema)
+    rows = _fitting(spark, source, schema, rejected_path)
     sent = Observation("sent")
     transactions = events.events_from_csv(rows, run_ts, row_key)
     publish(events.to_messages(transactions).observe(sent, F.count("*").alias("n")))

@@ -36,7 +36,7 @@ lines AS (
   FROM events
 )"""
 
-# Gaps as nulls: a NaN counts as missing everywhere.
+# Gaps as nulls; nan_balance marks those that stand for NaN.
 GAPPY = (
     LINES
     + """,
@@ -52,18 +52,25 @@ gappy AS (
               ELSE customer_account_balance END AS customer_account_balance,
          CASE WHEN l_linenumber = 7 AND customer_gender IN ('H', 'F') THEN NULL
               ELSE transaction_amount_inr END AS transaction_amount_inr,
-         event_time, l_partkey, l_suppkey, l_linenumber
+         event_time, l_partkey, l_suppkey, l_linenumber,
+         l_linenumber = 3 AND customer_gender = 'A' AS nan_balance
   FROM lines
 )"""
 )
 
 
 def _detect(source: str, absolute: int = 50000, where: str = "TRUE") -> str:
-    """Three filters put together, one per rule."""
+    """Three filters put together, one per rule.
+
+    A null measure fires nothing.  A comparison with NaN is false, but the absolute rule
+    compares the amount only, so it still holds beside a balance of NaN.
+    """
+    nan = " OR nan_balance" if source == "gappy" else ""
     rules = {
         "high_value_relative": "transaction_amount_inr > customer_account_balance * 0.5",
         "high_value_absolute":
-            f"customer_account_balance IS NOT NULL AND abs(transaction_amount_inr) > {absolute}",
+            f"(customer_account_balance IS NOT NULL{nan})"
+            f" AND abs(transaction_amount_inr) > {absolute}",
         "overdraft_attempt": "customer_account_balance - transaction_amount_inr < 0",
     }
     parts = [
@@ -83,9 +90,9 @@ ANOMALY_COLUMNS = """
 ALERT_ID = """
   md5(concat_ws('|', coalesce('+' || transaction_id, '-'), coalesce('+' || customer_id, '-'),
       coalesce('+' || customer_location, '-'),
-      coalesce('+' || CAST(transaction_amount_inr AS VARCHAR), '-'),
-      coalesce('+' || CAST(customer_account_balance AS VARCHAR), '-'),
-      coalesce('+' || CAST(epoch_us(event_time) AS VARCHAR), '-'),
+      coalesce('+' || CAST(CAST(transaction_amount_inr AS DECIMAL(18,2)) AS VARCHAR), '-'),
+      coalesce('+' || CAST(CAST(customer_account_balance AS DECIMAL(18,2)) AS VARCHAR), '-'),
+      coalesce('+' || CAST(epoch_us(event_time) // 1000000 AS VARCHAR), '-'),
       '+' || anomaly_reason)) AS alert_id"""
 
 
@@ -328,7 +335,7 @@ WITH {LINES}, {_windows('lines', ONE_DAY, '1 day')} SELECT * FROM profiles""",
 WITH {EVENTS} SELECT transaction_id, customer_id, event_time FROM lines WHERE {until}""",
         "reprocess_lookback": f"""
 WITH {EVENTS} SELECT transaction_id, customer_id, event_time FROM lines
-WHERE {until} AND event_time >= TIMESTAMP '{REPLAY_END}' - INTERVAL '10 minutes'""",
+WHERE {until} AND event_time >= TIMESTAMP '{REPLAY_END}' - INTERVAL '1 day'""",
         "reprocess_profile": f"""
 WITH {EVENTS}, {_windows('lines', FIVE_MINUTES, '5 minutes', until)}
 SELECT {STORED_PROFILE} FROM latest""",
@@ -338,9 +345,11 @@ SELECT {RAW_COLUMNS}, l_partkey, l_suppkey FROM firsts""",
         "insert_ignore_table": f"""
 WITH {LINES}, ordered AS (
   SELECT *, row_number() OVER (PARTITION BY transaction_id
-    ORDER BY (transaction_amount_inr < 0), event_time, customer_id) AS place
+    ORDER BY (transaction_amount_inr < 0), event_time, customer_id, customer_dob,
+      customer_gender, customer_location, customer_account_balance, transaction_amount_inr)
+    AS place
   FROM lines)
-SELECT transaction_id, customer_id, event_time FROM ordered WHERE place = 1""",
+SELECT {RAW_COLUMNS} FROM ordered WHERE place = 1""",
         "upsert_merge": f"WITH {EVENTS}, {five} SELECT * FROM latest",
         "upsert_table": f"WITH {EVENTS}, {five} SELECT {STORED_PROFILE} FROM latest",
         "overwrite_table": profile,
@@ -412,6 +421,14 @@ UNION ALL SELECT 'rejected', count(*) FROM judged WHERE reject_reasons <> ''""",
         "csv_roundtrip": f"WITH {DATASET} SELECT {csv_columns} FROM dataset",
         "csv_inferred": f"""
 WITH {DATASET} SELECT * REPLACE (CAST("CustomerID" AS BIGINT) AS "CustomerID") FROM dataset""",
+        "csv_reordered": f"""
+WITH {DATASET}
+SELECT {csv_columns}, 'kept' AS note, CAST(l_partkey + 1 AS VARCHAR) AS next_part FROM dataset""",
+        "csv_rejects": f"""
+WITH {DATASET}
+SELECT CASE l_suppkey % 10 WHEN 0 THEN 'ragged' WHEN 1 THEN 'amount_unfit' ELSE 'fits' END
+         AS outcome, count(*) AS n
+FROM dataset GROUP BY ALL""",
         "csv_clean_job": f"WITH {DATASET} SELECT {custom} FROM dataset",
         "csv_sign_job": signed,
         "bulk_load_events": f"""
@@ -426,7 +443,8 @@ SELECT {ALERT_ID}, {ANOMALY_COLUMNS}, TIMESTAMP '{RUN_TS}' AS detected_at FROM f
         "stream_window_profile": f"WITH {EVENTS}, {five} SELECT * FROM profiles WHERE {CLOSED}",
         "stream_first_rows": f"WITH {EVENTS} SELECT {RAW_COLUMNS} FROM lines",
         "speed_layer_archive": f"WITH {whole_seconds} SELECT {RAW_COLUMNS} FROM lines",
-        "speed_layer_alerts": f"WITH {event_found} SELECT {ANOMALY_COLUMNS} FROM found",
+        "speed_layer_alerts": f"WITH {event_found} SELECT {ALERT_ID}, {ANOMALY_COLUMNS} FROM found",
+        "alert_replay": f"WITH {event_found} SELECT {ALERT_ID}, {ANOMALY_COLUMNS} FROM found",
         "single_pipeline_realtime": f"""
 WITH {event_found} SELECT {ALERT_ID}, {ANOMALY_COLUMNS} FROM found""",
         "single_pipeline_reprocess": f"""

@@ -29,16 +29,6 @@ EVENT_SCHEMA = _schema(
 
 TRANSACTION_COLUMNS = list(EVENT_TO_COLUMN.values())
 
-# Shape of a frame read from a topic.
-TOPIC_SCHEMA = _schema(
-    key=T.BinaryType(),
-    value=T.BinaryType(),
-    topic=TEXT,
-    partition=T.IntegerType(),
-    offset=WHOLE,
-    timestamp=MOMENT,
-)
-
 RAW_TRANSACTIONS = _schema(
     transaction_id=TEXT,
     customer_id=TEXT,

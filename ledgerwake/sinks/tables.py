@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerwake.operators import keyed
-from ledgerwake.operators.validate import conform
+from ledgerwake.operators.validate import conform, keyed_rows
 
 COMPACT_AFTER = 64
 
@@ -63,6 +63,11 @@ class KeyedTable:
         if self.partition_by:
             writer = writer.partitionBy(*self.partition_by)
         writer.parquet(f"{self.path}/{kind}={number}")
+        if number not in self._numbers(kind):
+            raise ValueError(
+                f"{self.path}/{kind}={number} has no success marker, so nobody would read it;"
+                " set mapreduce.fileoutputcommitter.marksuccessfuljobs to true"
+            )
 
     def _load(self, kind: str, numbers: list[int]) -> DataFrame:
         """Folders of one kind as one scan, with their number as a column."""
@@ -124,7 +129,7 @@ class InsertIgnoreTable(KeyedTable):
         The batch is read more than once, for its keys and for its rows, so let it be a
         stored or persisted frame when it is costly to compute.
         """
-        rows = conform(batch, self.schema).na.drop(subset=self.keys)
+        rows = keyed_rows(conform(batch, self.schema), self.keys)
         if self._snapshot() is None and not self._open_versions():
             self._add(keyed.first_per_key(rows, self.keys, order_by))
             return
@@ -151,7 +156,7 @@ class UpsertTable(KeyedTable):
 
     def upsert(self, batch: DataFrame, order_by: Sequence[str] = ()) -> None:
         """Adds the batch as a version, at the cost of the batch and not of the table."""
-        ordered = batch.na.drop(subset=self.keys)
+        ordered = keyed_rows(batch, self.keys)
         if ordered.isEmpty():
             return
         rows = keyed.latest_per_key(ordered, self.keys, order_by)

@@ -7,15 +7,32 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerwake.fixed_values import MISSING_TOKENS
+from ledgerwake.operators.validate import require_columns
 
 
-def read_csv(
-    spark: SparkSession, path: str, schema: T.StructType | None = None, header: bool = True
-) -> DataFrame:
-    """CSV with the usual spellings of a missing cell read as null.
+# Holds the whole line where a row has more or fewer cells than the header.
+_RAGGED = "_ragged_line"
+
 
-    With a schema the file is read once and cells that do not fit their type become
-    null; without one, one more pass finds out which columns hold only numbers.
+def split_csv(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType | None = None,
+    header: bool = True,
+    multi_line: bool = False,
+) -> tuple[DataFrame, DataFrame]:
+    """Rows of a CSV dataset, and the rows that do not fit with `reject_reasons`.
+
+    The usual spellings of a missing cell are read as null.  The columns of `schema` are
+    found by their names in the header, wherever they stand; further columns follow as
+    text.  Files of one dataset must have the same header.  Without a header the schema
+    names the columns in order; without a schema one more pass finds out which columns hold
+    only numbers.
+
+    A row does not fit if it has more or fewer cells than the header (`ragged`), or a cell
+    that is not of its column's type (`<column>_unfit`).  Line breaks inside quotes need
+    `multi_line`, with which a file is read by one task; without it each line of such a row
+    is judged as a row.
     """
     # Cells stay text at first: the reader knows just one spelling of null.  No value of
     # its own may stand for null or the empty string here.
@@ -23,17 +40,51 @@ def read_csv(
         spark.read.option("header", header)
         .option("escape", '"')
         .option("mode", "PERMISSIVE")
+        .option("multiLine", multi_line)
+    )
+    names = reader.csv(path).columns if header else list(schema.names)
+    text = T.StructType([T.StructField(n, T.StringType()) for n in (*names, _RAGGED)])
+    raw = (
+        reader.option("enforceSchema", False)
+        .option("columnPruning", False)
+        .option("columnNameOfCorruptRecord", _RAGGED)
+        .schema(text)
+        .csv(path)
     )
-    if schema is not None:
-        text = T.StructType([T.StructField(n, T.StringType()) for n in schema.names])
-        reader = reader.schema(text)
-    raw = reader.csv(path)
-    cells = raw.select(*[_known(c).alias(c) for c in raw.columns])
+    cells = raw.select(*[_known(c).alias(c) for c in names], _RAGGED)
     if schema is None:
-        schema = infer_types(cells)
-    return cells.select(
-        *[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in schema]
+        schema = infer_types(cells.filter(F.col(_RAGGED).isNull()).drop(_RAGGED))
+    else:
+        require_columns(cells, *schema.names)
+    further = [n for n in names if n not in schema.names]
+    cast = {f.name: F.col(f"`{f.name}`").try_cast(f.dataType) for f in schema}
+    reasons = [F.when(F.col(_RAGGED).isNotNull(), "ragged")] + [
+        F.when(F.col(f"`{n}`").isNotNull() & value.isNull(), f"{n}_unfit")
+        for n, value in cast.items()
+    ]
+    judged = cells.withColumn("reject_reasons", F.array_compact(F.array(*reasons)))
+    good = judged.filter(F.size("reject_reasons") == 0).select(
+        *[value.alias(n) for n, value in cast.items()], *[F.col(f"`{n}`") for n in further]
     )
+    return good, judged.filter(F.size("reject_reasons") > 0)
+
+
+def read_csv(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType | None = None,
+    header: bool = True,
+    multi_line: bool = False,
+) -> DataFrame:
+    """The rows of a CSV dataset in which every row fits; fails where one does not.
+
+    `split_csv` gives both sides instead.
+    """
+    good, rejected = split_csv(spark, path, schema, header, multi_line)
+    first = rejected.select("reject_reasons").first()
+    if first:
+        raise ValueError(f"{path} has rows that do not fit: {', '.join(first[0])}")
+    return good
 
 
 def _known(name: str) -> Column:

@@ -110,7 +110,7 @@ def on_good(step: Step, need_time: bool = True) -> Step:
 
 
 def archive_to(
-    table: InsertIgnoreTable, rejected_path: str | None = None,
+    table: InsertIgnoreTable, rejected_path: str,
     order_by: Sequence[str] = ("event_time",),
 ) -> Step:
     """Step that stores valid raw rows once per id and sets the others aside."""
@@ -118,18 +118,17 @@ def archive_to(
     def step(batch: DataFrame, batch_id: int) -> None:
         valid, rejected = validate.split(batch, validate.raw_transaction_checks(batch))
         table.insert(valid, order_by)
-        if rejected_path:
-            set_aside(rejected, rejected_path, batch_id)
+        set_aside(rejected, rejected_path, batch_id)
 
     return step
 
 
 def alerts_to(
     table: InsertIgnoreTable,
+    rejected_path: str,
     incomplete: str = "drop",
     limits: detect.Limits = detect.Limits(),
     run_ts=None,
-    rejected_path: str | None = None,
 ) -> Step:
     """Step that stores the alerts of a batch; a repeated batch adds none.
 
@@ -145,8 +144,7 @@ def alerts_to(
             checks = validate.fits(found, REPORT_DECIMAL, "amount", "current_balance")
         valid, rejected = validate.split(found, checks)
         table.insert(detect.alerts(valid, run_ts))
-        if rejected_path:
-            set_aside(rejected, rejected_path, batch_id)
+        set_aside(rejected, rejected_path, batch_id)
 
     return step
 
@@ -179,7 +177,7 @@ def speed_layer(
         checkpoint,
         steps=[
             on_good(
-                alerts_to(alerts, "drop", limits, rejected_path=f"{rejected_path}/alerts"),
+                alerts_to(alerts, f"{rejected_path}/alerts", "drop", limits),
                 need_time=False,
             ),
             on_good(archive_to(archive, f"{rejected_path}/rows"), need_time=False),
@@ -193,30 +191,42 @@ def single_pipeline(
     transactions: DataFrame,
     mode: str,
     checkpoint: str,
+    rejected_path: str,
     alerts: InsertIgnoreTable | None = None,
     profiles: UpsertTable | None = None,
     end=None,
     trigger: dict | None = None,
     limits: detect.Limits = detect.Limits(),
-    rejected_path: str | None = None,
-) -> StreamingQuery:
+) -> list[StreamingQuery]:
     """One job, two modes: `realtime` detection or `reprocess` of profiles.
 
+    Returns the queries that were started.  A replay has a second one, which writes the rows
+    that lack what a profile needs to the rejected path; its own checkpoint lies beside the
+    first.
+
     For a replay give a fresh checkpoint and a source that starts at the earliest record.
-    It takes rows up to `end`, by default the moment it is started.  Rows that lack what a
-    profile needs cannot be averaged; `jobs.replay_profiles` also stores them.
+    It takes rows up to `end`, by default the moment it is started.
     """
     if mode == "realtime":
-        steps = [alerts_to(alerts, "keep", limits, rejected_path=rejected_path)]
-        return start(transactions, "realtime-detection", checkpoint, steps=steps, trigger=trigger)
+        steps = [alerts_to(alerts, rejected_path, "keep", limits)]
+        return [start(transactions, "realtime-detection", checkpoint, steps=steps, trigger=trigger)]
     if mode == "reprocess":
         until = F.lit(datetime.now(timezone.utc)) if end is None else end
-        ready, _ = validate.split(transactions, validate.measure_checks(transactions))
-        return start(
-            profile_stream(ready, until),
-            "reprocess-profiles",
-            checkpoint,
-            steps=[profiles_to(profiles)],
-            trigger=trigger,
-        )
+        ready, rejected = validate.split(transactions, validate.measure_checks(transactions))
+        return [
+            start(
+                profile_stream(ready, until),
+                "reprocess-profiles",
+                checkpoint,
+                steps=[profiles_to(profiles)],
+                trigger=trigger,
+            ),
+            start(
+                rejected,
+                "reprocess-rejected",
+                f"{checkpoint}-rejected",
+                path=rejected_path,
+                trigger=trigger,
+            ),
+        ]
     raise ValueError(f"mode must be realtime or reprocess, not {mode}")

@@ -10,6 +10,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerwake.operators import clean, quantiles, summary
 from ledgerwake.plans import jobs
@@ -140,6 +141,30 @@ def test_csv_reads_as_pandas_does(spark, folder, tmp_path):
 def test_clean_job(spark, folder, tmp_path):
     (tmp_path / "in.csv").write_text("a,b\n1,x\n,y\n4,\n")
     schema = file_source.read_csv(spark, str(tmp_path / "in.csv")).schema
-    before, after = jobs.clean_csv(spark, str(tmp_path / "in.csv"), f"{folder}/out", schema=schema)
+    before, after = jobs.clean_csv(
+        spark, str(tmp_path / "in.csv"), f"{folder}/out", f"{folder}/rejected", schema=schema
+    )
     assert {r.column_name: r.missing for r in before.collect()} == {"a": 1, "b": 1}
     assert {r.column_name: r.missing for r in after.collect()} == {"a": 0, "b": 1}
+
+
+def test_csv_by_name_with_rejects(spark, folder, tmp_path):
+    text = (
+        "TransactionID,amount,CustomerID,note\n"
+        't1,10.5,c1,"two\nlines"\nt2,ten,c2,x\nt3,7,c3\nt4,nan,c4,y\n'
+    )
+    (tmp_path / "in.csv").write_text(text)
+    schema = T.StructType(
+        [T.StructField("CustomerID", T.StringType()), T.StructField("amount", T.DoubleType())]
+    )
+    good, rejected = file_source.split_csv(
+        spark, str(tmp_path / "in.csv"), schema, multi_line=True
+    )
+    rows = {tuple(r) for r in good.collect()}
+    assert good.columns == ["CustomerID", "amount", "TransactionID", "note"]
+    assert rows == {("c1", 10.5, "t1", "two\nlines"), ("c4", None, "t4", "y")}
+    assert {r.TransactionID: r.reject_reasons for r in rejected.collect()} == {
+        "t2": ["amount_unfit"], "t3": ["ragged"]
+    }
+    with pytest.raises(ValueError, match="do not fit"):
+        file_source.read_csv(spark, str(tmp_path / "in.csv"), schema, multi_line=True)

@@ -19,7 +19,8 @@ CASES = [
     ("no_amount", 100.0, None, []),
     ("no_balance", None, 60000.0, []),
     ("nan_amount", 100.0, math.nan, []),
-    ("nan_balance", math.nan, 60000.0, []),
+    ("nan_balance", math.nan, 60000.0, [A]),
+    ("nan_both", math.nan, math.nan, []),
 ]
 
 
@@ -58,6 +59,18 @@ def test_alert_ids_repeat_and_tell_events_apart(spark):
     assert len(once) == 4
 
 
+def test_alert_ids_do_not_depend_on_the_type(spark):
+    rows = frame(spark, [txn("a", 1.0, 5.25), txn("b", 100.5, 60000.0)])
+    stored = rows.withColumns(
+        {
+            c: rows[c].cast("decimal(12,2)")
+            for c in ("customer_account_balance", "transaction_amount_inr")
+        }
+    )
+    ids = [{r.alert_id for r in detect.alerts(detect.detect(x)).collect()} for x in (rows, stored)]
+    assert ids[0] == ids[1]
+
+
 def test_detection_has_no_shuffle(spark):
     plan = detect.detect(frame(spark, [txn("a", 1.0, 5.0)]))
     text = plan._jdf.queryExecution().executedPlan().toString()

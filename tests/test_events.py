@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ledgerwake.functions import events
@@ -21,7 +23,7 @@ def decode(spark, *payloads):
 def test_good_message(spark):
     row = events.good(decode(spark, GOOD)).first()
     assert row.transaction_id == "t"
-    assert row.customer_account_balance is None
+    assert math.isnan(row.customer_account_balance)
     assert row.transaction_amount_inr == -5.5
     assert str(row.event_time) == "2025-01-01 00:03:00"
 

@@ -5,7 +5,7 @@ import time
 from pyspark.sql import functions as F
 
 from ledgerwake.functions import events
-from ledgerwake.operators import detect, profile
+from ledgerwake.operators import detect, profile, validate
 from ledgerwake.schemas import ANOMALIES, PROFILES, RAW_TRANSACTIONS, TRANSACTION_COLUMNS
 from ledgerwake.sinks.tables import InsertIgnoreTable, UpsertTable
 from ledgerwake.sources import files
@@ -104,17 +104,25 @@ def test_speed_layer_with_replay(spark, folder):
 def test_single_pipeline(spark, folder):
     stream = events.good(topic(spark, folder, SLICES))
     alerts = InsertIgnoreTable(spark, f"{folder}/alerts", ANOMALIES, ["alert_id"])
-    pipelines.single_pipeline(
-        stream, "realtime", f"{folder}/live", alerts=alerts
-    ).awaitTermination()
+    for query in pipelines.single_pipeline(
+        stream, "realtime", f"{folder}/live", f"{folder}/aside", alerts=alerts
+    ):
+        query.awaitTermination()
     expected = detect.alerts(detect.detect(batch_rows(spark, SLICES), "keep"))
     ids = {r.alert_id for r in alerts.read().collect()}
     assert ids == {r.alert_id for r in expected.collect()}
     profiles = UpsertTable(spark, f"{folder}/profiles", PROFILES, ["customer_id"])
     for attempt in ("replay", "replay-again"):
-        pipelines.single_pipeline(
-            stream, "reprocess", f"{folder}/{attempt}", profiles=profiles
-        ).awaitTermination()
+        aside = f"{folder}/{attempt}-aside"
+        for query in pipelines.single_pipeline(
+            stream, "reprocess", f"{folder}/{attempt}", aside, profiles=profiles
+        ):
+            query.awaitTermination()
+        ready, rejected = validate.split(
+            batch_rows(spark, SLICES), validate.measure_checks(batch_rows(spark, SLICES))
+        )
+        kept_aside = spark.read.schema(rejected.schema).parquet(aside)
+        assert kept_aside.count() == rejected.count()
         kept = {r.customer_id: (r.transaction_count, r.max_balance) for r in profiles.read().collect()}
         assert kept == {"c": (1, 200.0), "d": (1, 10.0)}
 
@@ -132,7 +140,7 @@ def test_first_rows_within_watermark(spark, folder):
 def test_alerts_without_room_are_set_aside(spark, folder):
     table = InsertIgnoreTable(spark, f"{folder}/alerts", ANOMALIES, ["alert_id"])
     batch = frame(spark, [txn("wide", 1.0, 1e20), txn("fine", 1.0, 5.0)])
-    pipelines.alerts_to(table, "drop", rejected_path=f"{folder}/aside")(batch, 0)
+    pipelines.alerts_to(table, f"{folder}/aside", "drop")(batch, 0)
     assert {r.transaction_id for r in table.read().collect()} == {"fine"}
     aside = spark.read.parquet(f"{folder}/aside/batch=0").collect()
     assert {r.transaction_id for r in aside} == {"wide"}

@@ -26,7 +26,9 @@ def content(table):
 def test_insert_ignore(spark, folder, partition_by):
     table = InsertIgnoreTable(spark, folder, SCHEMA, ["k"], partition_by, compact_after=2)
     assert content(table) == []
-    first = rows(spark, ("a", 2), ("a", 1), ("b", 5), (None, 9))
+    first = rows(spark, ("a", 2), ("a", 1), ("b", 5))
+    with pytest.raises(Exception, match="lacks its key"):
+        table.insert(rows(spark, (None, 9)), ["v"])
     table.insert(first, ["v"])
     assert content(table) == [("a", 1), ("b", 5)]
     table.insert(first, ["v"])

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import math
+
 import pytest
 
 from ledgerwake.operators import keyed, validate
@@ -84,3 +86,18 @@ def test_hot_key_is_combined_before_the_shuffle(spark):
     assert "partial_min" in plan and "Window" not in plan
     assert first.count() == 6001
     assert first.filter("k = 'hot'").first().v == 0
+
+
+def test_a_value_without_room_never_becomes_null(spark):
+    rows = frame(spark, [txn("wide", 1.0, 1e20)])
+    with pytest.raises(Exception, match="does not fit"):
+        validate.conform(rows, RAW_TRANSACTIONS).collect()
+    missing = frame(spark, [txn("nan", math.nan, 5.0)])
+    stored = validate.conform(missing, RAW_TRANSACTIONS).first()
+    assert stored.customer_account_balance is None
+
+
+def test_a_row_without_key_is_refused(spark):
+    rows = frame(spark, [txn(None, 1.0, 5.0)])
+    with pytest.raises(Exception, match="lacks its key"):
+        validate.keyed_rows(rows, ["transaction_id"]).collect()
