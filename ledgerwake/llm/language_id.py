@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerwake.llm.shared import held_out, in_pieces, staged, texts_of
+from ledgerwake.llm.shared import held_out, in_pieces, kept, staged, texts_of
 
 # The training sample: at most so many labelled documents of each language.
 DOCUMENTS_PER_LANGUAGE = 150
@@ -31,7 +31,7 @@ LEXICON = 300
 # Lengths of the runs that are spliced into code-switched training sequences.
 RUN, SEQUENCE, BATCH = (4, 40), 64, 64
 # Words whose scores a worker remembers, and words that one forward-backward takes.
-MEMO, AT_ONCE = 500_000, 200_000
+MEMO, AT_ONCE = 350_000, 200_000
 UNKNOWN = "und"
 
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -231,15 +231,8 @@ class _Labeller:
         out[[n for n, _ in split]] = np.add.reduceat(found, first, axis=0) / lengths[:, None]
 
 
-_labellers: dict[int, _Labeller] = {}
-
-
 def _labeller(packed: bytes) -> _Labeller:
-    key = zlib.crc32(packed)
-    if key not in _labellers:
-        _labellers.clear()
-        _labellers[key] = _Labeller(pickle.loads(packed))
-    return _labellers[key]
+    return kept(("labeller", zlib.crc32(packed)), lambda: _Labeller(pickle.loads(packed)))
 
 
 def fit(labelled: DataFrame, per_language: int = DOCUMENTS_PER_LANGUAGE) -> bytes:

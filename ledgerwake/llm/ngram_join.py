@@ -271,7 +271,8 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         F.zip_with("low_bins", "high_bins", lambda x, y: F.least(x, y)), F.lit(0), lambda total, one: total + one
     )
     near = pairs.join(side("low", "n", "bins"), "low").join(side("high", "n", "bins"), "high")
-    near = near.filter(enough(common)).select("low", "high").distinct()
+    # Written down, the pairs have a known size, and the sets stay where they are if it is small.
+    near = staged(near.filter(enough(common)).select("low", "high").distinct(), "near")
     whole = near.join(side("low", "n", "shingles"), "low").join(side("high", "n", "shingles"), "high")
     return (
         whole.filter(enough(F.size(F.array_intersect("low_shingles", "high_shingles"))))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +58,17 @@ def same_as_before(*columns: list) -> np.ndarray:
     return np.array([False, *(a == b for a, b in zip(rows, rows[1:]))], dtype=bool)[: len(rows)]
 
 
+_kept: dict = {}
+
+
+def kept(key: tuple, make: Callable[[], object]):
+    """What a worker process keeps between tasks: the last thing asked for, and nothing older."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
 def in_pieces(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most `rows`."""
     for batch in batches:

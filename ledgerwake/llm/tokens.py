@@ -15,12 +15,16 @@ from functools import lru_cache
 
 import numpy as np
 
+from ledgerwake.llm.shared import kept
+
 # Words held by each of the two memos, about 200 bytes each, and words looked up in one go.
-MEMO, GROUP = 500_000, 250_000
+MEMO, GROUP = 350_000, 250_000
 # Words that stand in one text when they are encoded, and texts of one call.
 IN_TEXT, AT_ONCE = 256, 64
 # Marks the bounds of words for a vocabulary that drops spaces; one id of its own.
 _MARK = "\0"
+# From this letter on, lower-casing or composing may end a word in something else than a letter.
+_FIRST_UNSURE = 0x130
 
 _SPACE_RUN = re.compile(r"\s\s")
 _SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
@@ -83,9 +87,9 @@ class Encoder:
         self.memo.update((w, self.older[w]) for w in known)
         cut, wanted = [], set()
         for word in fresh - known:
-            # Marks after a letter are a piece of their own, so the two are encoded apart.
+            # Punctuation after a letter is a piece of its own, so the two are encoded apart.
             stem = word.rstrip(string.punctuation)
-            if stem and stem != word and stem[-1].isalpha():
+            if stem and stem != word and stem[-1].isalpha() and ord(stem[-1]) < _FIRST_UNSURE:
                 cut.append((word, stem, word[len(stem) :]))
                 wanted.update(cut[-1][1:])
             else:
@@ -168,10 +172,9 @@ class Encoder:
         return out
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     """The worker's encoder for a vocabulary file."""
-    return Encoder(path)
+    return kept(("encoder", path), lambda: Encoder(path))
 
 
 @lru_cache(maxsize=2)
