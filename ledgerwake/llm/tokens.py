@@ -83,10 +83,15 @@ class Encoder:
         fresh = wanted.difference(self.memo)
         if len(self.memo) + len(fresh) > MEMO:
             self.older, self.memo, fresh = self.memo, {}, wanted
-        known = fresh.intersection(self.older)
-        self.memo.update((w, self.older[w]) for w in known)
+        # Membership is asked word by word: set methods would walk through the whole memo.
+        older, unknown = self.older, []
+        for word in fresh:
+            if word in older:
+                self.memo[word] = older[word]
+            else:
+                unknown.append(word)
         cut, wanted = [], set()
-        for word in fresh - known:
+        for word in unknown:
             # Punctuation after a letter is a piece of its own, so the two are encoded apart.
             stem = word.rstrip(string.punctuation)
             if stem and stem != word and stem[-1].isalpha() and ord(stem[-1]) < _FIRST_UNSURE:
@@ -94,19 +99,23 @@ class Encoder:
                 wanted.update(cut[-1][1:])
             else:
                 wanted.add(word)
-        wanted.difference_update(self.memo)
-        again = wanted.intersection(self.older)
-        self.memo.update((w, self.older[w]) for w in again)
-        self._encode_words(list(wanted - again))
+        unknown = []
+        for word in wanted:
+            if word in older:
+                self.memo[word] = older[word]
+            elif word not in self.memo:
+                unknown.append(word)
+        self._encode_words(unknown)
         for word, stem, rest in cut:
             self.memo[word] = self.memo[stem] + self.memo[rest]
 
     def _encode_words(self, words: list[str]) -> None:
         """Encodes many words in one text where their ids can be told apart, else one by one."""
         fits = self._spaced_fits if self.keeps_spaces else self._folded_fits
-        joined = [w for w in words if fits(w)]
+        joined, lone = [], []
+        for word in words:
+            (joined if fits(word) else lone).append(word)
         groups = [joined[n : n + IN_TEXT] for n in range(0, len(joined), IN_TEXT)]
-        lone = [w for w in words if not fits(w)]
         between = "" if self.keeps_spaces else f" {_MARK} "
         for start in range(0, len(groups), AT_ONCE):
             part = groups[start : start + AT_ONCE]
