@@ -45,16 +45,26 @@ def drop_missing(df: DataFrame) -> DataFrame:
 
 def fill_mean(df: DataFrame) -> DataFrame:
     """Numeric columns that miss something get their mean; all others keep their type."""
-    columns = columns_with_gaps(df, numeric_columns(df))
+    columns = numeric_columns(df)
     if not columns:
         return df
-    means = df.agg(F.array(*[F.avg(measure(df, c)).cast("double") for c in columns])).first()[0]
-    return fill(df, dict(zip(columns, means)))
+    found = df.agg(
+        F.array(
+            *[
+                F.struct(
+                    F.max(is_missing(df, c)).alias("gaps"),
+                    F.avg(measure(df, c)).cast("double").alias("mean"),
+                )
+                for c in columns
+            ]
+        )
+    ).first()[0]
+    return fill(df, {c: one["mean"] for c, one in zip(columns, found) if one["gaps"]})
 
 
 def fill_median(df: DataFrame) -> DataFrame:
     """Numeric columns that miss something get their median; all others keep their type."""
-    medians = exact_quantiles(df, columns_with_gaps(df, numeric_columns(df)), [0.5])
+    medians = exact_quantiles(df, numeric_columns(df), [0.5], gaps_only=True)
     return fill(df, {c: m[0] for c, m in medians.items()})
 
 
@@ -67,7 +77,12 @@ def columns_with_gaps(df: DataFrame, columns: list[str]) -> list[str]:
 
 
 def fill_mode(df: DataFrame) -> DataFrame:
-    return fill(df, column_modes(df).first().asDict())
+    """Columns that miss something get their mode; only the values of these are counted."""
+    columns = columns_with_gaps(df, df.columns)
+    if not columns:
+        return df
+    modes = column_modes(df.select(*[F.col(f"`{c}`") for c in columns])).first()
+    return fill(df, dict(zip(columns, modes)))
 
 
 def fill_custom(df: DataFrame, fills: Mapping[str, object] = CUSTOM_FILLS) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -44,9 +45,12 @@ def reasons(
 
 
 def detect(
-    transactions: DataFrame, incomplete: str = "drop", limits: Limits = Limits()
+    transactions: DataFrame,
+    incomplete: str = "drop",
+    limits: Limits = Limits(),
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """One row per transaction and matching rule.
+    """One row per transaction and matching rule, with the further columns named in `carry`.
 
     `incomplete` says what happens to rows without id, customer or location: `drop`
     leaves them out, `keep` judges them like any other but wants an event time.  A balance
@@ -71,6 +75,7 @@ def detect(
             "anomaly_reason",
             balance.alias("current_balance"),
             "event_time",
+            *carry,
         )
     )
 

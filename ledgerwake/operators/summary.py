@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerwake.functions.scalars import measure
@@ -39,13 +39,14 @@ def quick_summary(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*columns).summary()
 
 
-def row_counts(**frames: DataFrame) -> DataFrame:
-    """One row per named frame with its number of rows."""
-    counted = [
-        df.agg(F.lit(name).alias("stage"), F.count("*").alias("n_rows"))
-        for name, df in frames.items()
-    ]
-    stacked = counted[0]
-    for more in counted[1:]:
-        stacked = stacked.unionByName(more)
-    return stacked
+def row_counts(df: DataFrame, **stages: Column) -> DataFrame:
+    """One row per stage with the number of rows that meet its condition, from one pass."""
+    counted = df.agg(
+        F.array(
+            *[
+                F.struct(F.lit(name).alias("stage"), F.count_if(condition).alias("n_rows"))
+                for name, condition in stages.items()
+            ]
+        ).alias("counts")
+    )
+    return counted.select(F.inline("counts"))

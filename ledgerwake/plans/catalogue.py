@@ -408,8 +408,9 @@ def sign_by_hash(spark, sf_dir):
 
 def row_counts(spark, sf_dir):
     rows = _suspect(spark, sf_dir)
-    valid, rejected = validate.split(rows, validate.raw_transaction_checks(rows))
-    return summary.row_counts(read=rows, valid=valid, rejected=rejected)
+    judged = validate.tag(rows, validate.raw_transaction_checks(rows))
+    fits = F.size("reject_reasons") == 0
+    return summary.row_counts(judged, read=F.lit(True), valid=fits, rejected=~fits)
 
 
 # --- CSV jobs --------------------------------------------------------------------------
@@ -626,9 +627,8 @@ def detection_latency(spark, sf_dir):
     archive = archive.withColumn("event_time", F.col("event_time").cast("timestamp"))
     delay = F.make_dt_interval(secs=F.col("l_partkey") % 97 + 1)
     late = archive.withColumn("detected_at", F.col("event_time") + delay)
-    reasons = detect.detect(late).select("transaction_id", "anomaly_reason")
-    alerts = reasons.join(late.select("transaction_id", "detected_at"), "transaction_id")
-    return _plain(telemetry.detection_latency(alerts, archive, "1 day"))
+    alerts = detect.detect(late, carry=["detected_at"])
+    return _plain(telemetry.detection_latency(alerts, "1 day"))
 
 
 QUERIES: tuple[Query, ...] = (

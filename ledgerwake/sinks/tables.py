@@ -19,8 +19,6 @@ from pyspark.sql import types as T
 from ledgerwake.operators import keyed
 from ledgerwake.operators.validate import conform, keyed_rows
 
-COMPACT_AFTER = 64
-
 
 class KeyedTable:
     def __init__(
@@ -30,14 +28,12 @@ class KeyedTable:
         schema: T.StructType,
         keys: Sequence[str],
         partition_by: Sequence[str] = (),
-        compact_after: int = COMPACT_AFTER,
     ):
         self.spark = spark
         self.path = path.rstrip("/")
         self.schema = schema
         self.keys = list(keys)
         self.partition_by = list(partition_by)
-        self.compact_after = compact_after
 
     def read(self) -> DataFrame:
         """One row per key.  Subclasses say how versions combine."""
@@ -48,15 +44,16 @@ class KeyedTable:
         self._save(conform(df, self.schema), "snapshot", self._next())
 
     def compact(self) -> None:
-        """Folds all versions into one snapshot."""
+        """Folds all versions into one snapshot.
+
+        It rewrites the table, so no write does it by itself: run it between streams.
+        """
         versions = self._open_versions()
         if versions:
             self._save(self.read(), "snapshot", versions[-1])
 
     def _add(self, rows: DataFrame) -> None:
         self._save(rows, "version", self._next())
-        if len(self._open_versions()) > self.compact_after:
-            self.compact()
 
     def _save(self, rows, kind, number):
         writer = rows.write.mode("overwrite")

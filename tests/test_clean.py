@@ -91,6 +91,18 @@ def test_quantiles_against_numpy(spark, monkeypatch):
     assert found["a"][3] == pytest.approx(np.median([r[0] for r in cells]))
 
 
+@pytest.mark.parametrize("sign", [1, -1])
+def test_values_of_wide_magnitude_need_few_passes(spark, monkeypatch, sign):
+    values = [sign * 10.0 ** (n / 40 * 6 - 300) for n in range(4000)] + [0.0, -5e-324, -1.0]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    passes, narrow = [], quantiles._narrow
+    monkeypatch.setattr(quantiles, "SKETCH", 10)
+    monkeypatch.setattr(quantiles, "_narrow", lambda *args: passes.append(1) or narrow(*args))
+    found = quantiles.exact_quantiles(df, ["x"], [0.1, 0.5, 0.9])["x"]
+    assert found == pytest.approx(np.quantile(values, [0.1, 0.5, 0.9]).tolist())
+    assert len(passes) <= 6
+
+
 @settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.floats(-1e6, 1e6), min_size=1, max_size=40))
 def test_median_property(spark, values):
@@ -104,8 +116,9 @@ def test_summary(rows):
     assert row.stddev == pytest.approx(np.std([1, 4, 2, 10], ddof=1))
     quick = {r.summary: r.x for r in summary.quick_summary(rows.na.drop(subset=["x"]), "x").collect()}
     assert quick["count"] == "4"
-    counts = {r.stage: r.n_rows for r in summary.row_counts(a=rows, b=rows.limit(2)).collect()}
-    assert counts == {"a": 5, "b": 2}
+    stages = {"read": F.lit(True), "large": F.col("x").between(3, 100), "none": F.lit(False)}
+    counts = {r.stage: r.n_rows for r in summary.row_counts(rows, **stages).collect()}
+    assert counts == {"read": 5, "large": 2, "none": 0}
 
 
 def test_signs(spark):

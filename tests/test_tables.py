@@ -24,7 +24,7 @@ def content(table):
 
 @pytest.mark.parametrize("partition_by", [(), ("day",)])
 def test_insert_ignore(spark, folder, partition_by):
-    table = InsertIgnoreTable(spark, folder, SCHEMA, ["k"], partition_by, compact_after=2)
+    table = InsertIgnoreTable(spark, folder, SCHEMA, ["k"], partition_by)
     assert content(table) == []
     first = rows(spark, ("a", 2), ("a", 1), ("b", 5))
     with pytest.raises(Exception, match="lacks its key"):
@@ -35,6 +35,8 @@ def test_insert_ignore(spark, folder, partition_by):
     assert content(table) == [("a", 1), ("b", 5)]
     table.insert(rows(spark, ("b", 0), ("c", 3)), ["v"])
     assert content(table) == [("a", 1), ("b", 5), ("c", 3)]
+    assert len(table._open_versions()) == 3
+    table.compact()
     assert table._open_versions() == []
     table.insert(rows(spark, ("c", 4), ("d", 4)), ["v"])
     assert content(table) == [("a", 1), ("b", 5), ("c", 3), ("d", 4)]
