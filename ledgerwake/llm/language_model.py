@@ -35,14 +35,21 @@ END = b""  # the end token; no word is empty
 FREQUENT = 200_000
 ANCHORS, ENDINGS = 24, 8
 CLASSES = ANCHORS + ENDINGS
-# Hashed features, rounds of training, tokens of a gradient step, learning rate.
+# Least rows of hashed features, rounds of training, tokens of a gradient step, learning rate.
 FEATURES, ROUNDS, STEP, RATE = 1 << 13, 2, 4096, 0.3
+# Distinct training tokens that add a row of hashed features, rows that are summed up together.
+TOKENS_PER_ROW, ROWS_PER_SLICE = 4, 1 << 13
 SLICES = 64
 # Words that a task counts before it hands them on.
 COUNTED = 200_000
 LN10 = math.log(10)
 
 
+def feature_rows(distinct: int) -> int:
+    """Rows of hashed features: a power of two that grows with the distinct training tokens."""
+    return max(FEATURES, 1 << (max(distinct, 1) // TOKENS_PER_ROW).bit_length())
+
+
 def tokens_of(text: str) -> list[bytes]:
     """Words after lower-casing A-Z, then the end token."""
     return [*text.encode().lower().split(), END]
@@ -192,7 +199,9 @@ def learn_classes(training: DataFrame, frequent: dict[bytes, int]) -> Vocabulary
     )
 
 
-def histories(kinds: np.ndarray, hashed: np.ndarray, first: np.ndarray) -> np.ndarray:
+def histories(
+    kinds: np.ndarray, hashed: np.ndarray, first: np.ndarray, rows: int = FEATURES
+) -> np.ndarray:
     """Features of each token's history, five per token; `first` is true at a text's start."""
     n = len(kinds)
     since = np.arange(n) - np.maximum.accumulate(np.where(first, np.arange(n), 0))
@@ -205,8 +214,8 @@ def histories(kinds: np.ndarray, hashed: np.ndarray, first: np.ndarray) -> np.nd
         (word[0] * np.uint64(0x9E3779B1) + word[1]) * 5 + 4,
         (kind[0] * np.uint64(CLASSES + 1) + kind[1]) * 5,
     )
-    mixed = [(x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40) for x in raw]
-    return np.stack(mixed, axis=1).astype(np.int64) % FEATURES
+    mixed = [(x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(24) for x in raw]
+    return np.stack(mixed, axis=1).astype(np.int64) % rows
 
 
 class Softmax:
@@ -215,9 +224,8 @@ class Softmax:
     def __init__(self, weights: np.ndarray):
         self.weights = weights
         self.scores, self.picked = (np.empty((STEP, CLASSES), dtype=np.float32) for _ in range(2))
-        self.cells = np.empty((STEP, CLASSES), dtype=np.int64)
-        self.change = np.empty(weights.size, dtype=np.float32)
-        self.squares = np.full(FEATURES, 1e-6, dtype=np.float32)
+        self.squares = np.full(len(weights), 1e-6, dtype=np.float32)
+        self.touched = np.zeros(len(weights), dtype=bool)
 
     def logs(self, features: np.ndarray) -> np.ndarray:
         """Natural logs of the class probabilities, a row per token; the next call overwrites them."""
@@ -238,18 +246,19 @@ class Softmax:
         slope = np.exp(self.logs(features), out=self.picked[:n])
         slope[np.arange(n), kinds] -= 1
         slope /= n
-        cells, change = self.cells[:n], self.change
-        change.fill(0)
-        for k in range(features.shape[1]):
-            np.add(features[:, k, None] * CLASSES, np.arange(CLASSES), out=cells)
-            np.add.at(change, cells.reshape(-1), slope.reshape(-1))
-        change = change.reshape(self.weights.shape)
-        self.squares += np.einsum("ij,ij->i", change, change) / CLASSES
-        change *= (RATE / np.sqrt(self.squares))[:, None]
-        self.weights -= change
-
-
-def _batch_tokens(vocabulary: Vocabulary, texts: list[str]):
+        flat = features.reshape(-1)
+        order = np.argsort(flat, kind="stable")
+        rows = flat[order]
+        starts = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+        rows = rows[starts]
+        change = np.add.reduceat(slope[order // features.shape[1]], starts, axis=0)
+        self.squares[rows] += np.einsum("ij,ij->i", change, change) / CLASSES
+        change *= (RATE / np.sqrt(self.squares[rows]))[:, None]
+        self.weights[rows] -= change
+        self.touched[rows] = True
+
+
+def _batch_tokens(vocabulary: Vocabulary, texts: list[str], rows: int):
     split = [tokens_of(t) for t in texts]
     lengths = np.array([len(s) for s in split], dtype=np.int64)
     tokens = [t for s in split for t in s]
@@ -257,40 +266,78 @@ def _batch_tokens(vocabulary: Vocabulary, texts: list[str]):
     first = np.zeros(len(tokens), dtype=bool)
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
     first[starts] = True
-    return tokens, lengths, starts, at, kinds, histories(kinds, hashed, first)
+    return tokens, lengths, starts, at, kinds, histories(kinds, hashed, first, rows)
+
+
+def _changed(change: np.ndarray, touched: np.ndarray) -> pa.RecordBatch:
+    """The touched rows of a table and their changes, by slice."""
+    found: tuple = ([], [], [])
+    for one in range(0, len(change), ROWS_PER_SLICE):
+        rows = np.flatnonzero(touched[one : one + ROWS_PER_SLICE]).astype(np.int16)
+        if len(rows):
+            part = change[one : one + ROWS_PER_SLICE][rows].astype(np.float16)
+            for column, x in zip(found, (one // ROWS_PER_SLICE, rows.tobytes(), part.tobytes())):
+                column.append(x)
+    kinds = (pa.int32(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, k) for c, k in zip(found, kinds)], names=["slice", "rows", "part"]
+    )
+
+
+def _averages(parts: DataFrame, width: int) -> Iterator[tuple[int, np.ndarray]]:
+    """First row and averaged changes of each slice; a row's average is over tasks that touched it."""
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in in_pieces(batches, 50):
+            for one, at, part in zip(*(batch.column(c).to_pylist() for c in ("slice", "rows", "part"))):
+                if one not in sums:
+                    empty = np.zeros((ROWS_PER_SLICE, width), dtype=np.float32)
+                    sums[one] = empty, np.zeros(ROWS_PER_SLICE, dtype=np.float32)
+                rows = np.frombuffer(at, dtype=np.int16)
+                sums[one][0][rows] += np.frombuffer(part, dtype=np.float16).reshape(-1, width)
+                sums[one][1][rows] += 1
+        for one, (change, times) in sums.items():
+            change /= np.maximum(times, 1)[:, None]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([one], pa.int32()), pa.array([change.astype(np.float16).tobytes()])],
+                names=["slice", "part"],
+            )
+
+    for r in parts.repartition("slice").mapInArrow(total, "slice int, part binary").collect():
+        yield r.slice * ROWS_PER_SLICE, np.frombuffer(r.part, dtype=np.float16).reshape(-1, width)
 
 
-def train(training: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
+def train(training: DataFrame, vocabulary: Vocabulary, rows: int = FEATURES) -> np.ndarray:
     """Weights of the class softmax; every training text takes part in one of the rounds.
 
     In a round each task takes gradient steps (Adagrad) over its texts from the common
-    weights; the changes of all tasks are averaged into the next common weights.
+    weights; a row's changes, averaged over the tasks that met it, go into the next ones.
     """
     spark = training.sparkSession
     words = spark.sparkContext.broadcast(vocabulary)
-    weights = np.zeros((FEATURES, CLASSES), dtype=np.float32)
+    weights = np.zeros((rows, CLASSES), dtype=np.float16)
     for turn in range(ROUNDS):
         shared = spark.sparkContext.broadcast(weights)
 
         def steps(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             start = shared.value
-            softmax, used = Softmax(start.copy()), 0
+            softmax = Softmax(start.astype(np.float32))
             for batch in in_pieces(batches, 200):
                 if not batch.num_rows:
                     continue
-                _, _, _, _, kinds, features = _batch_tokens(words.value, texts_of(batch))
+                _, _, _, _, kinds, features = _batch_tokens(words.value, texts_of(batch), rows)
                 for n in range(0, len(kinds), STEP):
                     softmax.step(features[n : n + STEP], kinds[n : n + STEP])
-                    used += 1
-            if used:
-                yield _slices(np.append((softmax.weights - start).reshape(-1), np.float32(1)))
+            softmax.weights -= start
+            yield _changed(softmax.weights, softmax.touched)
 
         chosen = training.filter(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == turn)
-        parts = chosen.select("text").mapInArrow(steps, "slice int, part binary")
-        found = _sums(parts, "float32")
-        if found:
-            total = np.concatenate(found)
-            weights = weights + (total[:-1] / total[-1]).reshape(weights.shape)
+        parts = chosen.select("text").mapInArrow(steps, "slice int, rows binary, part binary")
+        weights = weights.copy()
+        for at, change in _averages(parts, CLASSES):
+            weights[at : at + len(change)] += change
+        shared.unpersist()
     return weights
 
 
@@ -335,11 +382,11 @@ def _score(docs: DataFrame, vocabulary: Vocabulary, weights: np.ndarray, sizes:
         words, common, per_class = shared.value
         below = np.log10(per_class[0] + per_class[1] + 1.0)
         known = np.log10(words.counts + 1.0)
-        softmax, row = Softmax(common), TaskContext.get().partitionId() << 33
+        softmax, row = Softmax(common.astype(np.float32)), TaskContext.get().partitionId() << 33
         for batch in in_pieces(batches, 200):
             if not batch.num_rows:
                 continue
-            tokens, lengths, starts, at, kinds, features = _batch_tokens(words, texts_of(batch))
+            tokens, lengths, starts, at, kinds, features = _batch_tokens(words, texts_of(batch), len(common))
             logs = np.zeros(len(tokens))
             for n in range(0, len(tokens), STEP):
                 part = slice(n, n + STEP)
@@ -381,7 +428,7 @@ def score(docs: DataFrame, parts: int = 7) -> DataFrame:
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     frequent, least = frequent_tokens(counts)
     vocabulary = learn_classes(training, frequent)
-    weights = train(training, vocabulary)
+    weights = train(training, vocabulary, feature_rows(distinct))
     scored = _score(docs, vocabulary, weights, class_sizes(counts, vocabulary))
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x"))
     rare = rare.select("row", F.col("x.rare").alias("token"), F.col("x.times").alias("times"))

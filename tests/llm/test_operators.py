@@ -455,6 +455,26 @@ def test_scores_of_odd_rows(odd, empty):
     assert language_model.score(empty).count() == 0
 
 
+def test_features_keep_apart_as_the_input_grows():
+    rng = np.random.default_rng(2)
+    for distinct in (400_000, 4_000_000):
+        rows = language_model.feature_rows(distinct)
+        hashed = rng.integers(0, 1 << 32, size=distinct, dtype=np.uint32)
+        first = np.arange(distinct) == 0
+        found = language_model.histories(np.zeros(distinct, dtype=np.int8), hashed, first, rows)
+        assert len(np.unique(found[:, 0])) > distinct / language_model.TOKENS_PER_ROW * 0.9
+        assert found.max() < rows
+
+
+def test_more_text_scores_better_beside_the_base(spark):
+    gains = []
+    for sf in ("sf0.001", "sf0.01"):
+        docs = language_model.score(table(spark, f"/root/testdata/{sf}", "documents"))
+        gain = F.sum(F.col("score") - F.col("base_score")) / F.sum("n_tokens")
+        gains.append(docs.filter("held_out").agg(gain).first()[0])
+    assert gains[1] > gains[0] and gains[1] > 0.2
+
+
 def test_class_probabilities_sum_to_one():
     rng = np.random.default_rng(1)
     weights = rng.normal(size=(language_model.FEATURES, language_model.CLASSES)).astype(np.float32)
