@@ -2,12 +2,14 @@
 
 P(word | history) = P(class | history) * P(word | class).  The class softmax is a maximum-
 entropy model over hashed features of the history: the last word, the two words before as
-skip features, the last two words together, and the classes of both.  Within a class the only
-feature is the word itself, for which maximum entropy gives its relative frequency (one is
-added to each count and one kept for unseen words).
+skip features, the last two words together, and the classes of both.  Within a class the same
+features choose at each fork of a tree, whose leaves are frequent words and buckets of other
+words.  A fork starts from the relative frequency of its sides (one is added to each count and
+one kept in each bucket for unseen words); within a bucket that frequency is all.
 
 Classes come from the company that words keep: a frequent word joins the most typical of a
-few anchor words beside it; all other words go to classes by their endings.
+few anchor words beside it, and stands in the tree with those that share its second; all other
+words go to classes by their endings.
 
 Frequent words, a bounded table, are known to every task.  All other words reach their counts
 by a join, so every count is exact, however many words there are.
@@ -39,7 +41,14 @@ CLASSES = ANCHORS + ENDINGS
 FEATURES, ROUNDS, STEP, RATE = 1 << 13, 2, 4096, 0.3
 # Distinct training tokens that add a row of hashed features, rows that are summed up together.
 TOKENS_PER_ROW, ROWS_PER_SLICE = 4, 1 << 13
+# Cells of hashed features of the forks for each such row, tokens of a step there, learning rate,
+# and the sum of squares it starts from, which keeps cells met once from learning much.
+CELLS_PER_ROW, FORK_STEP, FORK_RATE, FORK_DAMPING = 8, 2048, 0.1, 2.0
+# Distinct words of a bucket, about.
+IN_BUCKET = 64
 SLICES = 64
+# Numbers of the features before they are dealt to rows or cells.
+WIDE = 1 << 40
 # Words that a task counts before it hands them on.
 COUNTED = 200_000
 LN10 = math.log(10)
@@ -107,6 +116,7 @@ class Vocabulary:
     counts: np.ndarray
     classes: np.ndarray
     hashes: np.ndarray
+    company: np.ndarray
 
     def look_up(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Place (-1 if not frequent), class and hash of each token."""
@@ -183,12 +193,14 @@ def learn_classes(training: DataFrame, frequent: dict[bytes, int]) -> Vocabulary
         typical = met / np.maximum(met.sum(axis=0), 1)
         classes = typical.argmax(axis=1)
         classes[anchors] = np.arange(len(anchors))
+        typical[np.arange(len(ranked)), classes] = -1
+        company = typical.argmax(axis=1)
         lonely = met.sum(axis=1) == 0
         lonely[anchors] = False
         for n in np.flatnonzero(lonely):
             classes[n] = ending_class(ranked[n][0])
     else:
-        classes = np.zeros(0, dtype=np.int64)
+        classes = company = np.zeros(0, dtype=np.int64)
     hashes = np.array([zlib.crc32(token) for token, _ in ranked], dtype=np.uint32)
     # A last entry stands for words that are not known; look_up fills it in.
     return Vocabulary(
@@ -196,9 +208,97 @@ def learn_classes(training: DataFrame, frequent: dict[bytes, int]) -> Vocabulary
         np.append(counts, 0),
         np.append(classes, 0).astype(np.int8),
         np.append(hashes, 0).astype(np.uint32),
+        company.astype(np.int8),
     )
 
 
+class Forks:
+    """A tree within each class: halves of about equal mass, down to one word or bucket.
+
+    Leaves stand in order of class, company and count, and a fork is named by the first place
+    of its right side, which no other fork has.
+    """
+
+    def __init__(self, vocabulary: Vocabulary, buckets: np.ndarray):
+        """`buckets`: tokens and distinct tokens, by ending class and bucket."""
+        self.buckets = buckets.shape[2]
+        # One is kept in each bucket for unseen words.
+        mass = buckets.sum(axis=0).reshape(-1) + 1
+        self.below = np.log10(mass)
+        kinds = np.repeat(np.arange(ANCHORS, CLASSES), self.buckets)
+        kinds = np.concatenate([vocabulary.classes[:-1], kinds])
+        mass = np.concatenate([vocabulary.counts[:-1] + 1, mass])
+        company = np.concatenate([vocabulary.company, np.full(len(self.below), ANCHORS)])
+        order = np.lexsort((-mass, company, kinds))
+        self.place = np.empty(len(order), dtype=np.int64)
+        self.place[order] = at = np.arange(len(order))
+        kinds, upto = kinds[order], np.concatenate([[0], np.cumsum(mass[order])])
+        low, high = np.searchsorted(kinds, kinds), np.searchsorted(kinds, kinds, "right")
+        self.prior = np.zeros(len(order), dtype=np.float32)
+        owners, nodes, sides = [], [], []
+        while len(at):
+            open_ = high - low > 1
+            at, low, high = at[open_], low[open_], high[open_]
+            middle = np.searchsorted(upto, (upto[low] + upto[high]) / 2)
+            middle = np.clip(middle, low + 1, high - 1)
+            left = upto[middle] - upto[low]
+            self.prior[middle] = np.log((upto[high] - upto[middle]) / left)
+            right = at >= middle
+            owners.append(at)
+            nodes.append(middle)
+            sides.append(right)
+            low, high = np.where(right, middle, low), np.where(right, high, middle)
+        owner = np.concatenate([*owners, np.zeros(0, dtype=np.int64)])
+        by_leaf = np.argsort(owner, kind="stable")
+        self.nodes = np.concatenate([*nodes, np.zeros(0)])[by_leaf].astype(np.int32)
+        self.sides = np.concatenate([*sides, np.zeros(0)])[by_leaf].astype(bool)
+        self.depth = np.bincount(owner, minlength=len(order))
+        self.start = np.cumsum(self.depth) - self.depth
+
+    def leaves(self, at: np.ndarray, kinds: np.ndarray, hashed: np.ndarray) -> np.ndarray:
+        """The leaf of each token."""
+        bucket = bucket_of(kinds, hashed, self.buckets)
+        return self.place[np.where(at >= 0, at, bucket + len(self.place) - len(self.below))]
+
+    def paths(self, leaves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Owner, fork and side of each step on the ways to the leaves."""
+        depth = self.depth[leaves]
+        owner = np.repeat(np.arange(len(leaves)), depth)
+        step = np.arange(len(owner)) - np.repeat(np.cumsum(depth) - depth, depth)
+        step += self.start[leaves][owner]
+        return owner, self.nodes[step], self.sides[step]
+
+
+def bucket_of(kinds: np.ndarray, hashed: np.ndarray, buckets: int) -> np.ndarray:
+    """Number of the bucket of each token that is not frequent; of no use for others."""
+    return (kinds.astype(np.int64) - ANCHORS) * buckets + hashed.astype(np.int64) % buckets
+
+
+def fill_buckets(rare: DataFrame, vocabulary: Vocabulary, distinct: int) -> np.ndarray:
+    """Tokens and distinct tokens in training by ending class and bucket."""
+    buckets = 1 << (max(distinct, 1) // (ENDINGS * IN_BUCKET)).bit_length()
+    words = rare.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, ENDINGS * buckets), dtype=np.int64)
+        for batch in batches:
+            _, kinds, hashed = words.value.look_up(batch.column("token").to_pylist())
+            at, n = bucket_of(kinds, hashed, buckets), batch.column("n").to_numpy()
+            total[0] += np.bincount(at, n, minlength=total.shape[1]).astype(np.int64)
+            total[1] += np.bincount(at, minlength=total.shape[1])
+        met = np.flatnonzero(total[1])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(met), pa.array(total[0, met]), pa.array(total[1, met])],
+            names=["bucket", "n", "tokens"],
+        )
+
+    out = np.zeros((2, ENDINGS * buckets), dtype=np.int64)
+    filled = rare.mapInArrow(fill, "bucket long, n long, tokens long").groupBy("bucket")
+    for r in filled.agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens")).collect():
+        out[:, r.bucket] = r.n, r.tokens
+    return out.reshape(2, ENDINGS, buckets)
+
+
 def histories(
     kinds: np.ndarray, hashed: np.ndarray, first: np.ndarray, rows: int = FEATURES
 ) -> np.ndarray:
@@ -258,7 +358,49 @@ class Softmax:
         self.touched[rows] = True
 
 
-def _batch_tokens(vocabulary: Vocabulary, texts: list[str], rows: int):
+class Choices:
+    """Probabilities of the ways through the trees, and gradient steps."""
+
+    def __init__(self, forks: Forks, weights: np.ndarray):
+        self.forks, self.weights = forks, weights
+        self.squares = np.full(len(weights), FORK_DAMPING, dtype=np.float32)
+        self.shift = np.uint64(65 - len(weights).bit_length())  # leaves the number of a cell
+
+    @property
+    def touched(self) -> np.ndarray:
+        return self.squares != FORK_DAMPING
+
+    def _steps(self, features: np.ndarray, leaves: np.ndarray):
+        owner, nodes, right = self.forks.paths(leaves)
+        mixed = features.T.astype(np.uint64, order="C") * np.uint64(0x9E3779B97F4A7C15)
+        cells = np.take(mixed, owner, axis=1)
+        cells += nodes.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)
+        cells >>= self.shift
+        cells = cells.view(np.int64)
+        score = self.forks.prior[nodes]
+        for one in cells:
+            score += self.weights[one]
+        return owner, right, cells, score
+
+    def logs(self, features: np.ndarray, leaves: np.ndarray) -> np.ndarray:
+        """Natural log of each leaf's probability within its class."""
+        owner, right, _, score = self._steps(features, leaves)
+        logs = -np.logaddexp(0, np.where(right, -score, score))
+        return np.bincount(owner, logs, minlength=len(leaves))
+
+    def step(self, features: np.ndarray, leaves: np.ndarray) -> None:
+        """One Adagrad step; each cell has its own rate."""
+        _, right, cells, score = self._steps(features, leaves)
+        slope = (1 / (1 + np.exp(-np.clip(score, -30, 30))) - right).astype(np.float32)
+        square = slope * slope
+        for one in cells:
+            np.add.at(self.squares, one, square)
+        slope *= FORK_RATE
+        for one in cells:
+            np.subtract.at(self.weights, one, slope / np.sqrt(self.squares[one]))
+
+
+def _batch_tokens(vocabulary: Vocabulary, texts: list[str]):
     split = [tokens_of(t) for t in texts]
     lengths = np.array([len(s) for s in split], dtype=np.int64)
     tokens = [t for s in split for t in s]
@@ -266,17 +408,17 @@ def _batch_tokens(vocabulary: Vocabulary, texts: list[str], rows: int):
     first = np.zeros(len(tokens), dtype=bool)
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
     first[starts] = True
-    return tokens, lengths, starts, at, kinds, histories(kinds, hashed, first, rows)
+    return tokens, lengths, starts, at, kinds, hashed, histories(kinds, hashed, first, WIDE)
 
 
-def _changed(change: np.ndarray, touched: np.ndarray) -> pa.RecordBatch:
-    """The touched rows of a table and their changes, by slice."""
+def _changed(change: np.ndarray, touched: np.ndarray, before: int = 0) -> pa.RecordBatch:
+    """The touched rows of a table and their changes, by slice; other tables have slices `before`."""
     found: tuple = ([], [], [])
     for one in range(0, len(change), ROWS_PER_SLICE):
         rows = np.flatnonzero(touched[one : one + ROWS_PER_SLICE]).astype(np.int16)
         if len(rows):
             part = change[one : one + ROWS_PER_SLICE][rows].astype(np.float16)
-            for column, x in zip(found, (one // ROWS_PER_SLICE, rows.tobytes(), part.tobytes())):
+            for column, x in zip(found, (before + one // ROWS_PER_SLICE, rows.tobytes(), part.tobytes())):
                 column.append(x)
     kinds = (pa.int32(), pa.binary(), pa.binary())
     return pa.RecordBatch.from_arrays(
@@ -284,13 +426,17 @@ def _changed(change: np.ndarray, touched: np.ndarray) -> pa.RecordBatch:
     )
 
 
-def _averages(parts: DataFrame, width: int) -> Iterator[tuple[int, np.ndarray]]:
-    """First row and averaged changes of each slice; a row's average is over tasks that touched it."""
+def _averages(parts: DataFrame, wide: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Number and averaged changes of each slice; a row's average is over tasks that touched it.
+
+    The first `wide` slices have rows of all classes, the others of one cell.
+    """
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in in_pieces(batches, 50):
             for one, at, part in zip(*(batch.column(c).to_pylist() for c in ("slice", "rows", "part"))):
+                width = CLASSES if one < wide else 1
                 if one not in sums:
                     empty = np.zeros((ROWS_PER_SLICE, width), dtype=np.float32)
                     sums[one] = empty, np.zeros(ROWS_PER_SLICE, dtype=np.float32)
@@ -305,63 +451,51 @@ def _averages(parts: DataFrame, width: int) -> Iterator[tuple[int, np.ndarray]]:
             )
 
     for r in parts.repartition("slice").mapInArrow(total, "slice int, part binary").collect():
-        yield r.slice * ROWS_PER_SLICE, np.frombuffer(r.part, dtype=np.float16).reshape(-1, width)
+        yield r.slice, np.frombuffer(r.part, dtype=np.float16).reshape(ROWS_PER_SLICE, -1)
 
 
-def train(training: DataFrame, vocabulary: Vocabulary, rows: int = FEATURES) -> np.ndarray:
-    """Weights of the class softmax; every training text takes part in one of the rounds.
+def train(
+    training: DataFrame, vocabulary: Vocabulary, forks: Forks, rows: int = FEATURES
+) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of the class softmax and of the forks; every text takes part in one of the rounds.
 
     In a round each task takes gradient steps (Adagrad) over its texts from the common
     weights; a row's changes, averaged over the tasks that met it, go into the next ones.
     """
     spark = training.sparkSession
-    words = spark.sparkContext.broadcast(vocabulary)
+    words = spark.sparkContext.broadcast((vocabulary, forks))
     weights = np.zeros((rows, CLASSES), dtype=np.float16)
+    cells = np.zeros((rows * CELLS_PER_ROW, 1), dtype=np.float16)
+    wide = rows // ROWS_PER_SLICE
     for turn in range(ROUNDS):
-        shared = spark.sparkContext.broadcast(weights)
+        shared = spark.sparkContext.broadcast((weights, cells))
 
         def steps(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            start = shared.value
-            softmax = Softmax(start.astype(np.float32))
+            known, trees = words.value
+            softmax = Softmax(shared.value[0].astype(np.float32))
+            choices = Choices(trees, shared.value[1][:, 0].astype(np.float32))
             for batch in in_pieces(batches, 200):
                 if not batch.num_rows:
                     continue
-                _, _, _, _, kinds, features = _batch_tokens(words.value, texts_of(batch), rows)
+                _, _, _, at, kinds, hashed, features = _batch_tokens(known, texts_of(batch))
+                leaves = trees.leaves(at, kinds, hashed)
                 for n in range(0, len(kinds), STEP):
-                    softmax.step(features[n : n + STEP], kinds[n : n + STEP])
-            softmax.weights -= start
+                    softmax.step(features[n : n + STEP] % rows, kinds[n : n + STEP])
+                for n in range(0, len(kinds), FORK_STEP):
+                    choices.step(features[n : n + FORK_STEP], leaves[n : n + FORK_STEP])
+            softmax.weights -= shared.value[0]
             yield _changed(softmax.weights, softmax.touched)
+            choices.weights -= shared.value[1][:, 0]
+            yield _changed(choices.weights[:, None], choices.touched, wide)
 
         chosen = training.filter(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == turn)
         parts = chosen.select("text").mapInArrow(steps, "slice int, rows binary, part binary")
-        weights = weights.copy()
-        for at, change in _averages(parts, CLASSES):
-            weights[at : at + len(change)] += change
+        weights, cells = weights.copy(), cells.copy()
+        for one, change in _averages(parts, wide):
+            target, at = (weights, one) if one < wide else (cells, one - wide)
+            target[at * ROWS_PER_SLICE : (at + 1) * ROWS_PER_SLICE] += change
         shared.unpersist()
-    return weights
-
-
-def class_sizes(counts: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
-    """Tokens and distinct tokens of each class in training."""
-    words = counts.sparkSession.sparkContext.broadcast(vocabulary)
-
-    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, CLASSES), dtype=np.int64)
-        for batch in batches:
-            _, kinds, _ = words.value.look_up(batch.column("token").to_pylist())
-            n = batch.column("n").to_numpy()
-            total[0] += np.bincount(kinds, n, minlength=CLASSES).astype(np.int64)
-            total[1] += np.bincount(kinds, minlength=CLASSES)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(range(CLASSES), pa.int32()), pa.array(total[0]), pa.array(total[1])],
-            names=["kind", "n", "tokens"],
-        )
-
-    out = np.zeros((2, CLASSES), dtype=np.int64)
-    per_class = counts.mapInArrow(sizes, "kind int, n long, tokens long").groupBy("kind")
-    for r in per_class.agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens")).collect():
-        out[:, r.kind] = r.n, r.tokens
-    return out
+    return weights, cells
 
 
 SCORED = (
@@ -370,28 +504,34 @@ SCORED = (
 )
 
 
-def _score(docs: DataFrame, vocabulary: Vocabulary, weights: np.ndarray, sizes: np.ndarray) -> DataFrame:
+def _score(
+    docs: DataFrame, vocabulary: Vocabulary, forks: Forks, weights: tuple[np.ndarray, np.ndarray]
+) -> DataFrame:
     """Per row what its task knows, and its rare words with how often they occur, staged.
 
-    `logs` is the sum of log10(count + 1) over frequent tokens; `model` the sum over all
-    tokens of log10 of the class probability and of the class's share in the denominator.
+    `logs` is the sum of log10(count + 1) over frequent tokens; `model` is what the score
+    has beside it and beside log10(count + 1) of the rare ones.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, weights, sizes))
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, forks, *weights))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, common, per_class = shared.value
-        below = np.log10(per_class[0] + per_class[1] + 1.0)
+        words, trees, common, cells = shared.value
         known = np.log10(words.counts + 1.0)
         softmax, row = Softmax(common.astype(np.float32)), TaskContext.get().partitionId() << 33
+        choices = Choices(trees, cells[:, 0].astype(np.float32))
         for batch in in_pieces(batches, 200):
             if not batch.num_rows:
                 continue
-            tokens, lengths, starts, at, kinds, features = _batch_tokens(words, texts_of(batch), len(common))
+            tokens, lengths, starts, at, kinds, hashed, features = _batch_tokens(words, texts_of(batch))
+            leaves = trees.leaves(at, kinds, hashed)
+            rare_below = trees.below[bucket_of(kinds, hashed, trees.buckets) * (at < 0)]
             logs = np.zeros(len(tokens))
             for n in range(0, len(tokens), STEP):
                 part = slice(n, n + STEP)
-                found = softmax.logs(features[part])
-                logs[part] = found[np.arange(len(found)), kinds[part]] / LN10 - below[kinds[part]]
+                found = softmax.logs(features[part] % len(common))
+                within = choices.logs(features[part], leaves[part])
+                logs[part] = (found[np.arange(len(found)), kinds[part]] + within) / LN10
+            logs -= np.where(at >= 0, known[at], rare_below)
             frequent = at >= 0
             rare = [Counter() for _ in lengths]
             owner = np.repeat(np.arange(len(lengths)), lengths)
@@ -428,12 +568,14 @@ def score(docs: DataFrame, parts: int = 7) -> DataFrame:
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     frequent, least = frequent_tokens(counts)
     vocabulary = learn_classes(training, frequent)
-    weights = train(training, vocabulary, feature_rows(distinct))
-    scored = _score(docs, vocabulary, weights, class_sizes(counts, vocabulary))
-    rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x"))
-    rare = rare.select("row", F.col("x.rare").alias("token"), F.col("x.times").alias("times"))
+    rare = counts.filter(F.col("n") < least)
+    forks = Forks(vocabulary, fill_buckets(rare, vocabulary, distinct - len(frequent)))
+    weights = train(training, vocabulary, forks, feature_rows(distinct))
+    scored = _score(docs, vocabulary, forks, weights)
+    met = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x"))
+    met = met.select("row", F.col("x.rare").alias("token"), F.col("x.times").alias("times"))
     found = (
-        rare.join(counts.filter(F.col("n") < least), "token")
+        met.join(rare, "token")
         .groupBy("row")
         .agg(
             F.sum("times").alias("rare_known"),

@@ -466,6 +466,35 @@ def test_features_keep_apart_as_the_input_grows():
         assert found.max() < rows
 
 
+def test_words_within_a_class_follow_their_history():
+    rng = np.random.default_rng(3)
+    n, buckets = 40, rng.integers(0, 9, size=(2, language_model.ENDINGS, 4))
+    kinds = rng.integers(0, language_model.CLASSES, size=n + 1).astype(np.int8)
+    kinds[:2] = 5
+    counts, zeros = rng.integers(1, 99, size=n + 1), np.zeros(n + 1, dtype=np.uint32)
+    words = language_model.Vocabulary({}, counts, kinds, zeros, kinds[:-1])
+    forks = language_model.Forks(words, buckets)
+    weights = np.zeros(1 << 13, dtype=np.float32)
+    choices = language_model.Choices(forks, weights)
+    leaves = np.arange(n + language_model.ENDINGS * 4)
+    of_class = np.concatenate([kinds[:-1], np.repeat(np.arange(language_model.ANCHORS, language_model.CLASSES), 4)])
+
+    def chances(history):
+        features = np.tile(np.array(history), (len(leaves), 1))
+        return np.exp(choices.logs(features, forks.place[leaves]))
+
+    same = kinds[:-1] == 5
+    assert chances([1, 2, 3, 4, 5])[:n][same] == pytest.approx(
+        (counts[:-1] + 1)[same] / (counts[:-1] + 1)[same].sum(), rel=1e-4
+    )
+    one, other = [11, 12, 13, 14, 15], [21, 22, 23, 24, 25]
+    for _ in range(20):
+        choices.step(np.array([one, other]), forks.place[[0, 1]])
+    assert chances(one)[0] > 1.2 * chances(other)[0]
+    assert chances(other)[1] > 1.2 * chances(one)[1]
+    assert np.bincount(of_class, chances(one))[np.unique(of_class)] == pytest.approx(1, rel=1e-4)
+
+
 def test_more_text_scores_better_beside_the_base(spark):
     gains = []
     for sf in ("sf0.001", "sf0.01"):
