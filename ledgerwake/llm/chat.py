@@ -65,7 +65,7 @@ def format_turns(
     """
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, part = encoder(vocabulary), TaskContext.get().partitionId()
+        tokenizer, part = encoder(vocabulary, special_as_text=True), TaskContext.get().partitionId()
         top = tokenizer.tokenizer.get_vocab_size()
         marks = [np.array([top + n], dtype="<u4").tobytes() for n in range(3)]
         number, current, segments, learnt, size = 0, None, [], [], 0

@@ -37,15 +37,25 @@ _NOT_SPACE = re.compile(f"[^{_UNICODE_SPACES}]+")
 
 
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit integers."""
+    """Ids of texts as little-endian unsigned 32-bit integers.
 
-    def __init__(self, path: str):
+    Strings of special tokens inside a text get the ids of those tokens, as in the library's
+    plain call, or are ordinary text if `special_as_text`.
+    """
+
+    def __init__(self, path: str, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        # Strings of special tokens inside a text are ordinary text.
+        # Texts are cut at special tokens before words are looked up; words hold none.
         self.tokenizer.encode_special_tokens = True
+        self.special: dict[str, bytes] = {}
+        if not special_as_text:
+            for n, token in self.tokenizer.get_added_tokens_decoder().items():
+                self.special[token.content] = np.array([n], dtype="<u4").tobytes()
+        longest_first = sorted(self.special, key=len, reverse=True)
+        self.at_special = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")")
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         # A vocabulary without normaliser keeps spaces: a word includes the space before it.
@@ -57,6 +67,17 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
+        if not any(mark in text for mark in self.special for text in texts):
+            return self._encode_plain(texts)
+        cut = [self.at_special.split(text) for text in texts]
+        # Special tokens stand at the odd places.
+        plain = iter(self._encode_plain([piece for pieces in cut for piece in pieces[::2]]))
+        return [
+            b"".join(self.special[p] if n % 2 else next(plain) for n, p in enumerate(pieces))
+            for pieces in cut
+        ]
+
+    def _encode_plain(self, texts: list[str]) -> list[bytes]:
         words = self._spaced(texts) if self.keeps_spaces else self._folded(texts)
         out, start = [], 0
         for stop in self._groups(words):
@@ -181,9 +202,10 @@ class Encoder:
         return out
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, special_as_text: bool = False) -> Encoder:
     """The worker's encoder for a vocabulary file."""
-    return kept(("encoder", path), lambda: Encoder(path))
+    key = ("encoder", path, special_as_text)
+    return kept(key, lambda: Encoder(path, special_as_text))
 
 
 @lru_cache(maxsize=2)

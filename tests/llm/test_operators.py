@@ -328,6 +328,29 @@ def test_encoder_equals_library(file):
     check()
 
 
+@pytest.mark.parametrize("file", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_special_tokens_in_texts_equal_library(file):
+    encoder = Encoder(public_tokenizers.path(file))
+    plain = Tokenizer.from_file(public_tokenizers.path(file))
+    as_text = Encoder(public_tokenizers.path(file), special_as_text=True)
+    marks = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endof"]
+    text = st.lists(st.sampled_from([*PARTS, *marks]), max_size=20).map("".join)
+
+    @given(st.lists(text, max_size=4))
+    @settings(deadline=None, max_examples=300)
+    def check(texts):
+        for flag, own in ((False, encoder), (True, as_text)):
+            plain.encode_special_tokens = flag
+            for one, ids in zip(texts, own.encode(texts)):
+                wanted = plain.encode(one, add_special_tokens=False).ids
+                assert np.frombuffer(ids, dtype="<u4").tolist() == wanted, repr(one)
+
+    check()
+    if file.startswith("byte"):
+        found = encoder.encode(["a <|endoftext|> b"])[0]
+        assert np.frombuffer(found, dtype="<u4").tolist() == [64, 220, 50256, 275]
+
+
 @given(st.integers(1, 32), st.integers(0, 50), st.integers(0, 50))
 @settings(deadline=None)
 def test_bits_round_trip(width, n, start):
