@@ -67,11 +67,23 @@ def _result(rows: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that stay, with all their columns."""
-    kept = resolve(docs).filter("kept").select("doc_id", "text_sha256").distinct().toDF("_a", "_b")
+    """The rows of `docs` that stay, one per text, with all their columns.
+
+    Of rows that repeat the kept id and its text one stays, the smallest by its other columns
+    (of rows whose texts differ in white space, the one with the smallest text).
+    """
+    resolved = resolve(docs).filter("kept")
+    kept = resolved.groupBy("doc_id", "text_sha256").agg(F.max("group_size").alias("_size"))
+    kept = kept.toDF("_a", "_b", "_size")
     digest = F.sha2(normalised(docs["text"]), 256)
     same = docs["doc_id"].eqNullSafe(kept["_a"]) & (digest == kept["_b"])
-    return docs.join(kept, same, "left_semi")
+    rows = docs.join(kept, same).drop("_a")
+    # Only texts met more than once can have repeated rows; a struct's minimum is combined
+    # before the shuffle, so a row repeated any number of times leaves each task once.
+    alone = rows.filter("_size = 1").select(docs.columns)
+    row = F.struct("text", *(c for c in docs.columns if c != "text"))
+    first = rows.filter("_size > 1").groupBy("doc_id", "_b").agg(F.min(row).alias("_row"))
+    return alone.unionByName(first.select(*(F.col("_row")[c].alias(c) for c in docs.columns)))
 
 
 SQL = r"""

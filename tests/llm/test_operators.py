@@ -138,6 +138,16 @@ def test_dedup_odd_rows(odd, empty):
     assert sorted(r.doc_id or 0 for r in exact_dedup.keep_first(odd).collect()) == [0, 1, 3, 5, 6, 7, 8, 9]
 
 
+def test_dedup_keeps_one_of_repeated_rows(spark):
+    rows = [(1, "same  text", "en", "b"), (1, "same  text", "en", "b"), (1, "same text", "en", "a")]
+    rows += [(1, "another", "en", "a"), (None, None, "en", None), (None, "", "en", None), (7, "same text", "en", "a")]
+    docs = _docs(spark, rows + rows)
+    found = exact_dedup.keep_first(docs)
+    assert found.schema.names == docs.schema.names
+    kept = sorted((r.doc_id or 0, r.text or "", r.source or "") for r in found.collect())
+    assert kept == [(0, "", ""), (1, "another", "a"), (1, "same  text", "b")]
+
+
 def test_dedup_survives_collisions(odd):
     alike = exact_dedup.resolve(odd, lambda text: F.unhex(F.lit("00")))
     assert sorted(map(str, alike.collect())) == sorted(map(str, exact_dedup.resolve(odd).collect()))
