@@ -127,10 +127,11 @@ def weak_label(value: Column, before: Column, after: Column) -> Column:
     return F.when(told, 1).when(plain, 0).cast("double")
 
 
-def classify(findings: DataFrame) -> DataFrame:
+def classify(findings: DataFrame, most: int = LABELLED) -> DataFrame:
     """Adds probability and is_secret to described findings; `label` (0, 1 or null) trains.
 
-    At most LABELLED labelled findings train, those that come first by hash.  Where all
+    At most LABELLED labelled findings train; of more, half that many of each label (all, if
+    it has fewer), those that come first by hash within the label.  Where all
     labels are alike, that is every finding's answer; without labels the probability is
     null and every finding stays a secret, so none is lost.
     """
@@ -144,17 +145,25 @@ def classify(findings: DataFrame) -> DataFrame:
                 "is_secret": F.lit(only is None or only >= THRESHOLD),
             }
         )
-    total = sum(kinds.values())
-    if total > LABELLED:
+    if sum(kinds.values()) > most:
         order = F.xxhash64("doc_id", "start", "value")
-        labelled = labelled.orderBy(order, "doc_id", "start").limit(LABELLED)
+        parts = []
+        for label, n in kinds.items():
+            part = labelled.filter(F.col("label") == label)
+            if n > most // 2:
+                part = part.orderBy(order, "doc_id", "start").limit(most // 2)
+            parts.append(part)
+        labelled = reduce(DataFrame.unionByName, parts)
     vector = VectorAssembler(inputCols=list(FEATURES), outputCol="_features")
     forest = RandomForestClassifier(
         featuresCol="_features", labelCol="label", probabilityCol="_probability",
         rawPredictionCol="_raw", predictionCol="_prediction",
         numTrees=TREES, maxDepth=DEPTH, seed=SEED, maxMemoryInMB=64,
     )
-    model = forest.fit(vector.transform(staged(labelled.select(*FEATURES, "label"), "labelled")))
+    sample = staged(labelled.select(*FEATURES, "label"), "labelled")
+    if sample.select("label").distinct().count() < 2:
+        raise ValueError("the training sample holds one label only")
+    model = forest.fit(vector.transform(sample))
     scored = model.transform(vector.transform(findings))
     return (
         scored.withColumn("probability", vector_to_array("_probability")[1])

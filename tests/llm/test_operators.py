@@ -448,6 +448,17 @@ def test_secret_scan(spark, odd, empty):
     assert secret_scan.scan(odd).count() >= 0
 
 
+def test_rare_secrets_reach_the_training_sample(spark):
+    key = "9c8b45435718dcc700c184a7e303cdc64c6a8f7f"
+    rows = [(n, "a verylongwordwithoutadigit here", "en", "a") for n in range(60)]
+    rows.append((100, f'the token = "{key}" of it', "en", "a"))
+    docs = _docs(spark, rows)
+    found = secret_scan.described(secret_scan.candidates(docs), secret_scan.dictionary(docs))
+    label = secret_scan.weak_label(F.col("value"), F.col("before"), F.col("after"))
+    found = secret_scan.classify(found.withColumn("label", label), most=8)
+    assert {r["doc_id"] for r in _rows(found) if r["is_secret"]} == {100}
+
+
 # --- language model --------------------------------------------------------------------
 
 
