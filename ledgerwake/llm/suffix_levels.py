@@ -9,8 +9,9 @@ New documents come in batches.  The array of a batch is merge-scanned with every
 it: a neighbour with the same core means a possible match, one with the same context a match of
 all strings around both.  Arrays of equal size merge on the way, so sizes are powers of two.
 
-Where only the core is shared, a passage begins or ends.  There the strings themselves are
-compared, group by group, or spread by their digests where a group is large.
+Where only the core is shared, a passage begins or ends.  There contexts are sorted by what
+follows the core and by what is before it, and neighbours in both orders tell which strings
+they share.
 """
 
 from __future__ import annotations
@@ -37,8 +38,6 @@ WITHIN = LONG - CORE + 1
 STEP, PLACE_BITS = 1 << 18, 20
 # Batches in which the documents of one call come.
 BATCHES = 4
-# Contexts of one core that are compared in one task; those of a core with more are spread.
-TOGETHER = 500
 
 ENTRY = "core long, context long, row long, place long, state int"
 SCANNED = f"{ENTRY}, scanned boolean, found boolean, part int, edge int"
@@ -278,17 +277,15 @@ def matches(rows: DataFrame, batches: int = BATCHES) -> DataFrame:
     return staged(known, "matches")
 
 
-def _cut(place: int) -> tuple[int, int]:
-    """First and last start of the strings of an entry."""
-    first = place >> 16
-    return first, first + (place >> 8 & 0xFF)
-
-
-CONTEXT = "core long, row long, first long, lone boolean, bytes binary"
+CONTEXT = "row long, first long, n int, lone boolean, left binary, mid binary, right binary"
 
 
 def _contexts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The bytes of contexts, staged.  `wanted` has core, row, place, lone."""
+    """The bytes of contexts, staged.  `wanted` has row, place, lone.
+
+    `mid` is the core, `left` what is before it, read backwards, `right` what follows; `n` strings
+    begin at `first`.
+    """
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdDecompressor()
@@ -297,92 +294,179 @@ def _contexts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
             for row, packed, places in zip(*(batch.column(c).to_pylist() for c in ("row", "packed", "places"))):
                 raw = press.decompress(packed)
                 for one in places:
-                    first, last = _cut(one["place"])
-                    out.append((one["core"], row, first, one["lone"], raw[first : last + LONG]))
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*out), types)], names=[c.split()[0] for c in CONTEXT.split(", ")]
-            )
+                    first, more, off = one["place"] >> 16, one["place"] >> 8 & 0xFF, one["place"] & 0xFF
+                    at = first + off
+                    left, right = raw[first:at][::-1], raw[at + CORE : first + more + LONG]
+                    out.append((row, first, more + 1, one["lone"], left, raw[at : at + CORE], right))
+            yield _batch(out, CONTEXT)
 
-    places = wanted.groupBy("row").agg(F.collect_list(F.struct("core", "place", "lone")).alias("places"))
+    places = wanted.groupBy("row").agg(F.collect_list(F.struct("place", "lone")).alias("places"))
     return staged(_packed(rows).join(places, "row").mapInArrow(fetch, CONTEXT), "contexts")
 
 
-SPAN = "row long, first long, last long"
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
+
+
+def _batch(rows: list[tuple], ddl: str) -> pa.RecordBatch:
+    fields = [c.split() for c in ddl.split(", ")]
+    columns = zip(*rows) if rows else [()] * len(fields)
+    arrays = [pa.array(c, _ARROW[kind]) for c, (_, kind) in zip(columns, fields)]
+    return pa.RecordBatch.from_arrays(arrays, names=[name for name, _ in fields])
+
+
+def in_common(a: bytes, b: bytes) -> int:
+    """Length of the longest common start."""
+    n = min(len(a), len(b))
+    differ = int.from_bytes(a[:n]) ^ int.from_bytes(b[:n])
+    return n - (differ.bit_length() + 7) // 8
+
+
+def _bits(low: int, high: int) -> int:
+    """Bits low to high, both included."""
+    low = max(low, 0)
+    return (1 << high + 1) - (1 << low) if high >= low else 0
+
 
+# Strings are bits of a number: bit k is the one that starts k bytes after the first.
+MASK_BYTES = 24
+LOOKED = f"{CONTEXT}, reach int, proved binary, before binary"
+JUDGED = f"{CONTEXT}, proved binary, open binary, asked binary"
 
-def _spans(rows: list[tuple]) -> pa.RecordBatch:
-    columns = [pa.array(c, pa.int64()) for c in (zip(*rows) if rows else ([], [], []))]
-    return pa.RecordBatch.from_arrays(columns, names=["row", "first", "last"])
 
+def _shared(one: tuple, other: tuple) -> tuple[int, int, int]:
+    """Common bytes on the left and on the right, and the strings that both have."""
+    left, right = in_common(one[4], other[4]), in_common(one[6], other[6])
+    off = len(one[4])
+    # The string with r bytes before the core has LONG - CORE - r after it.
+    return left, right, _bits(off - left, min(one[2] - 1, off - (LONG - CORE) + right))
 
-def _runs(starts: list[int]) -> Iterator[tuple[int, int]]:
-    """Unbroken runs of ascending numbers."""
-    begin = 0
-    for n in range(1, len(starts) + 1):
-        if n == len(starts) or starts[n] != starts[n - 1] + 1:
-            yield starts[begin], starts[n - 1]
-            begin = n
 
+def _beside(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, tuple | None, tuple | None]]:
+    """Each row with the rows before and after it in this task."""
+    before, one = None, None
+    for batch in in_pieces(batches, 2000):
+        for after in zip(*(c.to_pylist() for c in batch.columns)):
+            if one is not None:
+                yield one, before, after
+            before, one = one, after
+    if one is not None:
+        yield one, before, None
 
-def _compared(contexts: DataFrame) -> DataFrame:
-    """Spans of strings that several contexts of a core have; a group's contexts are bounded."""
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, current = [], None
+def _looked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Scan in the order of core and left side: most bytes in common there, and strings proved.
 
-        def spans():
-            seen, twice = set(), set()
-            for _, _, _, raw in group:
-                strings = {raw[k : k + LONG] for k in range(len(raw) - LONG + 1)}
-                twice |= seen & strings
-                seen |= strings
+    A neighbour in another task is not seen; then any number may be in common.
+    """
+    out = []
+    for one, before, after in _beside(batches):
+        reach, proved, by_before = 0, 0, 0
+        for other in (before, after):
+            if other is None:
+                reach = LONG
+            elif other[5] == one[5]:
+                left, _, both = _shared(one, other)
+                reach, proved = max(reach, left), proved | both
+                if other is before:
+                    by_before = both
+        masks = [m.to_bytes(MASK_BYTES) for m in (proved, by_before)]
+        out.append((*one, reach, *masks))
+        if len(out) == 5000:
+            yield _batch(out, LOOKED)
             out = []
-            for row, first, lone, raw in group:
-                if lone:
-                    starts = [first + k for k in range(len(raw) - LONG + 1) if raw[k : k + LONG] in twice]
-                    out += [(row, a, b) for a, b in _runs(starts)]
-            return out
+    yield _batch(out, LOOKED)
+
 
-        for batch in in_pieces(batches, 2000):
+def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Scan in the order of core and right side.  A string beyond what is in common on either side is alone.
+
+    Of the others, `proved` are those that a neighbour has.  Those left are `asked` for, and
+    `open` are strings not known to be the left neighbour's too: of equal strings one is open.
+    """
+    out = []
+    for row, before, after in _beside(batches):
+        one, (reach, proved, by_before) = row[:7], (row[7], *map(int.from_bytes, row[8:]))
+        right = 0
+        for other in (before, after):
+            if other is None:
+                right = LONG
+            elif other[5] == one[5]:
+                _, common, both = _shared(one, other)
+                right, proved = max(right, common), proved | both
+        off = len(one[4])
+        possible = _bits(off - reach, min(one[2] - 1, off - (LONG - CORE) + right))
+        asked = possible & ~proved if one[3] else 0
+        masks = [m.to_bytes(MASK_BYTES) for m in (proved, possible & ~by_before, asked)]
+        out.append((*one, *masks))
+        if len(out) == 5000:
+            yield _batch(out, JUDGED)
             out = []
-            names = ("core", "row", "first", "lone", "bytes")
-            for core, *one in zip(*(batch.column(c).to_pylist() for c in names)):
-                if core != current:
-                    out += spans()
-                    group, current = [], core
-                group.append(one)
-            yield _spans(out)
-        yield _spans(spans())
+    yield _batch(out, JUDGED)
 
-    return contexts.repartition("core").sortWithinPartitions("core").mapInArrow(compare, SPAN)
 
+SPAN = "row long, first long, last long"
 
-def _spread(contexts: DataFrame) -> DataFrame:
-    """The same by digests of 128 bits, for cores with any number of contexts."""
 
-    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["high", "low", "row", "first", "lone"]
-        for batch in in_pieces(batches, 200):
-            digests, out = [], []
-            for row, first, lone, raw in zip(*(batch.column(c).to_pylist() for c in ("row", "first", "lone", "bytes"))):
-                for k in range(len(raw) - LONG + 1):
+def _proved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of proved strings."""
+    for batch in in_pieces(batches, 5000):
+        out = []
+        for row, first, mask in zip(*(batch.column(c).to_pylist() for c in ("row", "first", "proved"))):
+            left = int.from_bytes(mask)
+            while left:
+                low = (left & -left).bit_length() - 1
+                run = ((left >> low) + 1 & ~(left >> low)).bit_length() - 1
+                out.append((row, first + low, first + low + run - 1))
+                left &= ~_bits(low, low + run - 1)
+        yield _batch(out, SPAN)
+
+
+STRING = "high long, low long, row long, first long, asked boolean"
+
+
+def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digests of 128 bits of the open strings."""
+    for batch in in_pieces(batches, 500):
+        digests, out = [], []
+        names = ("row", "first", "left", "mid", "right", "open", "asked")
+        for row, first, left, mid, right, *masks in zip(*(batch.column(c).to_pylist() for c in names)):
+            raw = left[::-1] + mid + right
+            is_open, asked = map(int.from_bytes, masks)
+            for k in range(is_open.bit_length()):
+                if is_open >> k & 1:
                     digests.append(xxhash.xxh3_128_digest(raw[k : k + LONG]))
-                    out.append((row, first + k, lone))
-            halves = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
-            row, first, lone = zip(*out)
-            columns = [halves[:, 0], halves[:, 1], np.array(row), np.array(first), np.array(lone)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
-
-    ddl = "high long, low long, row long, first long, lone boolean"
-    # Two contexts of a core that hold one string hold it once each: it picks one anchor.
-    each = staged(contexts.select("row", "first", "lone", "bytes").mapInArrow(strings, ddl), "strings")
+                    out.append((row, first + k, bool(asked >> k & 1)))
+        halves = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2).tolist()
+        yield _batch([(*h, *o) for h, o in zip(halves, out)], STRING)
+
+
+def _ordered(df: DataFrame, *columns: str) -> DataFrame:
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionByRange(n, *columns).sortWithinPartitions(*columns)
+
+
+def shared_strings(contexts: DataFrame) -> DataFrame:
+    """row, first, last: starts of the strings of lone contexts that other contexts have too.
+
+    Contexts that share a string have its core and r bytes on the left and the rest on the right
+    in common.  Sorted by either side, the longest common part is that with a neighbour, which
+    bounds r from both ends; and what a neighbour has on both sides is proved.  Few strings are
+    in the bounds and not proved: these are compared by digest.  Large groups of one core are
+    split like any other rows.
+    """
+    looked = staged(_ordered(contexts, "mid", "left", "row", "first").mapInArrow(_looked, LOOKED), "looked")
+    judged = staged(_ordered(looked, "mid", "right", "row", "first").mapInArrow(_judged, JUDGED), "judged")
+    nothing = F.lit(bytes(MASK_BYTES))
+    groups = judged.filter(F.col("asked") != nothing).select("mid").distinct()
+    unsure = judged.filter(F.col("open") != nothing).join(groups, "mid", "left_semi")
+    each = staged(unsure.mapInArrow(_strings, STRING), "strings")
     several = each.groupBy("high", "low").count().filter("count > 1").select("high", "low")
-    met = each.filter("lone").join(several, ["high", "low"], "left_semi")
-    return met.select("row", "first", F.col("first").alias("last"))
+    met = each.filter("asked").join(several, ["high", "low"], "left_semi")
+    proved = judged.filter("lone").select("row", "first", "proved").mapInArrow(_proved, SPAN)
+    return proved.unionByName(met.select("row", "first", F.col("first").alias("last")))
 
 
-def repeats(rows: DataFrame, batches: int = BATCHES, together: int = TOGETHER) -> DataFrame:
+def repeats(rows: DataFrame, batches: int = BATCHES) -> DataFrame:
     """row, first, last: starts of strings of LONG bytes that also start elsewhere."""
     found = matches(rows, batches)
     full = found.filter("state = 2").select(
@@ -390,21 +474,16 @@ def repeats(rows: DataFrame, batches: int = BATCHES, together: int = TOGETHER) -
         F.shiftright("place", 16).alias("first"),
         (F.shiftright("place", 16) + F.shiftright("place", 8).bitwiseAND(F.lit(0xFF))).alias("last"),
     )
-    unsure = found.filter("state = 1").select("core").distinct()
     # One row for each context; those that occur once are looked at, the others stand beside them.
     one = F.min(F.struct("row", "place")).alias("one")
-    wanted = found.join(unsure, "core", "left_semi").groupBy("core", "context")
-    wanted = wanted.agg(one, (F.max("state") == 1).alias("lone")).select("core", "one.*", "lone")
-    wanted = staged(wanted, "wanted")
-    contexts = _contexts(rows, wanted)
-    large = wanted.groupBy("core").count().filter(F.col("count") > together).select("core")
-    small = contexts.join(large, "core", "left_anti")
-    return full.unionByName(_compared(small)).unionByName(
-        _spread(contexts.join(large, "core", "left_semi"))
-    )
+    each = found.groupBy("core", "context").agg(one, (F.max("state") == 1).alias("lone"))
+    each = staged(each.select("core", "one.*", "lone"), "each")
+    unsure = each.filter("lone").select("core").distinct()
+    contexts = _contexts(rows, each.join(unsure, "core", "left_semi"))
+    return full.unionByName(shared_strings(contexts))
 
 
-def remove(docs: DataFrame, batches: int = BATCHES, together: int = TOGETHER) -> DataFrame:
+def remove(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row.
 
     Texts are bytes in UTF-8, null is empty; what is left of a text may cut a character.  Rows
@@ -433,7 +512,7 @@ def remove(docs: DataFrame, batches: int = BATCHES, together: int = TOGETHER) ->
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     rows = _named(docs)
-    spans = repeats(rows, batches, together).groupBy("row").agg(
+    spans = repeats(rows, batches).groupBy("row").agg(
         F.collect_list("first").alias("first"), F.collect_list("last").alias("last")
     )
     return _packed(rows).join(spans, "row", "left").mapInArrow(cut, RESULT)

@@ -188,11 +188,40 @@ def _passages(seed):
     return rows
 
 
-@pytest.mark.parametrize("batches, together", [(1, 500), (4, 500), (7, 2)])
-def test_repeats_of_passages(spark, batches, together):
+@pytest.mark.parametrize("batches", [1, 4, 7])
+def test_repeats_of_passages(spark, batches):
     rows = _passages(batches)
-    got = _tuples(suffix_levels.remove(_docs(spark, rows), batches, together))
-    assert got == _without_repeats(rows)
+    assert _tuples(suffix_levels.remove(_docs(spark, rows), batches)) == _without_repeats(rows)
+
+
+@pytest.mark.parametrize("seed, partitions", [(1, 1), (2, 3), (3, 40)])
+def test_shared_strings_of_large_groups(spark, seed, partitions):
+    """Contexts of few cores that agree on the left, on the right, on both with different ones."""
+    pick = random.Random(seed)
+    side = lambda: bytes(pick.choice(b"ab") for _ in range(3)) + bytes([pick.choice(b"xy")]) * 157
+    rows = set()
+    for row in range(150):
+        off, n = pick.randrange(100, 161), pick.randrange(1, 60)
+        left, right = side()[::-1] if row % 2 else side(), side() if row % 3 else side()[::-1]
+        rows.add((row, 1000 * row, n, row % 5 > 0, left[:off], pick.choice([b"c", b"d"]) * 40, right[: 160 - off + n - 1]))
+    rows = sorted(rows)
+    strings = Counter()
+    for _, _, n, _, left, mid, right in rows:
+        raw = left[::-1] + mid + right
+        assert len(raw) == 199 + n
+        strings.update(raw[k : k + 200] for k in range(n))
+    wanted = set()
+    for row, first, n, lone, left, mid, right in rows:
+        raw = left[::-1] + mid + right
+        wanted.update((row, first + k) for k in range(n) if lone and strings[raw[k : k + 200]] > 1)
+    importable(spark)
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        found = suffix_levels.shared_strings(spark.createDataFrame(rows, suffix_levels.CONTEXT)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert {(r.row, k) for r in found for k in range(r.first, r.last + 1)} == wanted
+    assert 0 < len(wanted) < sum(r[2] for r in rows if r[3])
 
 
 def test_repeats_across_segments_of_a_long_text(spark, monkeypatch):
