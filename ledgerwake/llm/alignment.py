@@ -48,6 +48,20 @@ def piece_bytes(model) -> list[bytes]:
     return out
 
 
+class Spelling:
+    """What each of a list of codes stands for, joined for many codes at once."""
+
+    def __init__(self, known: list[bytes]):
+        self.flat = np.frombuffer(b"".join(known), dtype=np.uint8)
+        self.sizes = np.array([len(x) for x in known], dtype=np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def joined(self, codes: np.ndarray) -> np.ndarray:
+        sizes = self.sizes[codes]
+        shift = self.starts[codes] - (np.cumsum(sizes) - sizes)
+        return self.flat[np.arange(sizes.sum()) + np.repeat(shift, sizes)]
+
+
 class Pair:
     """Both tokenizers with what their ids stand for."""
 
@@ -56,27 +70,25 @@ class Pair:
 
         self.a = encoder(byte_vocabulary, special_as_text=True)
         self.b = SentencePieceProcessor(model_file=piece_model)
-        self.bytes_a, self.bytes_b = token_bytes(byte_vocabulary), piece_bytes(self.b)
-        self.sizes_a = np.array([len(x) for x in self.bytes_a], dtype=np.int64)
-        self.sizes_b = np.array([len(x) for x in self.bytes_b], dtype=np.int64)
+        known_a, known_b = token_bytes(byte_vocabulary), piece_bytes(self.b)
+        self.size_b = len(known_b)
+        self.spell_a, self.spell_b = Spelling(known_a), Spelling(known_b)
         # Decimal ids with what may follow them: an id of the same side, the other side, a group.
-        most = max(len(self.bytes_a), len(self.bytes_b))
-        self.written = [f"{n}{after}".encode() for n in range(most) for after in ",|;"]
+        most = max(len(known_a), len(known_b))
+        self.written = Spelling([f"{n}{after}".encode() for n in range(most) for after in ",|;"])
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Ids of both sides; none where one side's bytes are not those of space and text."""
         side_a = self.a.encode([" " + t for t in texts])
         side_b = self.b.encode(texts, out_type=int, num_threads=1)
         out, none = [], np.zeros(0, dtype=np.int64)
-        for text, raw, ids_b in zip(texts, side_a, side_b):
+        for text, raw, found in zip(texts, side_a, side_b):
             ids_a = np.frombuffer(raw, dtype="<u4").astype(np.int64)
-            whole = b" " + text.encode()
-            same = (
-                bool(text)
-                and b"".join(map(self.bytes_a.__getitem__, ids_a.tolist())) == whole
-                and b"".join(map(self.bytes_b.__getitem__, ids_b)) == whole
-            )
-            out.append((ids_a, np.array(ids_b, dtype=np.int64)) if same else (none, none))
+            ids_b = np.array(found, dtype=np.int64)
+            whole = np.frombuffer(b" " + text.encode(), dtype=np.uint8)
+            sides = ((self.spell_a, ids_a), (self.spell_b, ids_b))
+            same = bool(text) and all(np.array_equal(s.joined(ids), whole) for s, ids in sides)
+            out.append((ids_a, ids_b) if same else (none, none))
         return out
 
 
@@ -119,8 +131,8 @@ def lay(sizes_a: np.ndarray, sizes_b: np.ndarray) -> Laid:
     )
 
 
-def _spelled(pair: Pair, ids_a, ids_b, laid: Laid) -> list[bytes]:
-    """All ids in order, group by group and A before B, each with what follows it."""
+def _order_written(ids_a, ids_b, laid: Laid) -> np.ndarray:
+    """All ids group by group and A before B, as codes of the id and what follows it."""
     in_a = np.bincount(laid.group_a, minlength=laid.n_groups)
     in_b = np.bincount(laid.group_b, minlength=laid.n_groups)
     before = np.cumsum(in_a + in_b) - in_a - in_b
@@ -131,7 +143,7 @@ def _spelled(pair: Pair, ids_a, ids_b, laid: Laid) -> list[bytes]:
     codes[at_a], codes[at_b] = ids_a * 3, ids_b * 3
     codes[before + in_a - 1] += 1
     codes[before + in_a + in_b - 1] += 2
-    return list(map(pair.written.__getitem__, codes.tolist()))
+    return codes
 
 
 def _laid_rows(pair: Pair, rows: list, ids: list, texts: list[str]) -> pa.RecordBatch:
@@ -140,7 +152,7 @@ def _laid_rows(pair: Pair, rows: list, ids: list, texts: list[str]) -> pa.Record
     ids_b = np.concatenate([b for _, b in encoded])
     n_a = np.array([len(a) for a, _ in encoded])
     n_b = np.array([len(b) for _, b in encoded])
-    laid = lay(pair.sizes_a[ids_a], pair.sizes_b[ids_b])
+    laid = lay(pair.spell_a.sizes[ids_a], pair.spell_b.sizes[ids_b])
     n = len(encoded)
     doc_a = np.repeat(np.arange(n), n_a)
     # A document's last A token is in its last group, as both sides cover all its bytes.
@@ -151,14 +163,16 @@ def _laid_rows(pair: Pair, rows: list, ids: list, texts: list[str]) -> pa.Record
     doc_of_overlap = doc_a[laid.left]
     left, right = laid.left[laid.together], laid.right[laid.together]
     doc_of_link = doc_a[left]
-    code = ids_a[left] * len(pair.bytes_b) + ids_b[right]
+    code = ids_a[left] * pair.size_b + ids_b[right]
     distinct, times = np.unique(doc_of_link << 32 | code, return_counts=True)
     bounds = np.searchsorted(distinct, np.arange(n + 1) << 32)
     distinct = (distinct & 0xFFFFFFFF).astype("<u4")
-    spelled, ends = _spelled(pair, ids_a, ids_b, laid), np.cumsum(n_a + n_b).tolist()
-    digests = [
-        hashlib.sha256(b"".join(spelled[a:b])[:-1]).hexdigest() if b > a else ""
-        for a, b in zip([0, *ends], ends)
+    codes = _order_written(ids_a, ids_b, laid)
+    said = pair.written.joined(codes)
+    upto = np.concatenate([[0], np.cumsum(pair.written.sizes[codes])])
+    ends = upto[np.cumsum(n_a + n_b)].tolist()
+    digests = [  # the last id has nothing after it
+        hashlib.sha256(said[a : b - 1]).hexdigest() if b > a else "" for a, b in zip([0, *ends], ends)
     ]
     spans = list(zip(bounds.tolist(), bounds[1:].tolist()))
     columns = [
