@@ -58,6 +58,34 @@ def decode(messages: DataFrame, value: str = "value") -> DataFrame:
     )
 
 
+def decode_lenient(messages: DataFrame, value: str = "value") -> DataFrame:
+    """The same columns as `decode`, but a field of the wrong type is null and its record stays good.
+
+    A number in quotes is taken as a number, as a table load by column takes it.  A message
+    that is no JSON object is malformed, and so are NaN and Infinity, which JSON does not have.
+    """
+    payload = F.col(value).cast("string")
+    record = F.try_variant_get(F.try_parse_json("payload"), "$", "map<string,variant>")
+    parsed = messages.select(payload.alias("payload")).select("payload", F.explode(F.array(record)).alias("record"))
+    fields = [
+        F.try_variant_get(F.col("record")[f.name], "$", f.dataType.simpleString()).alias(EVENT_TO_COLUMN[f.name])
+        for f in EVENT_SCHEMA
+    ]
+    named = parsed.select("payload", F.col("record").isNull().alias(_UNPARSED), *fields)
+    moment = parse_time(F.col("event_time"))
+    error = (
+        F.when(F.col(_UNPARSED), BAD_JSON)
+        .when(F.col("event_time").isNull(), NO_EVENT_TIME)
+        .when(moment.isNull(), BAD_EVENT_TIME)
+    )
+    typed = {"event_time": moment}
+    return named.select(
+        *[typed.get(name, F.col(name)).alias(name) for name in TRANSACTION_COLUMNS],
+        error.alias("decode_error"),
+        "payload",
+    )
+
+
 def good(decoded: DataFrame, need_time: bool = True) -> DataFrame:
     """Decoded transactions; without `need_time` also those that carry no event time."""
     accepted = F.col("decode_error").isNull()

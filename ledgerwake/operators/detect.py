@@ -80,9 +80,11 @@ def detect(
     )
 
 
-def alerts(anomalies: DataFrame, run_ts=None) -> DataFrame:
+def alerts(anomalies: DataFrame, run_ts=None, carry: Sequence[str] = ()) -> DataFrame:
     """Stored form of anomalies: repeatable id, detection time, two decimals.
 
+    Columns named in `carry` stay beside it, such as the event time a table is partitioned by.
+
     The id covers the whole event, so two different events that share a transaction
     id keep separate alerts while a replay of one event does not add a second.  It is made
     from the stored forms, decimals and whole seconds, so it does not depend on whether an
@@ -106,6 +108,7 @@ def alerts(anomalies: DataFrame, run_ts=None) -> DataFrame:
         "anomaly_reason",
         clock(run_ts).alias("detected_at"),
         F.col("current_balance").try_cast(REPORT_DECIMAL).alias("current_balance"),
+        *carry,
     )
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,13 +12,13 @@ from pyspark.sql import types as T
 from ledgerwake.functions import events
 from ledgerwake.operators import clean, detect, keyed, profile, summary, telemetry, validate
 from ledgerwake.plans import jobs
-from ledgerwake.schemas import ANOMALIES, PROFILES, RAW_TRANSACTIONS
 from ledgerwake.session import use_utc, work_folder
 from ledgerwake.sinks import files as file_sink
-from ledgerwake.sinks.tables import InsertIgnoreTable, UpsertTable
+from ledgerwake.sinks import layouts
 from ledgerwake.sources import files as file_source
 from ledgerwake.sources import tables
 from ledgerwake.streaming import pipelines
+from ledgerwake.streaming.progress import BatchCounts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -156,11 +157,15 @@ def reprocess_lookback(spark, sf_dir):
 
 
 def reprocess_profile(spark, sf_dir):
+    """From the archive, of which only the days up to the end are read."""
     table = _profile_table(spark, "reprocess_profile")
+    archive = layouts.daily_archive(spark, work_folder(spark, "reprocess_raw"), parts=1)
+    archive.insert(_events(spark, sf_dir))
+    end = F.lit(REPLAY_END).cast("timestamp")
     jobs.replay_profiles(
-        _events(spark, sf_dir),
+        layouts.archived_until(archive, end),
         table,
-        F.lit(REPLAY_END).cast("timestamp"),
+        end,
         work_folder(spark, "reprocess_rejected"),
         RUN_TS,
     )
@@ -175,17 +180,16 @@ def insert_ignore_first(spark, sf_dir):
     return _plain(rows.drop("l_linenumber"))
 
 
-def _raw_table(spark, purpose, **options):
-    path = work_folder(spark, purpose)
-    return InsertIgnoreTable(spark, path, RAW_TRANSACTIONS, ["transaction_id"], **options)
+def _raw_table(spark, purpose):
+    return layouts.raw_table(spark, work_folder(spark, purpose))
 
 
 def _alert_table(spark, purpose):
-    return InsertIgnoreTable(spark, work_folder(spark, purpose), ANOMALIES, ["alert_id"])
+    return layouts.alert_table(spark, work_folder(spark, purpose))
 
 
 def _profile_table(spark, purpose):
-    return UpsertTable(spark, work_folder(spark, purpose), PROFILES, ["customer_id"])
+    return layouts.profile_table(spark, work_folder(spark, purpose))
 
 
 def insert_ignore_table(spark, sf_dir):
@@ -220,7 +224,6 @@ def upsert_table(spark, sf_dir):
     table = _profile_table(spark, "upsert")
     table.upsert(old, ["window_start"])
     table.upsert(new, ["window_start"])
-    table.compact()
     table.upsert(new, ["window_start"])
     return _plain(table.read())
 
@@ -281,6 +284,21 @@ def decode_events(spark, sf_dir):
     return _plain(events.good(events.decode(_damaged_messages(spark, sf_dir))))
 
 
+def decode_lenient(spark, sf_dir):
+    """Amounts as text, balances in quotes and as objects: the fields go, the rows stay."""
+    rows = _lines(spark, sf_dir)
+    text, gender, line_no = events.encode(rows), F.col("customer_gender"), F.col("l_linenumber")
+    amount, balance = '"TransactionAmountINR":[^,}]*', '"CustAccountBalance":([^,}]*)'
+    value = (
+        F.when((gender == "A") & (line_no == 1), F.regexp_replace(text, amount, '"TransactionAmountINR":"much"'))
+        .when((gender == "B") & (line_no == 2), F.regexp_replace(text, balance, '"CustAccountBalance":"$1"'))
+        .when((gender == "F") & (line_no == 3), F.regexp_replace(text, balance, '"CustAccountBalance":{"is":$1}'))
+        .when((gender == "H") & (line_no == 4), F.substring(text, 1, 40))
+        .otherwise(text)
+    )
+    return _plain(events.good(events.decode_lenient(rows.select(value.alias("value")))))
+
+
 def decode_quarantine(spark, sf_dir):
     aside = events.quarantine(events.decode(_damaged_messages(spark, sf_dir)))
     return aside.groupBy("decode_error").agg(F.count("*").alias("n"))
@@ -290,7 +308,7 @@ def load_counts(spark, sf_dir):
     """Bulk load of the deduplicated lines; rows read, stored and rejected."""
     rows = keyed.first_per_key(_lines(spark, sf_dir), ["transaction_id"], WRITE_ORDER)
     folder = work_folder(spark, "load")
-    table = InsertIgnoreTable(spark, f"{folder}/raw", RAW_TRANSACTIONS, ["transaction_id"])
+    table = layouts.raw_table(spark, f"{folder}/raw")
     counts = jobs.load_messages(events.to_messages(rows), table, f"{folder}/batch")
     stored = table.read().agg(F.count("*").alias("n_rows"))
     return stored.select(
@@ -544,10 +562,8 @@ def stream_first_rows(spark, sf_dir):
 def _run_speed_layer(spark, sf_dir, purpose):
     folder = work_folder(spark, purpose)
     messages = events.to_messages(_stream(spark, sf_dir))
-    alerts = InsertIgnoreTable(spark, f"{folder}/alerts", ANOMALIES, ["alert_id"])
-    archive = InsertIgnoreTable(
-        spark, f"{folder}/archive", RAW_TRANSACTIONS, ["transaction_id"]
-    )
+    alerts = layouts.alert_table(spark, f"{folder}/alerts")
+    archive = layouts.raw_table(spark, f"{folder}/archive")
     pipelines.speed_layer(
         events.decode(messages),
         alerts,
@@ -573,7 +589,7 @@ def alert_replay(spark, sf_dir):
     """Alerts from JSON, then again from the archived rows, which must add none."""
     alerts, archive = _run_speed_layer(spark, sf_dir, "alert-replay")
     again = detect.detect(archive.read(), "drop", EVENT_LIMITS)
-    alerts.insert(detect.alerts(again))
+    alerts.insert(detect.alerts(again, carry=["event_time"]))
     return _plain(alerts.read().drop("detected_at"))
 
 
@@ -605,6 +621,116 @@ def single_pipeline_reprocess(spark, sf_dir):
     return _plain(table.read().drop("last_updated"))
 
 
+def _sent(spark, sf_dir, folder, broken=True):
+    """A topic of four files, one micro-batch each; the second also has cut-off messages."""
+    for number, rows in enumerate(tables.sent_slices(spark, sf_dir)):
+        messages = events.to_messages(rows)
+        if broken and number == 1:
+            some = rows.filter(F.col("transaction_id").cast("long") % 10 == 3)
+            cut = events.to_messages(some).select(F.substring("value", 1, 40).alias("value"))
+            messages = messages.unionByName(cut)
+        file_source.add_slice(messages, f"{folder}/topic")
+    return events.decode(file_source.stream_messages(spark, f"{folder}/topic", 1))
+
+
+def stream_late_counts(spark, sf_dir):
+    """Rows read and rows that came too late, by micro-batch, from the query's own progress."""
+    folder = work_folder(spark, "late-counts")
+    rows = pipelines.first_rows(events.good(_sent(spark, sf_dir, folder, broken=False)))
+    name = f"late-counts-{folder[-8:]}"
+    with BatchCounts(spark, name, f"{folder}/counts") as counts:
+        pipelines.start(rows, name, f"{folder}/state", path=f"{folder}/out").awaitTermination()
+    return counts.read()
+
+
+def stream_balance(spark, sf_dir):
+    """Offered rows are stored, ignored for a known id, or rejected; unreadable messages are extra."""
+    folder = work_folder(spark, "balance")
+    archive = layouts.raw_table(spark, f"{folder}/archive")
+    pipelines.speed_layer(
+        _sent(spark, sf_dir, folder),
+        layouts.alert_table(spark, f"{folder}/alerts"),
+        archive,
+        f"{folder}/state",
+        f"{folder}/rejected",
+        limits=EVENT_LIMITS,
+        balance_path=f"{folder}/balance",
+    ).awaitTermination()
+    notes = spark.read.schema(f"{pipelines.BALANCE}, batch int").parquet(f"{folder}/balance")
+    aside = spark.read.schema("decode_error string, batch int").parquet(f"{folder}/rejected/messages")
+    unread = aside.groupBy("batch").agg(F.count("*").alias("n_unreadable"))
+    return notes.join(unread, "batch", "left").select(
+        F.col("batch").alias("batch_id"),
+        F.col("offered").alias("n_offered"),
+        F.col("added").alias("n_stored"),
+        (F.col("offered") - F.col("added") - F.col("rejected")).alias("n_ignored"),
+        F.col("rejected").alias("n_rejected"),
+        F.coalesce("n_unreadable", F.lit(0)).cast("long").alias("n_unreadable"),
+    )
+
+
+def stream_recovery(spark, sf_dir):
+    """The speed layer, ended in its third batch between two sinks and started again."""
+    folder = work_folder(spark, "recovery")
+    alerts = layouts.alert_table(spark, f"{folder}/alerts")
+    archive = layouts.raw_table(spark, f"{folder}/archive")
+    decoded, broken = _sent(spark, sf_dir, folder), []
+
+    def break_once(batch, batch_id):
+        if batch_id == 2 and not broken:
+            broken.append(batch_id)
+            raise RuntimeError("ended between two sinks")
+
+    def run():
+        pipelines.speed_layer(
+            decoded, alerts, archive, f"{folder}/state", f"{folder}/rejected",
+            limits=EVENT_LIMITS, more_steps=[break_once],
+        ).awaitTermination()
+
+    try:
+        run()
+    except StreamingQueryException:
+        run()
+    aside = spark.read.schema("decode_error string").parquet(f"{folder}/rejected/messages")
+    sides = [
+        ("alerts", alerts.read(), "alert_id", F.sum("amount")),
+        ("archive", archive.read(), "transaction_id", F.sum("transaction_amount_inr")),
+        ("unreadable", aside, "decode_error", F.lit(None)),
+    ]
+    parts = [
+        df.agg(
+            F.lit(name).alias("stored_in"),
+            F.count("*").alias("n_rows"),
+            F.count_distinct(key).alias("n_keys"),
+            total.cast("double").alias("amount"),
+            F.lit(len(broken)).alias("n_failures"),
+        )
+        for name, df, key, total in sides
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def live_history_profile(spark, sf_dir):
+    """Profiles over all history as they stand after each micro-batch."""
+    folder = work_folder(spark, "live-history")
+    profiles = layouts.profile_table(spark, f"{folder}/profiles")
+
+    def picture(batch, batch_id):
+        profiles.read().write.mode("overwrite").parquet(f"{folder}/pictures/batch_id={batch_id}")
+
+    pipelines.live_history(
+        events.good(_sent(spark, sf_dir, folder)),
+        layouts.totals_table(spark, f"{folder}/totals"),
+        profiles,
+        f"{folder}/state",
+        f"{folder}/rejected",
+        RUN_TS,
+        more_steps=[picture],
+    ).awaitTermination()
+    kind = profiles.schema.simpleString()[7:-1].replace(":", " ")
+    return _plain(spark.read.schema(f"{kind}, batch_id int").parquet(f"{folder}/pictures"))
+
+
 # --- telemetry -------------------------------------------------------------------------
 
 
@@ -621,14 +747,39 @@ def anomalies_by_customer(spark, sf_dir):
     return telemetry.anomalies_by_customer(detect.detect(_lines(spark, sf_dir)))
 
 
-def detection_latency(spark, sf_dir):
+def _late_alerts(spark, sf_dir):
     """Alerts come some seconds after the event, as the part of the line says."""
     archive = keyed.first_per_key(_lines(spark, sf_dir), ["transaction_id"], WRITE_ORDER)
     archive = archive.withColumn("event_time", F.col("event_time").cast("timestamp"))
     delay = F.make_dt_interval(secs=F.col("l_partkey") % 97 + 1)
     late = archive.withColumn("detected_at", F.col("event_time") + delay)
-    alerts = detect.detect(late, carry=["detected_at"])
-    return _plain(telemetry.detection_latency(alerts, "1 day"))
+    return detect.detect(late, carry=["detected_at"])
+
+
+def detection_latency(spark, sf_dir):
+    return _plain(telemetry.detection_latency(_late_alerts(spark, sf_dir), "1 day"))
+
+
+def latency_from_sketches(spark, sf_dir):
+    """Monthly 95th percentile from stored daily sketches, and whether its true rank is in bounds."""
+    folder, alerts = work_folder(spark, "sketches"), _late_alerts(spark, sf_dir)
+    daily = telemetry.latency_sketches(alerts, "1 day")
+    daily.write.parquet(folder)
+    stored = spark.read.schema(daily.schema).parquet(folder)
+    longer = telemetry.latency_quantile(telemetry.merge_latency(stored, "28 days")).select(
+        "interval_start", "interval_end", "n", F.col("delay_ms").alias("p95_ms")
+    )
+    delay = F.unix_millis("detected_at") - F.unix_millis("event_time")
+    span = F.window("event_time", "28 days")
+    timed = alerts.select(span["start"].alias("interval_start"), delay.alias("delay_ms"))
+    by_delay = timed.groupBy("interval_start", "delay_ms").agg(F.count("*").alias("m"))
+    ranked = by_delay.join(longer, "interval_start").groupBy("interval_start", "interval_end", "n").agg(
+        F.sum(F.when(F.col("delay_ms") < F.col("p95_ms"), F.col("m")).otherwise(0)).alias("under"),
+        F.sum(F.when(F.col("delay_ms") <= F.col("p95_ms"), F.col("m")).otherwise(0)).alias("upto"),
+    )
+    low, high = ((0.95 + s * telemetry.RANK_ERROR) * F.col("n") for s in (-1, 1))
+    within = (F.col("under") <= high) & (F.col("upto") >= low)
+    return _plain(ranked.select("interval_start", "interval_end", "n", within.alias("within_bounds")))
 
 
 QUERIES: tuple[Query, ...] = (
@@ -662,6 +813,7 @@ QUERIES: tuple[Query, ...] = (
     json_messages,
     json_roundtrip,
     decode_events,
+    decode_lenient,
     decode_quarantine,
     load_counts,
     validate_rejected,
@@ -693,10 +845,15 @@ QUERIES: tuple[Query, ...] = (
     alert_replay,
     single_pipeline_realtime,
     single_pipeline_reprocess,
+    stream_late_counts,
+    stream_balance,
+    stream_recovery,
+    live_history_profile,
     throughput_1h,
     anomalies_by_hour,
     anomalies_by_customer,
     detection_latency,
+    latency_from_sketches,
 )
 
 

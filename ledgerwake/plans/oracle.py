@@ -289,6 +289,35 @@ judged AS (
 )
 
 
+# Events as they are sent: slice, and whether the message is cut off.
+SENT = (
+    EVENTS
+    + """,
+numbered AS (
+  SELECT *, CAST(transaction_id AS BIGINT) AS number,
+         CASE WHEN day(event_time) <= 8 THEN 0 WHEN day(event_time) <= 16 THEN 1
+              WHEN day(event_time) <= 24 THEN 2 ELSE 3 END AS slice
+  FROM lines),
+sent AS (
+  SELECT * FROM numbered
+  UNION ALL SELECT * REPLACE (2 AS slice) FROM numbered WHERE slice = 1 AND number % 50 = 7
+  UNION ALL SELECT * REPLACE (3 AS slice, 'late-' || transaction_id AS transaction_id)
+    FROM numbered WHERE slice = 0 AND number % 20 = 3)"""
+)
+
+
+CUT_OFF = "SELECT * FROM sent WHERE slice = 1 AND number % 10 = 3"
+
+
+def _live_history() -> str:
+    """The profile of all that was sent so far, for each slice."""
+    parts = []
+    for last in range(4):
+        so_far = f"{SENT}, so_far AS (SELECT * FROM sent WHERE slice <= {last})"
+        parts.append(f"SELECT *, {last} AS batch_id FROM ({_batch_profile(so_far, 'so_far')})")
+    return " UNION ALL ".join(parts)
+
+
 def oracle() -> dict[str, str]:
     event_found = f"{EVENTS}, {_detect('lines', absolute=200, where=COMPLETE)}"
     whole_seconds = EVENTS.replace("ts AS event_time", "date_trunc('second', ts) AS event_time")
@@ -316,7 +345,7 @@ SELECT anomaly_reason, count(*) AS n FROM found GROUP BY anomaly_reason""",
 WITH {LINES}, {_detect('lines', where=COMPLETE)}
 SELECT {ALERT_ID}, {ANOMALY_COLUMNS}, TIMESTAMP '{RUN_TS}' AS detected_at FROM found""",
         "customer_location_counts": f"""
-WITH {LINES} SELECT customer_id, customer_location, count(*) AS cnt FROM lines
+WITH {LINES} SELECT customer_id, customer_location, count(*) AS n_visits FROM lines
 GROUP BY customer_id, customer_location""",
         "top_location": f"SELECT customer_id, top_location FROM ({profile})",
         "customer_segments": f"""
@@ -370,6 +399,15 @@ WITH {LINES} SELECT customer_id AS "key", {JSON_TEXT} AS "value" FROM lines""",
         "decode_events": f"""
 WITH {GAPPY}, sent AS (SELECT *, {DAMAGE} AS damage FROM gappy)
 SELECT {RAW_COLUMNS} FROM sent WHERE damage IS NULL""",
+        "decode_lenient": f"""
+WITH {LINES}
+SELECT {RAW_COLUMNS} FROM (
+  SELECT * REPLACE (
+    CASE WHEN customer_gender = 'A' AND l_linenumber = 1 THEN NULL ELSE transaction_amount_inr END
+      AS transaction_amount_inr,
+    CASE WHEN customer_gender = 'F' AND l_linenumber = 3 THEN NULL ELSE customer_account_balance END
+      AS customer_account_balance)
+  FROM lines WHERE NOT (customer_gender = 'H' AND l_linenumber = 4))""",
         "decode_quarantine": f"""
 WITH {GAPPY}, sent AS (SELECT {DAMAGE} AS decode_error FROM gappy)
 SELECT decode_error, count(*) AS n FROM sent WHERE decode_error IS NOT NULL
@@ -453,6 +491,35 @@ closed AS (
   SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY window_start DESC) AS place
   FROM profiles WHERE {CLOSED})
 SELECT {STORED_PROFILE.replace('last_updated,', '')} FROM closed WHERE place = 1""",
+        # Late is what lies two minutes behind all that came before the slice before.
+        "stream_late_counts": f"""
+WITH {SENT},
+seen AS (SELECT slice, max(date_trunc('second', event_time)) AS latest FROM sent GROUP BY slice)
+SELECT slice AS batch_id, count(*) AS n_read,
+       count(*) FILTER (date_trunc('second', event_time) <= (SELECT max(latest) FROM seen
+         WHERE seen.slice <= sent.slice - 2) - INTERVAL '2 minutes') AS n_late
+FROM sent GROUP BY slice""",
+        "stream_balance": f"""
+WITH {SENT},
+placed AS (
+  SELECT slice, row_number() OVER (PARTITION BY transaction_id ORDER BY slice) AS place FROM sent),
+cut AS (SELECT 1 AS batch_id, count(*) AS n FROM ({CUT_OFF}))
+SELECT slice AS batch_id, count(*) AS n_offered, count(*) FILTER (place = 1) AS n_stored,
+       count(*) FILTER (place > 1) AS n_ignored, 0 AS n_rejected,
+       coalesce(any_value(cut.n), 0) AS n_unreadable
+FROM placed LEFT JOIN cut ON slice = cut.batch_id GROUP BY slice""",
+        "stream_recovery": f"""
+WITH {SENT}, first_sent AS (
+  SELECT * FROM sent
+  QUALIFY row_number() OVER (PARTITION BY transaction_id ORDER BY slice) = 1),
+{_detect('first_sent', absolute=200, where=COMPLETE)}
+SELECT 'alerts' AS stored_in, count(*) AS n_rows, count(*) AS n_keys,
+       CAST(sum(transaction_amount_inr) AS DOUBLE) AS amount, 1 AS n_failures FROM found
+UNION ALL
+SELECT 'archive', count(*), count(*), CAST(sum(transaction_amount_inr) AS DOUBLE), 1 FROM first_sent
+UNION ALL
+SELECT 'unreadable', count(*), 1, NULL, 1 FROM ({CUT_OFF})""",
+        "live_history_profile": _live_history(),
         "throughput_1h": f"""
 WITH {EVENTS} SELECT date_trunc('hour', event_time) AS interval_start,
   date_trunc('hour', event_time) + INTERVAL '1 hour' AS interval_end, count(*) AS n
@@ -478,4 +545,9 @@ SELECT day AS interval_start, day + INTERVAL '1 day' AS interval_end, count(*) A
        min(delay_ms) AS min_ms, CAST(sum(delay_ms) AS DOUBLE) / count(*) AS avg_ms,
        min(delay_ms) FILTER (place * 100 >= total * 95) AS p95_ms
 FROM placed GROUP BY day""",
+        "latency_from_sketches": f"""
+WITH {LINES}, {FIRST_LINES}, {_detect('firsts', where=COMPLETE)}
+SELECT time_bucket(INTERVAL '28 days', event_time, TIMESTAMP '1970-01-01') AS interval_start,
+       interval_start + INTERVAL '28 days' AS interval_end, count(*) AS n, TRUE AS within_bounds
+FROM found GROUP BY ALL""",
     }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -133,5 +135,14 @@ def stream_messages(
     return reader.text(path)
 
 
+def add_slice(messages: DataFrame, path: str) -> None:
+    """One more file of a topic folder, so one more micro-batch where a trigger takes one file.
+
+    Files are read in the order of their times, which count in milliseconds.
+    """
+    messages.select(F.col("value").cast("string")).coalesce(1).write.mode("append").text(path)
+    time.sleep(0.05)
+
+
 def literal_rows(spark: SparkSession, rows, schema: T.StructType | str) -> DataFrame:
     return spark.createDataFrame(rows, schema)

@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ledgerwake.fixed_values import PROFILE_WINDOW, REPORT_DECIMAL, WATERMARK_DELAY
+from ledgerwake.fixed_values import PROFILE_WINDOW, RAW_DECIMAL, REPORT_DECIMAL, WATERMARK_DELAY
 from ledgerwake.functions import events
 from ledgerwake.operators import detect, profile, validate
-from ledgerwake.sinks.tables import InsertIgnoreTable, UpsertTable
+from ledgerwake.sinks.tables import PART, InsertIgnoreTable, UpsertTable
 
 # Takes a micro-batch and its number, which a restarted query uses again.
 Step = Callable[[DataFrame, int], None]
@@ -25,6 +25,7 @@ def start(
     path: str | None = None,
     steps: Sequence[Step] = (),
     trigger: dict | None = None,
+    output_mode: str = "append",
 ) -> StreamingQuery:
     """Starts a query that appends to Parquet files or hands each batch to all steps.
 
@@ -33,7 +34,7 @@ def start(
     """
     writer = (
         stream.writeStream.queryName(name)
-        .outputMode("append")
+        .outputMode(output_mode)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
     )
@@ -99,6 +100,10 @@ def set_aside(rejected: DataFrame, path: str, batch_id: int) -> None:
     rejected.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
 
+def untimed_path(rejected_path: str) -> str:
+    return f"{rejected_path.rstrip('/')}-untimed"
+
+
 def quarantine_to(path: str) -> Step:
     """Step that keeps the records of a decoded batch that could not be read."""
     return lambda batch, batch_id: set_aside(events.quarantine(batch), path, batch_id)
@@ -109,16 +114,29 @@ def on_good(step: Step, need_time: bool = True) -> Step:
     return lambda batch, batch_id: step(events.good(batch, need_time), batch_id)
 
 
+BALANCE = "offered long, added long, rejected long"
+
+
 def archive_to(
     table: InsertIgnoreTable, rejected_path: str,
     order_by: Sequence[str] = ("event_time",),
+    balance_path: str | None = None,
 ) -> Step:
-    """Step that stores valid raw rows once per id and sets the others aside."""
+    """Step that stores valid raw rows once per id and sets the others aside.
+
+    With `balance_path` it notes there how many rows of each batch were offered, added and
+    rejected; the rest was ignored, for its id was known.  A batch that is repeated after its rows
+    were stored adds none and keeps its note; if it broke off before the note, they count as ignored.
+    """
 
     def step(batch: DataFrame, batch_id: int) -> None:
         valid, rejected = validate.split(batch, validate.raw_transaction_checks(batch))
-        table.insert(valid, order_by)
+        added = table.insert(valid, order_by)
         set_aside(rejected, rejected_path, batch_id)
+        if balance_path:
+            row = [(batch.count(), added, rejected.count())]
+            note = batch.sparkSession.createDataFrame(row, BALANCE).coalesce(1)
+            note.write.mode("overwrite" if added else "ignore").parquet(f"{balance_path}/batch={batch_id}")
 
     return step
 
@@ -133,17 +151,21 @@ def alerts_to(
     """Step that stores the alerts of a batch; a repeated batch adds none.
 
     Alerts the table has no room for are set aside.  Where incomplete rows are kept, only
-    the size of the amounts is checked.
+    the size of the amounts is checked, and rows without event time, which are not judged
+    then, are set aside in a folder of their own.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
+        if incomplete == "keep":
+            _, untimed = validate.split(batch, validate.not_null(batch, "event_time"))
+            set_aside(untimed, untimed_path(rejected_path), batch_id)
         found = detect.detect(batch, incomplete, limits)
         if incomplete == "drop":
             checks = validate.alert_checks(found)
         else:
             checks = validate.fits(found, REPORT_DECIMAL, "amount", "current_balance")
         valid, rejected = validate.split(found, checks)
-        table.insert(detect.alerts(valid, run_ts))
+        table.insert(detect.alerts(valid, run_ts, ["event_time"]))
         set_aside(rejected, rejected_path, batch_id)
 
     return step
@@ -158,6 +180,67 @@ def profiles_to(table: UpsertTable) -> Step:
     return step
 
 
+def history_to(totals: UpsertTable, profiles: UpsertTable, run_ts=None) -> Step:
+    """Step that replaces changed totals, and the profiles of the customers they belong to.
+
+    It takes the totals a streaming aggregation gives out after each batch.  Repeating a batch
+    writes the same totals again.
+    """
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        changed = batch.select(
+            "customer_id",
+            F.col("customer_location").isNotNull().alias("located"),
+            F.coalesce("customer_location", F.lit("")).alias("place"),
+            "visits",
+            "amount_sum",
+            "amount_cnt",
+            "balance_max",
+        )
+        totals.upsert(changed)
+        customers = totals.placed(changed).select(PART, "customer_id").distinct()
+        kept = totals.partitions([r[0] for r in customers.select(PART).distinct().collect()])
+        whole = kept.join(customers, [PART, "customer_id"], "left_semi")
+        whole = whole.withColumn("customer_location", F.when(F.col("located"), F.col("place")))
+        profiles.upsert(profile.profile_from_partials(whole, run_ts))
+
+    return step
+
+
+def live_history(
+    transactions: DataFrame,
+    totals: UpsertTable,
+    profiles: UpsertTable,
+    checkpoint: str,
+    rejected_path: str,
+    run_ts=None,
+    trigger: dict | None = None,
+    more_steps: Sequence[Step] = (),
+) -> StreamingQuery:
+    """Profiles over all history, kept up to date: after each batch only changed customers are written.
+
+    Totals per customer and location are the state of the stream, so a restart counts nothing
+    twice.  Rows without a customer have no profile to change; they are set aside as totals.
+    """
+    rows = validate.narrow(
+        transactions, RAW_DECIMAL, "customer_account_balance", "transaction_amount_inr"
+    )
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        known, unknown = validate.split(batch, validate.not_null(batch, "customer_id"))
+        set_aside(unknown, rejected_path, batch_id)
+        history_to(totals, profiles, run_ts)(known, batch_id)
+
+    return start(
+        profile.location_partials(rows),
+        "live-history",
+        checkpoint,
+        steps=[step, *more_steps],
+        trigger=trigger,
+        output_mode="update",
+    )
+
+
 def speed_layer(
     decoded: DataFrame,
     alerts: InsertIgnoreTable,
@@ -166,10 +249,13 @@ def speed_layer(
     rejected_path: str,
     trigger: dict | None = None,
     limits: detect.Limits = detect.Limits(),
+    balance_path: str | None = None,
+    more_steps: Sequence[Step] = (),
 ) -> StreamingQuery:
     """Detection, raw archive and quarantine from one read of decoded messages.
 
-    Records without event time are still judged; the archive rejects them.
+    Records without event time are still judged; the archive rejects them.  Further steps come
+    after detection and before the archive.
     """
     return start(
         decoded,
@@ -180,7 +266,11 @@ def speed_layer(
                 alerts_to(alerts, f"{rejected_path}/alerts", "drop", limits),
                 need_time=False,
             ),
-            on_good(archive_to(archive, f"{rejected_path}/rows"), need_time=False),
+            *more_steps,
+            on_good(
+                archive_to(archive, f"{rejected_path}/rows", balance_path=balance_path),
+                need_time=False,
+            ),
             quarantine_to(f"{rejected_path}/messages"),
         ],
         trigger=trigger,
@@ -205,7 +295,8 @@ def single_pipeline(
     first.
 
     For a replay give a fresh checkpoint and a source that starts at the earliest record.
-    It takes rows up to `end`, by default the moment it is started.
+    It takes rows up to `end`, by default the moment it is started; of the rejected rows, those
+    up to `end` and those without a time.
     """
     if mode == "realtime":
         steps = [alerts_to(alerts, rejected_path, "keep", limits)]
@@ -213,6 +304,7 @@ def single_pipeline(
     if mode == "reprocess":
         until = F.lit(datetime.now(timezone.utc)) if end is None else end
         ready, rejected = validate.split(transactions, validate.measure_checks(transactions))
+        rejected = rejected.filter(F.col("event_time").isNull() | (F.col("event_time") <= until))
         return [
             start(
                 profile_stream(ready, until),
