@@ -75,3 +75,31 @@ def test_events_from_csv(spark):
     assert all(r.transaction_id.startswith("20250101102030-") for r in fresh)
     keyed = events.events_from_csv(rows, "2025-01-01 10:20:30", ["CustomerID"]).collect()
     assert len({r.transaction_id for r in keyed}) == 1
+
+
+def test_lenient_decoding_keeps_rows_whose_fields_are_of_the_wrong_type(spark):
+    def message(amount='5', time='"2025-01-01T00:01:00Z"', more=""):
+        return '{"TransactionID":"a","TransactionAmountINR":%s,"EventTime":%s%s}' % (amount, time, more)
+
+    cases = {
+        message(): (5.0, None),
+        message('"much"'): (None, None),
+        message('"5.5"'): (5.5, None),
+        message('{"x":1}'): (None, None),
+        message("null"): (None, None),
+        message(more=',"CustomerID":{"x":1},"Other":[1]'): (5.0, None),
+        message(time='"soon"'): (5.0, events.BAD_EVENT_TIME),
+        message(time="7"): (5.0, events.BAD_EVENT_TIME),
+        message(time="null"): (5.0, events.NO_EVENT_TIME),
+        message("NaN"): (None, events.BAD_JSON),
+        "{bad": (None, events.BAD_JSON),
+        "": (None, events.BAD_JSON),
+        "[1]": (None, events.BAD_JSON),
+        "5": (None, events.BAD_JSON),
+    }
+    rows = events.decode_lenient(spark.createDataFrame([(c,) for c in [*cases, None]], "value string"))
+    strict = events.decode(spark.createDataFrame([("{}",)], "value string"))
+    assert rows.schema.names == strict.schema.names
+    assert [f.dataType for f in rows.schema] == [f.dataType for f in strict.schema]
+    found = {r.payload: (r.transaction_amount_inr, r.decode_error) for r in rows.collect()}
+    assert found == {**cases, None: (None, events.BAD_JSON)}

@@ -4,7 +4,7 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
-from ledgerwake.operators import profile
+from ledgerwake.operators import profile, telemetry
 from ledgerwake.plans import jobs
 from ledgerwake.schemas import PROFILES, RAW_TRANSACTIONS
 from ledgerwake.sinks.tables import UpsertTable
@@ -127,3 +127,22 @@ def test_replay_keeps_what_it_cannot_profile(spark, folder):
         assert [(r.transaction_count, r.max_balance) for r in kept] == [(1, 6.0)]
     rejected = spark.read.parquet(f"{folder}/rejected").collect()
     assert [r.transaction_id for r in rejected] == ["3"]
+
+
+def test_merged_latency_sketches_are_within_their_bound(spark):
+    alerts = spark.range(40000).selectExpr(
+        "timestamp_seconds(id * 7) as event_time",
+        "timestamp_millis(id * 7000 + (id % 1009) * (id % 1009)) as detected_at",
+    )
+    hourly = telemetry.latency_sketches(alerts, "1 hour")
+    daily = telemetry.merge_latency(hourly, "1 day")
+    delays = [[], [], [], []]
+    for n in range(40000):
+        delays[n * 7 // 86400].append((n % 1009) ** 2)
+    for share in (0.05, 0.5, 0.95):
+        found = telemetry.latency_quantile(daily, share).orderBy("interval_start").collect()
+        assert [r.n for r in found] == [len(d) for d in delays]
+        for row, own in zip(found, delays):
+            low = sum(d < row.delay_ms for d in own) / len(own)
+            high = sum(d <= row.delay_ms for d in own) / len(own)
+            assert low - telemetry.RANK_ERROR <= share <= high + telemetry.RANK_ERROR

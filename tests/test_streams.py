@@ -1,15 +1,21 @@
 from __future__ import annotations
 
+import glob
+import os
 import time
+from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerwake.functions import events
 from ledgerwake.operators import detect, profile, validate
 from ledgerwake.schemas import ANOMALIES, PROFILES, RAW_TRANSACTIONS, TRANSACTION_COLUMNS
+from ledgerwake.sinks import layouts
 from ledgerwake.sinks.tables import InsertIgnoreTable, UpsertTable
 from ledgerwake.sources import files
 from ledgerwake.streaming import pipelines
+from ledgerwake.streaming.progress import BatchCounts
 from tests.samples import at, frame, txn
 
 SLICES = [
@@ -74,8 +80,8 @@ def test_late_rows_are_dropped_and_counted(spark, folder):
 
 
 def speed(spark, decoded, folder, state):
-    alerts = InsertIgnoreTable(spark, f"{folder}/alerts", ANOMALIES, ["alert_id"])
-    archive = InsertIgnoreTable(spark, f"{folder}/archive", RAW_TRANSACTIONS, ["transaction_id"])
+    alerts = layouts.alert_table(spark, f"{folder}/alerts")
+    archive = layouts.daily_archive(spark, f"{folder}/archive")
     pipelines.speed_layer(
         decoded, alerts, archive, f"{folder}/{state}", f"{folder}/rejected-{state}"
     ).awaitTermination()
@@ -127,6 +133,105 @@ def test_single_pipeline(spark, folder):
         assert kept == {"c": (1, 200.0), "d": (1, 10.0)}
 
 
+def test_rows_without_time_are_set_aside_in_real_time(spark, folder):
+    rows = [txn("timed", 1.0, 60.0, event_time=at("00:01:00")), txn("untimed", 1.0, 60.0, event_time=None)]
+    table = layouts.alert_table(spark, f"{folder}/alerts")
+    pipelines.alerts_to(table, f"{folder}/aside", "keep")(frame(spark, rows), 0)
+    assert {r.transaction_id for r in table.read().collect()} == {"timed"}
+    aside = spark.read.parquet(pipelines.untimed_path(f"{folder}/aside") + "/batch=0").collect()
+    assert [(r.transaction_id, r.reject_reasons) for r in aside] == [("untimed", ["event_time_missing"])]
+
+
+def test_a_replay_ends_for_rejected_rows_too(spark, folder):
+    rows = [
+        txn("in", 1.0, None, event_time=at("00:01:00")),
+        txn("after", 1.0, None, event_time=at("00:09:00")),
+        txn("untimed", 1.0, 1.0, event_time=None),
+    ]
+    rows_in = frame(spark, rows)
+    rows_in.write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(rows_in.schema).parquet(f"{folder}/in")
+    queries = pipelines.single_pipeline(
+        stream, "reprocess", f"{folder}/state", f"{folder}/aside",
+        profiles=layouts.profile_table(spark, f"{folder}/profiles"), end=F.lit(at("00:05:00")),
+    )
+    for query in queries:
+        query.awaitTermination()
+    kept = spark.read.schema(rows_in.schema).parquet(f"{folder}/aside").collect()
+    assert {r.transaction_id for r in kept} == {"in", "untimed"}
+
+
+def test_an_archive_replay_opens_only_its_days(spark, folder):
+    archive = layouts.daily_archive(spark, folder, parts=1)
+    days = [f"2024-01-0{n} 10:00:00" for n in (1, 2, 3)]
+    archive.insert(frame(spark, [txn(str(n), 1.0, 1.0, event_time=datetime.fromisoformat(d)) for n, d in enumerate(days)]))
+    spoilt = glob.glob(f"{folder}/**/event_day=2024-01-03/*.parquet", recursive=True)
+    assert spoilt
+    for name in spoilt:
+        with open(name, "wb") as file:
+            file.write(b"spoilt")
+        with open(f"{os.path.dirname(name)}/.{os.path.basename(name)}.crc", "wb") as file:
+            file.write(b"")
+    end = F.lit("2024-01-02 12:00:00").cast("timestamp")
+    found = layouts.archived_until(archive, end)
+    assert sorted(r.transaction_id for r in found.collect()) == ["0", "1"]
+    assert [r.transaction_id for r in layouts.archived_until(archive, end, end).collect()] == ["1"]
+
+
+def test_batch_counts_of_a_restarted_query(spark, folder):
+    decoded, broken = topic(spark, folder, SLICES), []
+
+    def break_once(batch, batch_id):
+        if batch_id == 1 and not broken:
+            broken.append(batch_id)
+            raise RuntimeError("ended")
+
+    with BatchCounts(spark, "restarted", f"{folder}/counts") as counts:
+        for attempt in range(2):
+            query = pipelines.start(decoded, "restarted", f"{folder}/state", steps=[break_once])
+            if attempt:
+                query.awaitTermination()
+            else:
+                with pytest.raises(Exception, match="ended"):
+                    query.awaitTermination()
+    assert sorted(map(tuple, counts.read().collect())) == [(0, 3, 0), (1, 2, 0), (2, 1, 0)]
+
+
+def test_balance_of_a_repeated_batch(spark, folder):
+    archive = layouts.raw_table(spark, f"{folder}/archive")
+    step = pipelines.archive_to(archive, f"{folder}/aside", balance_path=f"{folder}/balance")
+    bad = txn("9", 1.0, 1.0, event_time=at("00:07:00"), customer_gender="Q")
+    batches = [frame(spark, SLICES[0]), frame(spark, [*SLICES[1], bad])]
+    for number, batch in enumerate(batches):
+        step(batch, number)
+    step(batches[1], 1)
+    notes = spark.read.schema(f"{pipelines.BALANCE}, batch int").parquet(f"{folder}/balance").collect()
+    assert sorted((r.batch, r.offered, r.added, r.rejected) for r in notes) == [(0, 3, 3, 0), (1, 3, 1, 1)]
+
+
+def test_live_history_with_gaps_equals_batch(spark, folder):
+    rows = [
+        *SLICES[0], *SLICES[1],
+        txn("7", None, 5.0, event_time=at("00:06:30"), customer_location=None),
+        txn("8", 5.0, None, event_time=at("00:06:40"), customer_location=""),
+        txn("9", 5.0, 1.0, event_time=at("00:06:50"), customer_id=None),
+    ]
+    totals = layouts.totals_table(spark, f"{folder}/totals")
+    profiles = layouts.profile_table(spark, f"{folder}/profiles")
+    decoded = events.good(topic(spark, folder, [rows[:4], rows[4:]]))
+    pipelines.live_history(
+        decoded, totals, profiles, f"{folder}/state", f"{folder}/aside", "2025-02-01"
+    ).awaitTermination()
+    typed = validate.narrow(
+        frame(spark, rows), "decimal(12,2)", "customer_account_balance", "transaction_amount_inr"
+    )
+    whole = validate.conform(
+        profile.batch_profile(typed.filter("customer_id is not null"), "2025-02-01"), PROFILES
+    )
+    assert sorted(map(tuple, profiles.read().collect()), key=str) == sorted(map(tuple, whole.collect()), key=str)
+    assert spark.read.parquet(f"{folder}/aside").count() == 1
+
+
 def test_first_rows_within_watermark(spark, folder):
     stream = pipelines.first_rows(events.good(topic(spark, folder, SLICES)), "1 hour")
     pipelines.start(
