@@ -13,7 +13,7 @@ import pickle
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -203,8 +203,15 @@ class _Labeller:
         return np.fromiter(map(self.index.__getitem__, words), dtype=np.int32, count=len(words))
 
     def probabilities(self, texts: list[str]) -> np.ndarray:
-        """A row per text; all zero where the text has no letter."""
-        out = np.zeros((len(texts), len(self.model.labels)))
+        """A row per text, the mean over its words; all zero where the text has no letter."""
+        return self._summed(texts, len(self.model.labels), lambda found: found)
+
+    def certainty(self, texts: list[str]) -> np.ndarray:
+        """How sure each text's words are of their language, on average, whichever each is in."""
+        return self._summed(texts, 1, lambda found: found.max(axis=1, keepdims=True))[:, 0]
+
+    def _summed(self, texts: list[str], width: int, of_words: Callable) -> np.ndarray:
+        out = np.zeros((len(texts), width))
         if not self.model.labels:
             return out
         split = [(n, words_of(t)) for n, t in enumerate(texts)]
@@ -215,11 +222,11 @@ class _Labeller:
             while stop < len(split) and (stop == start or count + len(split[stop][1]) <= AT_ONCE):
                 count += len(split[stop][1])
                 stop += 1
-            self._fill(split[start:stop], out)
+            self._fill(split[start:stop], out, of_words)
             start = stop
         return out
 
-    def _fill(self, split: list[tuple[int, list[str]]], out: np.ndarray) -> None:
+    def _fill(self, split: list[tuple[int, list[str]]], out: np.ndarray, of_words: Callable) -> None:
         if len(self.index) > MEMO:
             self.index, self.table = {}, self.table[:0]
         ids = self._ids([w for _, words in split for w in words])
@@ -228,7 +235,7 @@ class _Labeller:
             self.table[ids].astype(np.float64), lengths, self.model.moves, self.model.starts
         )
         first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        out[[n for n, _ in split]] = np.add.reduceat(found, first, axis=0) / lengths[:, None]
+        out[[n for n, _ in split]] = np.add.reduceat(of_words(found), first, axis=0) / lengths[:, None]
 
 
 def _labeller(packed: bytes) -> _Labeller:
@@ -296,21 +303,24 @@ def predict(docs: DataFrame, model: bytes) -> DataFrame:
     )
 
 
-# A document goes if no language has this mean probability over its words.
-LEAST_SCORE = 0.35
+# A document goes if its words are less sure than this of any known language, on average.
+LEAST_CERTAINTY = 0.35
 
 
-def keep_known(docs: DataFrame, model: bytes, least: float = LEAST_SCORE) -> DataFrame:
+def keep_known(docs: DataFrame, model: bytes, least: float = LEAST_CERTAINTY) -> DataFrame:
     """The rows whose text is in a known language, with all their columns, in one pass.
 
-    Rows labelled `und` and rows with a score below `least` go.
+    Rows labelled `und` go, and rows whose words are like no known language: the mean over the
+    words of the probability of the likeliest one is below `least`.  Words of several known
+    languages in one text are no reason, however many there are.  Repeated rows and rows without an
+    id are judged by their text like any other; an empty table stays empty.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = _labeller(shared.value)
         for batch in in_pieces(batches, 4000):
-            found = labeller.probabilities(texts_of(batch)).max(axis=1, initial=0)
+            found = labeller.certainty(texts_of(batch))
             stays = (found > 0) & (found >= least)
             if stays.any():
                 yield batch.filter(pa.array(stays))

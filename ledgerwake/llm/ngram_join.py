@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerwake.llm.shared import in_pieces, staged
+from ledgerwake.llm.shared import forget, in_pieces, staged
 
 WORDS = 5
 # A link needs 100 * intersection >= PERCENT * union.
@@ -88,6 +88,7 @@ def profile(docs: DataFrame) -> DataFrame:
     """Rows of documents (size and fingerprint of the set) and rows of shingle counts, staged."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         shingles, counts = Shingles(), np.zeros(COUNTERS, dtype=np.int64)
         for batch in in_pieces(batches, 1000):
             rows = []
@@ -160,6 +161,7 @@ def meetings(docs: DataFrame, counts: np.ndarray) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         shingles, often, noticed = Shingles(), shared.value, set()
         for batch in in_pieces(batches, 500):
             parts: list[tuple] = []

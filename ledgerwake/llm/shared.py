@@ -69,6 +69,11 @@ def kept(key: tuple, make: Callable[[], object]):
     return _kept[key]
 
 
+def forget() -> None:
+    """Lets go of what earlier stages kept in this worker; for tasks that need room of their own."""
+    _kept.clear()
+
+
 def in_pieces(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most `rows`."""
     for batch in batches:

@@ -301,6 +301,25 @@ def test_language_odd_rows(odd, empty):
     assert {r.lang_pred for r in language_id.identify(unlabelled).collect()} == {"und"}
 
 
+def test_clean_code_switched_texts_stay(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    model = language_id.fit(docs.select("doc_id", "text", "lang"))
+    known = docs.filter("lang is not null and length(text) > 400").orderBy("doc_id")
+    parts = {}
+    for row in known.select("lang", "text").collect():
+        parts.setdefault(row.lang, []).append(" ".join(row.text.split()[:40]))
+    assert len(parts) >= 3
+    mixed = [" ".join(one) for one in zip(*(p[:20] for p in parts.values()))]
+    short = [" ".join(p.split()[:4]) for own in parts.values() for p in own[:10]]
+    rows = [*mixed, *short, *mixed[:1]]
+    frame = _docs(spark, [(n, t, None, None) for n, t in enumerate(rows)] + [(None, mixed[0], None, None)])
+    gone = _docs(spark, [(-1, None, "en", "a"), (-2, "", "en", "a"), (-3, "12 34 --", "en", "a")])
+    kept = language_id.keep_known(frame.unionByName(gone), model)
+    assert kept.columns == frame.columns
+    assert sorted(r.text for r in kept.collect()) == sorted([*rows, mixed[0]])
+    assert language_id.keep_known(frame.filter("doc_id = -5"), model).count() == 0
+
+
 def test_posteriors_equal_enumeration():
     rng = np.random.default_rng(3)
     scores, moves, starts = rng.normal(size=(4, 2)), rng.normal(size=(2, 2)), rng.normal(size=2)
