@@ -486,6 +486,34 @@ def csv_rejects(spark, sf_dir):
     return outcomes.groupBy("outcome").agg(F.count("*").alias("n"))
 
 
+def csv_stream(spark, sf_dir):
+    """Three files with their columns in different orders, one micro-batch each; some amounts are text."""
+    folder, rows = work_folder(spark, "csv-stream"), _named(_dataset(spark, sf_dir))
+    amount = F.when(F.col("l_suppkey") % 10 == 1, "unknown").otherwise(F.col("amount").cast("string"))
+    cells = rows.select(
+        F.col("transaction_id").alias("id"), amount.alias("amount"), F.lit("more").alias("note"),
+        (F.col("l_partkey") % 3).alias("k"),
+    )
+    for k, names in enumerate((["id", "amount"], ["amount", "id"], ["note", "amount", "id"])):
+        file_sink.write_csv(cells.filter(F.col("k") == k).select(names).coalesce(1), f"{folder}/in", "append")
+    schema = T.StructType(
+        [T.StructField("id", T.StringType()), T.StructField("amount", T.DoubleType())]
+    )
+    pipelines.csv_stream(
+        file_source.stream_csv_paths(spark, f"{folder}/in", 1),
+        schema,
+        lambda good, batch_id: good.write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}"),
+        f"{folder}/state",
+        f"{folder}/rejected",
+    ).awaitTermination()
+    good = spark.read.schema(schema).parquet(f"{folder}/out")
+    aside = spark.read.schema("reject_reasons array<string>, line string").parquet(f"{folder}/rejected")
+    again = F.get_json_object("line", "$.id")
+    return good.select("id", "amount", F.lit("fits").alias("outcome")).unionByName(
+        aside.select(again.alias("id"), F.lit(None).cast("double").alias("amount"), F.col("reject_reasons")[0].alias("outcome"))
+    )
+
+
 def csv_clean_job(spark, sf_dir):
     folder, schema = _csv_dataset(spark, sf_dir, "csv-clean")
     jobs.clean_csv(spark, f"{folder}/in", f"{folder}/out", f"{folder}/rejected", "custom", schema)
@@ -834,6 +862,7 @@ QUERIES: tuple[Query, ...] = (
     csv_inferred,
     csv_reordered,
     csv_rejects,
+    csv_stream,
     csv_clean_job,
     csv_sign_job,
     bulk_load_events,

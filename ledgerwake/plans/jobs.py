@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ledgerwake.functions import events
 from ledgerwake.operators import clean, profile, validate
 from ledgerwake.schemas import CSV_SCHEMA
+from ledgerwake.session import work_folder
 from ledgerwake.sinks import files as file_sink
 from ledgerwake.sinks.tables import InsertIgnoreTable, UpsertTable
 from ledgerwake.sources import files as file_source
@@ -64,7 +65,10 @@ def load_messages(
 
 
 def _fitting(spark: SparkSession, source: str, schema, rejected_path: str) -> DataFrame:
-    rows, rejected = file_source.split_csv(spark, source, schema)
+    """The rows that fit; the files are parsed once, into a staged copy."""
+    rows, rejected = file_source.split_csv(
+        spark, source, schema, stage=work_folder(spark, "judged-csv")
+    )
     file_sink.overwrite(rejected, rejected_path)
     return rows
 

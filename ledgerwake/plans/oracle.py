@@ -467,6 +467,11 @@ WITH {DATASET}
 SELECT CASE l_suppkey % 10 WHEN 0 THEN 'ragged' WHEN 1 THEN 'amount_unfit' ELSE 'fits' END
          AS outcome, count(*) AS n
 FROM dataset GROUP BY ALL""",
+        "csv_stream": f"""
+WITH {DATASET}
+SELECT transaction_id AS id, CASE WHEN l_suppkey % 10 <> 1 THEN amount END AS amount,
+       CASE WHEN l_suppkey % 10 = 1 THEN 'amount_unfit' ELSE 'fits' END AS outcome
+FROM dataset""",
         "csv_clean_job": f"WITH {DATASET} SELECT {custom} FROM dataset",
         "csv_sign_job": signed,
         "bulk_load_events": f"""

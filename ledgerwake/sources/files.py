@@ -18,10 +18,11 @@ _RAGGED = "_ragged_line"
 
 def split_csv(
     spark: SparkSession,
-    path: str,
+    path: str | list[str],
     schema: T.StructType | None = None,
     header: bool = True,
     multi_line: bool = False,
+    stage: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Rows of a CSV dataset, and the rows that do not fit with `reject_reasons`.
 
@@ -35,6 +36,9 @@ def split_csv(
     that is not of its column's type (`<column>_unfit`).  Line breaks inside quotes need
     `multi_line`, with which a file is read by one task; without it each line of such a row
     is judged as a row.
+
+    Both sides parse the files again each time they are read.  With `stage` the judged rows are
+    written to that folder once, and both sides read them from there.
     """
     # Cells stay text at first: the reader knows just one spelling of null.  No value of
     # its own may stand for null or the empty string here.
@@ -44,7 +48,7 @@ def split_csv(
         .option("mode", "PERMISSIVE")
         .option("multiLine", multi_line)
     )
-    names = reader.csv(path).columns if header else list(schema.names)
+    names = _header(spark, reader, path) if header else list(schema.names)
     text = T.StructType([T.StructField(n, T.StringType()) for n in (*names, _RAGGED)])
     raw = (
         reader.option("enforceSchema", False)
@@ -65,12 +69,28 @@ def split_csv(
         for n, value in cast.items()
     ]
     judged = cells.withColumn("reject_reasons", F.array_compact(F.array(*reasons)))
+    if stage:
+        judged.write.parquet(stage)
+        judged = spark.read.schema(judged.schema).parquet(stage)
     good = judged.filter(F.size("reject_reasons") == 0).select(
         *[value.alias(n) for n, value in cast.items()], *[F.col(f"`{n}`") for n in further]
     )
     return good, judged.filter(F.size("reject_reasons") > 0)
 
 
+def _header(spark: SparkSession, reader, path: str | list[str]) -> list[str]:
+    """Column names of the files' header; says plainly what is wrong with it."""
+    names = reader.csv(path).columns
+    if not names:
+        raise ValueError(f"{path} is empty, it has no header")
+    first = spark.read.option("header", False).option("escape", '"').csv(path).limit(1).first()
+    given = [cell for cell in first if cell is not None]
+    repeated = sorted({n for n in given if given.count(n) > 1})
+    if repeated:
+        raise ValueError(f"{path} names columns more than once: {', '.join(repeated)}")
+    return names
+
+
 def read_csv(
     spark: SparkSession,
     path: str,
@@ -144,5 +164,11 @@ def add_slice(messages: DataFrame, path: str) -> None:
     time.sleep(0.05)
 
 
+def stream_csv_paths(spark: SparkSession, path: str, max_files_per_trigger: int) -> DataFrame:
+    """New files of a folder as a stream of their paths, a bounded number for each micro-batch."""
+    reader = spark.readStream.option("maxFilesPerTrigger", max_files_per_trigger)
+    return reader.text(path).select(F.col("_metadata.file_path").alias("file"))
+
+
 def literal_rows(spark: SparkSession, rows, schema: T.StructType | str) -> DataFrame:
     return spark.createDataFrame(rows, schema)

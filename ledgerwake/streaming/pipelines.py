@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from datetime import datetime, timezone
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from ledgerwake.fixed_values import PROFILE_WINDOW, RAW_DECIMAL, REPORT_DECIMAL,
 from ledgerwake.functions import events
 from ledgerwake.operators import detect, profile, validate
 from ledgerwake.sinks.tables import PART, InsertIgnoreTable, UpsertTable
+from ledgerwake.sources import files as source_files
 
 # Takes a micro-batch and its number, which a restarted query uses again.
 Step = Callable[[DataFrame, int], None]
@@ -88,6 +90,45 @@ def profile_stream(
     return profile.window_profile(profile.reprocess_filter(timed, end), width, run_ts)
 
 
+def csv_stream(
+    files: DataFrame,
+    schema,
+    step: Step,
+    checkpoint: str,
+    rejected_path: str,
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """CSV files as they arrive, `files` being a stream of paths (`stream_csv_paths`).
+
+    Each file's header is checked by itself, so files may have their columns in any order.  The
+    step gets the rows that fit, in the columns of `schema`; others are set aside as JSON with
+    file and reasons, and so is a file whose header lacks a column or repeats one.
+    """
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        # At most as many paths as the source takes for a micro-batch.
+        paths = sorted(r.file for r in batch.distinct().collect())
+        good, aside = [], []
+        for path in paths:
+            try:
+                rows, rejected = source_files.split_csv(spark, path, schema)
+            except ValueError as problem:
+                aside.append(spark.createDataFrame([(path, [str(problem)], None)], _ASIDE))
+                continue
+            good.append(rows.select(*[F.col(f"`{n}`") for n in schema.names]))
+            line = F.to_json(F.struct("*"))
+            aside.append(rejected.select(F.lit(path).alias("file"), "reject_reasons", line.alias("line")))
+        set_aside(reduce(DataFrame.unionAll, aside), rejected_path, batch_id)
+        if good:
+            step(reduce(DataFrame.unionAll, good), batch_id)
+
+    return start(files, "csv-files", checkpoint, steps=[handle], trigger=trigger)
+
+
+_ASIDE = "file string, reject_reasons array<string>, line string"
+
+
 def first_rows(transactions: DataFrame, delay: str = WATERMARK_DELAY) -> DataFrame:
     """Repeats of a transaction id dropped within the watermark, with bounded state."""
     return with_event_time(transactions, delay).dropDuplicatesWithinWatermark(

@@ -7,6 +7,7 @@ from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerwake.functions import events
 from ledgerwake.operators import detect, profile, validate
@@ -250,3 +251,36 @@ def test_alerts_without_room_are_set_aside(spark, folder):
     aside = spark.read.parquet(f"{folder}/aside/batch=0").collect()
     assert {r.transaction_id for r in aside} == {"wide"}
     assert aside[0].reject_reasons == ["amount_overflow"]
+
+
+def test_csv_files_with_bad_headers_are_set_aside(spark, folder):
+    schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("n", T.LongType())])
+    os.makedirs(f"{folder}/in")
+    texts = ["id,n\na,1\nb,x\n", "n,note,id\n2,y,c\n", "id,n,n\nd,3,4\n", "id\ne\n"]
+    for number, text in enumerate(texts):
+        with open(f"{folder}/in/{number}.csv", "w") as file:
+            file.write(text)
+    kept = []
+    pipelines.csv_stream(
+        files.stream_csv_paths(spark, f"{folder}/in", 3), schema,
+        lambda good, _: kept.extend(map(tuple, good.collect())), f"{folder}/state", f"{folder}/aside",
+    ).awaitTermination()
+    assert sorted(kept) == [("a", 1), ("c", 2)]
+    aside = spark.read.parquet(f"{folder}/aside").collect()
+    found = sorted((os.path.basename(r.file), r.reject_reasons[0]) for r in aside)
+    assert [name for name, _ in found] == ["0.csv", "2.csv", "3.csv"]
+    assert found[0][1] == "n_unfit" and "more than once: n" in found[1][1] and "n" in found[2][1]
+
+
+def test_csv_problems_are_named_and_a_staged_split_parses_once(spark, folder):
+    os.makedirs(folder)
+    with open(f"{folder}/empty.csv", "w"):
+        pass
+    with pytest.raises(ValueError, match="empty"):
+        files.split_csv(spark, f"{folder}/empty.csv")
+    with open(f"{folder}/rows.csv", "w") as file:
+        file.write("id,n\na,1\nb,x\n")
+    schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("n", T.LongType())])
+    good, rejected = files.split_csv(spark, f"{folder}/rows.csv", schema, stage=f"{folder}/judged")
+    os.remove(f"{folder}/rows.csv")
+    assert [r.id for r in good.collect()] == ["a"] and [r.id for r in rejected.collect()] == ["b"]
