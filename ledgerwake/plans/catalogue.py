@@ -759,6 +759,27 @@ def live_history_profile(spark, sf_dir):
     return _plain(spark.read.schema(f"{kind}, batch_id int").parquet(f"{folder}/pictures"))
 
 
+def live_latency(spark, sf_dir):
+    """Alerts and raw rows as two streams of three files each; the last day is still open."""
+    folder = work_folder(spark, "live-latency")
+    number = F.col("transaction_id").cast("long")
+    for rows in tables.sent_slices(spark, sf_dir, again=False)[:3]:
+        delay = F.make_dt_interval(secs=number % 97 + 1)
+        timed = rows.withColumn("detected_at", F.col("event_time") + delay)
+        found = detect.detect(timed, limits=EVENT_LIMITS, carry=["detected_at"])
+        for side, name in ((rows, "rows"), (found, "alerts")):
+            side.coalesce(1).write.mode("append").parquet(f"{folder}/{name}")
+    streams = [
+        spark.readStream.schema(spark.read.parquet(f"{folder}/{name}").schema)
+        .option("maxFilesPerTrigger", 1)
+        .parquet(f"{folder}/{name}")
+        for name in ("alerts", "rows")
+    ]
+    latency = pipelines.live_latency(*streams, "1 day")
+    pipelines.start(latency, "live-latency", f"{folder}/state", path=f"{folder}/out").awaitTermination()
+    return _plain(spark.read.schema(latency.schema).parquet(f"{folder}/out"))
+
+
 # --- telemetry -------------------------------------------------------------------------
 
 
@@ -878,6 +899,7 @@ QUERIES: tuple[Query, ...] = (
     stream_balance,
     stream_recovery,
     live_history_profile,
+    live_latency,
     throughput_1h,
     anomalies_by_hour,
     anomalies_by_customer,

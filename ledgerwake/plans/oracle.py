@@ -525,6 +525,20 @@ SELECT 'archive', count(*), count(*), CAST(sum(transaction_amount_inr) AS DOUBLE
 UNION ALL
 SELECT 'unreadable', count(*), 1, NULL, 1 FROM ({CUT_OFF})""",
         "live_history_profile": _live_history(),
+        "live_latency": f"""
+WITH {event_found},
+delays AS (
+  SELECT date_trunc('day', event_time) AS day,
+         (CAST(transaction_id AS BIGINT) % 97 + 1) * 1000 AS delay_ms
+  FROM found WHERE day(event_time) < 24),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY day ORDER BY delay_ms) AS place,
+         count(*) OVER (PARTITION BY day) AS total
+  FROM delays)
+SELECT day AS interval_start, day + INTERVAL '1 day' AS interval_end, count(*) AS n,
+       min(delay_ms) AS min_ms, CAST(sum(delay_ms) AS DOUBLE) / count(*) AS avg_ms,
+       min(delay_ms) FILTER (place * 100 >= total * 95) AS p95_ms
+FROM placed GROUP BY day""",
         "throughput_1h": f"""
 WITH {EVENTS} SELECT date_trunc('hour', event_time) AS interval_start,
   date_trunc('hour', event_time) + INTERVAL '1 hour' AS interval_end, count(*) AS n

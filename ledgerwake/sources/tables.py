@@ -75,15 +75,18 @@ def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
 
 
-def sent_slices(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+def sent_slices(spark: SparkSession, sf_dir: str, again: bool = True) -> list[DataFrame]:
     """Events in the order in which they are sent: by third of the month, with repeats and late rows.
 
     The third slice sends some rows of the second again.  The last one also holds rows of the
-    first days under new ids, long after the watermark has passed them.
+    first days under new ids, long after the watermark has passed them.  Without `again` each
+    event is sent once.
     """
     rows = event_transactions(table(spark, sf_dir, "events"))
     day, number = F.dayofmonth("event_time"), F.col("transaction_id").cast("long")
     first, second, third = day <= 8, (day > 8) & (day <= 16), (day > 16) & (day <= 24)
+    if not again:
+        return [rows.filter(part) for part in (first, second, third, day > 24)]
     late = rows.filter(first & (number % 20 == 3))
     late = late.withColumn("transaction_id", F.concat(F.lit("late-"), "transaction_id"))
     return [

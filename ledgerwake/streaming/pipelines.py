@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ledgerwake.fixed_values import PROFILE_WINDOW, RAW_DECIMAL, REPORT_DECIMAL, WATERMARK_DELAY
 from ledgerwake.functions import events
-from ledgerwake.operators import detect, profile, validate
+from ledgerwake.operators import detect, profile, telemetry, validate
 from ledgerwake.sinks.tables import PART, InsertIgnoreTable, UpsertTable
 from ledgerwake.sources import files as source_files
 
@@ -155,6 +155,31 @@ def on_good(step: Step, need_time: bool = True) -> Step:
     return lambda batch, batch_id: step(events.good(batch, need_time), batch_id)
 
 
+def live_latency(
+    alerts: DataFrame,
+    transactions: DataFrame,
+    interval: str,
+    longest: str = "10 minutes",
+    delay: str = WATERMARK_DELAY,
+) -> DataFrame:
+    """Delay from event to alert per closed interval, of two streams joined on the transaction.
+
+    `alerts` has transaction_id and detected_at.  An alert is looked for no longer than `longest` after
+    its event, so each side's rows leave the state once the watermark has passed them by that.
+    """
+    found = alerts.select("transaction_id", "detected_at").withWatermark("detected_at", delay)
+    rows = transactions.select(F.col("transaction_id").alias("raw_id"), "event_time")
+    rows = with_event_time(rows, delay)
+    met = found.join(
+        rows,
+        F.expr(
+            "transaction_id = raw_id AND detected_at >= event_time"
+            f" AND detected_at <= event_time + INTERVAL {longest}"
+        ),
+    )
+    return telemetry.detection_latency(met, interval)
+
+
 BALANCE = "offered long, added long, rejected long"
 
 
