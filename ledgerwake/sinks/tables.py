@@ -110,15 +110,18 @@ class InsertIgnoreTable(KeyedTable):
         """
         rows = keyed_rows(self.placed(batch), self.keys)
         rows = keyed.first_per_key(rows, self.keys, order_by).persist()
-        known = self._known(rows).persist()
+        offered, known, old = rows.count(), None, 0
         try:
-            offered, old = rows.count(), known.count()
+            if self._exists(self.bits_path):
+                known = self._known(rows).persist()
+                old = known.count()
             if offered > old:
                 self._add(rows.join(known, [PART, *self.keys], "left_anti") if old else rows)
             return offered - old
         finally:
-            known.unpersist()
             rows.unpersist()
+            if known is not None:
+                known.unpersist()
 
     @property
     def bits_path(self) -> str:
