@@ -34,10 +34,12 @@ COUNTERS, SLICES = 1 << 20, 64
 BINS = 32
 # Hubs with which those that meet on a shingle are compared before any two of them are.
 HUBS = 2
+# Parts of a group of copies, and the factor of length within which sets are compared at last.
+SALTS, LENGTHS = 16, 1.26
 # Words whose hash a task remembers, and sets whose repetition within a task it notices.
 MEMO, NOTICED = 300_000, 200_000
 
-PROFILE = "doc_id long, n_shingles int, high long, low long, slice int, counts binary"
+PROFILE = "doc_id long, n_shingles int, high long, low long, bins array<int>, slice int, counts binary"
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = [pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(WORDS)]
 
@@ -85,7 +87,7 @@ def _counter(shingles: np.ndarray) -> np.ndarray:
 
 
 def profile(docs: DataFrame) -> DataFrame:
-    """Rows of documents (size and fingerprint of the set) and rows of shingle counts, staged."""
+    """Rows of documents (size, fingerprint and ranges of the set) and of shingle counts, staged."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
@@ -95,19 +97,20 @@ def profile(docs: DataFrame) -> DataFrame:
             for text in batch.column("text").to_pylist():
                 found = shingles.of(text or "")
                 np.add.at(counts, _counter(found), 1)
-                rows.append((len(found), *_fingerprint(found)))
-            sizes, high, low = (list(c) for c in zip(*rows)) if rows else ([], [], [])
-            yield _profile_rows(batch.column("doc_id"), sizes, high, low, None, None)
+                bins = np.bincount((found >> np.uint64(59)).astype(np.int64), minlength=BINS)
+                rows.append((len(found), *_fingerprint(found), bins.astype(np.int32)))
+            sizes, high, low, bins = (list(c) for c in zip(*rows)) if rows else ([], [], [], [])
+            yield _profile_rows(batch.column("doc_id"), sizes, high, low, bins, None, None)
         parts = [zlib.compress(p.tobytes(), 1) for p in np.split(counts, SLICES)]
         blank = [None] * SLICES
         yield _profile_rows(
-            pa.array(blank, pa.int64()), blank, blank, blank, list(range(SLICES)), parts
+            pa.array(blank, pa.int64()), blank, blank, blank, blank, list(range(SLICES)), parts
         )
 
     return staged(docs.select("doc_id", "text").mapInArrow(measure, PROFILE), "profile")
 
 
-def _profile_rows(ids, sizes, high, low, slices, counts) -> pa.RecordBatch:
+def _profile_rows(ids, sizes, high, low, bins, slices, counts) -> pa.RecordBatch:
     blank = [None] * len(ids)
     return pa.RecordBatch.from_arrays(
         [
@@ -115,10 +118,11 @@ def _profile_rows(ids, sizes, high, low, slices, counts) -> pa.RecordBatch:
             pa.array(sizes, pa.int32()),
             pa.array(high, pa.int64()),
             pa.array(low, pa.int64()),
+            pa.array(bins, pa.list_(pa.int32())),
             pa.array(slices or blank, pa.int32()),
             pa.array(counts or blank, pa.binary()),
         ],
-        names=["doc_id", "n_shingles", "high", "low", "slice", "counts"],
+        names=["doc_id", "n_shingles", "high", "low", "bins", "slice", "counts"],
     )
 
 
@@ -238,33 +242,35 @@ def _pairs(met: DataFrame) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, n, bins, shingles of the wanted documents, staged."""
+    """node, n, shingles of the wanted documents, staged."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles()
         for batch in in_pieces(batches, 500):
             found = [shingles.of(t or "") for t in batch.column("text").to_pylist()]
-            bins = [np.bincount((f >> np.uint64(59)).astype(np.int64), minlength=BINS) for f in found]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
                     pa.array([len(f) for f in found], pa.int32()),
-                    pa.array([b.astype(np.int32) for b in bins], pa.list_(pa.int32())),
                     pa.array([f.view(np.int64) for f in found], pa.list_(pa.int64())),
                 ],
-                names=["node", "n", "bins", "shingles"],
+                names=["node", "n", "shingles"],
             )
 
     wanted = docs.select("doc_id", "text").join(nodes.toDF("doc_id"), "doc_id", "left_semi")
-    ddl = "node long, n int, bins array<int>, shingles array<long>"
-    return staged(wanted.mapInArrow(build, ddl), "sets")
+    return staged(wanted.mapInArrow(build, "node long, n int, shingles array<long>"), "sets")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs that link: suffix filter on narrow rows first, then whole sets."""
+def verified(pairs: DataFrame, ranges: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs that link: suffix filter on narrow rows first, then whole sets.
 
-    def side(name: str, *columns: str) -> DataFrame:
-        return sets.select(F.col("node").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in columns])
+    Whole sets are made, and shuffled, only for ends of pairs that pass the suffix filter.
+    """
+
+    def side(rows: DataFrame, name: str, column: str) -> DataFrame:
+        return rows.select(
+            F.col("node").alias(name), F.col("n").alias(f"{name}_n"), F.col(column).alias(f"{name}_{column}")
+        )
 
     def enough(common: Column) -> Column:
         return (100 + PERCENT) * common >= PERCENT * (F.col("low_n") + F.col("high_n"))
@@ -272,10 +278,12 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     common = F.aggregate(
         F.zip_with("low_bins", "high_bins", lambda x, y: F.least(x, y)), F.lit(0), lambda total, one: total + one
     )
-    near = pairs.join(side("low", "n", "bins"), "low").join(side("high", "n", "bins"), "high")
+    near = pairs.join(side(ranges, "low", "bins"), "low").join(side(ranges, "high", "bins"), "high")
     # Written down, the pairs have a known size, and the sets stay where they are if it is small.
     near = staged(near.filter(enough(common)).select("low", "high").distinct(), "near")
-    whole = near.join(side("low", "n", "shingles"), "low").join(side("high", "n", "shingles"), "high")
+    ends = near.select(F.explode(F.array("low", "high")).alias("node")).distinct()
+    sets = sets_of(docs, staged(ends, "ends"))
+    whole = near.join(side(sets, "low", "shingles"), "low").join(side(sets, "high", "shingles"), "high")
     return (
         whole.filter(enough(F.size(F.array_intersect("low_shingles", "high_shingles"))))
         .select("low", "high")
@@ -283,6 +291,21 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
+def copies_of(present: DataFrame) -> DataFrame:
+    """doc_id, node: documents whose set is also that of a smaller id, the node, staged.
+
+    Only sets that several rows have take part in the join, each group in SALTS parts.
+    """
+    salted = present.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    parts = salted.groupBy("high", "low", "salt").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("rows"))
+    several = parts.groupBy("high", "low").agg(F.min("node").alias("node"), F.sum("rows").alias("rows"))
+    first = several.filter("rows > 1").select(
+        "high", "low", "node", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt")
+    )
+    found = salted.join(first, ["high", "low", "salt"]).filter("doc_id <> node")
+    return staged(found.select("doc_id", "node"), "copies")
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, label: the smallest node reachable by links, for every node with a link.
 
@@ -314,28 +337,24 @@ def join(docs: DataFrame) -> DataFrame:
     Words are runs of other than space and \\t-\\r, after lower-casing A-Z; fewer than five
     words make one shingle, none (null or empty text) make none and link with nothing.  Ids should
     be unique: rows that repeat one share a component, and are looked up by one of their
-    texts where these differ.  Rows without an id take no part; their component is null.  An empty table gives an empty result; other
-    columns are ignored.
+    texts where these differ.  Rows without an id take no part; their component is null.  An
+    empty table gives an empty result; other columns are ignored.
     """
     profiled = profile(docs)
     rows = profiled.filter("slice is null").select("doc_id", "n_shingles", "high", "low")
     met = meetings(docs, frequencies(profiled))
     present = rows.filter("doc_id is not null and n_shingles > 0")
-    first = present.groupBy("high", "low").agg(F.min("doc_id").alias("node"))
-    copies = staged(
-        present.join(first, ["high", "low"]).filter("doc_id <> node").select("doc_id", "node"), "copies"
-    )
+    copies = copies_of(present)
     folded = (
         met.join(copies, "doc_id", "left")
         .groupBy("shingle", F.coalesce("node", "doc_id").alias("node"), "n")
         .agg(F.min("at").alias("at"))
     )
-    folded = staged(folded, "folded")
-    several = folded.groupBy("shingle").count().filter("count > 1").select("shingle")
-    apart = staged(
-        folded.join(several, "shingle", "left_semi").withColumn("label", F.col("node")), "apart"
-    )
-    sets = sets_of(docs, staged(apart.select("node").distinct(), "nodes"))
+    # A shingle that one node alone has left is its own hub and meets nobody.
+    apart = staged(folded.withColumn("label", F.col("node")), "apart")
+    nodes = staged(apart.select("node").distinct(), "nodes")
+    ranges = profiled.filter("slice is null").select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "bins")
+    ranges = staged(ranges.join(nodes, "node", "left_semi"), "ranges")
     tried = None
     labels = apart.select("node", "label").limit(0)
     for turn in range(HUBS + 1):
@@ -345,7 +364,7 @@ def join(docs: DataFrame) -> DataFrame:
         if tried is not None:
             fresh = fresh.join(tried, ["low", "high"], "left_anti")
         pairs = staged(fresh, "pairs")
-        links = staged(verified(pairs, sets), "links")
+        links = staged(verified(pairs, ranges, docs), "links")
         tried = pairs if tried is None else tried.unionByName(pairs)
         if not links.isEmpty():
             labels = _merged(labels, links)
@@ -360,8 +379,16 @@ def join(docs: DataFrame) -> DataFrame:
 
 
 def _all_pairs(apart: DataFrame) -> DataFrame:
-    """Rows that meet on a shingle; the caller keeps those in different components."""
-    return apart.alias("a").join(apart.alias("b"), "shingle").filter("a.node < b.node")
+    """Rows that meet on a shingle and are of like length; the caller keeps those in different components.
+
+    Lengths are in classes a factor LENGTHS wide, more than the filter on lengths allows, so
+    sets that can link are in the same class or in neighbouring ones.
+    """
+    rows = apart.withColumn("kind", F.floor(F.log(LENGTHS, F.col("n"))))
+    here = rows.withColumn("class", F.col("kind"))
+    beside = rows.withColumn("class", F.explode(F.array("kind", F.col("kind") + 1)))
+    met = here.alias("a").join(beside.alias("b"), ["shingle", "class"])
+    return met.filter((F.col("b.kind") < F.col("a.kind")) | (F.col("a.node") < F.col("b.node")))
 
 
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -405,6 +432,10 @@ def _still_apart(apart: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` of which no similar one has a smaller id, with all their columns."""
+    """The rows of `docs` of which no similar one has a smaller id, with all their columns.
+
+    Rows without an id and rows without words stay.  Rows that repeat an id stay or go together,
+    so there are no ties.  An empty table gives an empty result.
+    """
     kept = join(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("_dropped"))
     return docs.join(kept, docs["doc_id"] == kept["_dropped"], "left_anti")

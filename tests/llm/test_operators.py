@@ -273,6 +273,19 @@ def test_join_links_a_chain_of_edits(spark):
     assert len({c for _, c in found.values()}) == 1
 
 
+def test_join_last_turn_and_copies_equal_brute_force(spark, monkeypatch):
+    """Without hubs, every link comes from the turn that compares neighbouring classes of length."""
+    monkeypatch.setattr(ngram_join, "HUBS", 0)
+    base = [f"w{n}" for n in range(120)]
+    rows = [(n, " ".join(base[: 80 + 2 * n]), "en", "a") for n in range(21)]
+    rows += [(50 + n, " ".join(base[:6] + [f"own{n}x{k}" for k in range(40 + 9 * n)]), "en", "a") for n in range(6)]
+    rows += [(100 + n, " ".join(base[40:]), "en", "a") for n in range(70)]
+    docs = _docs(spark, rows)
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(docs).collect()}
+    assert found == _components(_texts(docs))
+    assert len({found[100 + n][1] for n in range(70)}) == 1
+
+
 def test_join_odd_rows(odd, empty):
     found = {(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.join(odd).collect()}
     assert {(1, 0, 1), (2, 0, 2), (6, 1, 6), (7, 1, 6), (None, 1, None)} <= found
