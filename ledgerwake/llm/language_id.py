@@ -31,7 +31,7 @@ LEXICON = 300
 # Lengths of the runs that are spliced into code-switched training sequences.
 RUN, SEQUENCE, BATCH = (4, 40), 64, 64
 # Words whose scores a worker remembers, and words that one forward-backward takes.
-MEMO, AT_ONCE = 350_000, 200_000
+MEMO, AT_ONCE = 200_000, 100_000
 UNKNOWN = "und"
 
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -284,7 +284,7 @@ def predict(docs: DataFrame, model: bytes) -> DataFrame:
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = _labeller(shared.value)
         names = np.array([*labeller.model.labels, UNKNOWN], dtype=object)
-        for batch in in_pieces(batches, 4000):
+        for batch in in_pieces(batches, 2000):
             found = labeller.probabilities(texts_of(batch))
             best = found.argmax(axis=1) if found.shape[1] else np.zeros(len(found), dtype=int)
             score = found.max(axis=1, initial=0)
@@ -319,7 +319,7 @@ def keep_known(docs: DataFrame, model: bytes, least: float = LEAST_CERTAINTY) ->
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = _labeller(shared.value)
-        for batch in in_pieces(batches, 4000):
+        for batch in in_pieces(batches, 2000):
             found = labeller.certainty(texts_of(batch))
             stays = (found > 0) & (found >= least)
             if stays.any():
