@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from ledgerwake.fixed_values import CSV_AMOUNT, CUSTOM_FILLS, WITHDRAWAL_SHARE
 from ledgerwake.functions.scalars import hash_share, is_missing, measure
+from ledgerwake.operators.modes import exact_modes
 from ledgerwake.operators.quantiles import exact_quantiles
 from ledgerwake.operators.validate import require_columns
 
@@ -81,7 +82,7 @@ def fill_mode(df: DataFrame) -> DataFrame:
     columns = columns_with_gaps(df, df.columns)
     if not columns:
         return df
-    modes = column_modes(df.select(*[F.col(f"`{c}`") for c in columns])).first()
+    modes = exact_modes(df.select(*[F.col(f"`{c}`") for c in columns]))
     return fill(df, dict(zip(columns, modes)))
 
 
@@ -91,25 +92,9 @@ def fill_custom(df: DataFrame, fills: Mapping[str, object] = CUSTOM_FILLS) -> Da
 
 
 def column_modes(df: DataFrame) -> DataFrame:
-    """One row with the most frequent value of every column; smallest on a tie.
-
-    Values are counted with one grouping set per column, so a single scan feeds a
-    distributed count in the columns' own types.
-    """
-    # Plain internal names, so that no column of the data can clash with the counts.
-    cells = [f"cell_{i}" for i in range(len(df.columns))]
-    known = df.select(*[measure(df, c).alias(cell) for c, cell in zip(df.columns, cells)])
-    counts = known.groupingSets([[cell] for cell in cells], *cells).agg(
-        F.grouping_id().alias("set_id"), F.count("*").alias("n")
-    )
-    modes = []
-    for position, (name, cell) in enumerate(zip(df.columns, cells)):
-        # In a grouping id the bit of the one grouped column is 0, all others are 1.
-        own_set = (1 << len(cells)) - 1 - (1 << (len(cells) - 1 - position))
-        counted = (F.col("set_id") == own_set) & F.col(cell).isNotNull()
-        rank = F.when(counted, F.struct(-F.col("n"), cell))
-        modes.append(F.min_by(cell, rank).alias(name))
-    return counts.agg(*modes)
+    """One row with the most frequent value of every column; smallest on a tie."""
+    kinds = T.StructType([T.StructField(f.name, f.dataType) for f in df.schema])
+    return df.sparkSession.createDataFrame([tuple(exact_modes(df))], kinds)
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
