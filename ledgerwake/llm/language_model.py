@@ -175,9 +175,14 @@ def learn_classes(training: DataFrame, frequent: dict[bytes, int]) -> Vocabulary
         places, columns = shared.value
         met = np.zeros((len(places) + 1) * ANCHORS, dtype=np.int32)
         for batch in in_pieces(batches, 500):
-            tokens = [t for text in texts_of(batch) for t in tokens_of(text)]
+            split = [tokens_of(text) for text in texts_of(batch)]
+            tokens = [t for one in split for t in one]
             at = np.fromiter((places.get(t, -1) for t in tokens), dtype=np.int32, count=len(tokens))
-            for left, right in ((at[:-1], at[1:]), (at[1:], at[:-1])):
+            # A text's end and the next one's first word are no company.
+            inside = np.ones(max(len(tokens) - 1, 0), dtype=bool)
+            inside[np.cumsum([len(one) for one in split], dtype=np.int64)[:-1] - 1] = False
+            left, right = at[:-1][inside], at[1:][inside]
+            for left, right in ((left, right), (right, left)):
                 side = columns[left]
                 known = side >= 0
                 cells, times = np.unique(

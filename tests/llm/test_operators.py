@@ -659,3 +659,12 @@ def test_pipeline_stage_by_stage(spark):
     assert 0.9 * words(apart) <= words(mixed) <= words(apart)
     assert Counter(r.doc_id for r in packed if r.piece == 0) == copies
     assert corpus_pipeline.run(spark, SF_DIR).count() == len(packed)
+
+
+@pytest.mark.parametrize("partitions", [1, 4])
+def test_words_of_other_documents_are_no_company(spark, partitions):
+    """Chained, the texts would put the end token beside `p`, which starts the next one."""
+    texts = spark.createDataFrame([(n, "p q q") for n in range(40)], "doc_id long, text string")
+    counts = {b"p": 40, b"q": 80, language_model.END: 40}
+    words = language_model.learn_classes(texts.repartition(partitions), counts)
+    assert words.classes[words.index[language_model.END]] == words.classes[words.index[b"q"]]
