@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerwake.llm.shared import held_out, in_pieces, staged, texts_of
+from ledgerwake.llm.shared import brief_shuffles, held_out, in_pieces, staged, texts_of
 
 END = b""  # the end token; no word is empty
 # Size bound of the table of frequent words that every task knows.
@@ -569,14 +569,16 @@ def score(docs: DataFrame, parts: int = 7) -> DataFrame:
     """
     out = held_out(F.col("doc_id"), parts)
     training = docs.select("doc_id", "text").filter(~out)
-    counts = count_tokens(training)
-    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    frequent, least = frequent_tokens(counts)
-    vocabulary = learn_classes(training, frequent)
-    rare = counts.filter(F.col("n") < least)
-    forks = Forks(vocabulary, fill_buckets(rare, vocabulary, distinct - len(frequent)))
-    weights = train(training, vocabulary, forks, feature_rows(distinct))
-    scored = _score(docs, vocabulary, forks, weights)
+    # The changes of one round are not kept beside those of the next.
+    with brief_shuffles(docs.sparkSession):
+        counts = count_tokens(training)
+        total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+        frequent, least = frequent_tokens(counts)
+        vocabulary = learn_classes(training, frequent)
+        rare = counts.filter(F.col("n") < least)
+        forks = Forks(vocabulary, fill_buckets(rare, vocabulary, distinct - len(frequent)))
+        weights = train(training, vocabulary, forks, feature_rows(distinct))
+        scored = _score(docs, vocabulary, forks, weights)
     met = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x"))
     met = met.select("row", F.col("x.rare").alias("token"), F.col("x.times").alias("times"))
     found = (
