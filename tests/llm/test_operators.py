@@ -668,3 +668,13 @@ def test_words_of_other_documents_are_no_company(spark, partitions):
     counts = {b"p": 40, b"q": 80, language_model.END: 40}
     words = language_model.learn_classes(texts.repartition(partitions), counts)
     assert words.classes[words.index[language_model.END]] == words.classes[words.index[b"q"]]
+
+
+@pytest.mark.parametrize("rows, width", [(1, 1), (500, 1), (300, 32)])
+def test_changes_in_bytes(rows, width):
+    change = np.random.default_rng(3).normal(size=(rows, width)).astype(np.float32) ** 3
+    change[0] = 0
+    found = language_model.from_bytes(language_model.in_bytes(change), width)
+    top = np.abs(change).max(axis=1, keepdims=True) if width > 1 else np.abs(change).max()
+    # Half a step of the root, which is a 127th of that of the greatest.
+    assert (np.abs(found - change) <= np.sqrt(np.abs(change) * top) / 127 + top / 127**2).all()
