@@ -34,7 +34,7 @@ def profiles(spark: SparkSession, connect: dict[str, str], table: str = CUSTOMER
 
 def detect_topic(
     spark: SparkSession, topic: dict, connect: dict[str, str], checkpoint: str, rejected_path: str,
-    trigger: dict | None = None, **options,
+    trigger: dict | None = None, alert_table: str = ALERTS, raw_table: str = RAW, **options,
 ) -> StreamingQuery:
     """Live detection: alerts and raw rows of the topic into the database, from one read.
 
@@ -42,38 +42,39 @@ def detect_topic(
     """
     start = kafka.starting_offsets("realtime")
     decoded = events.decode(kafka.read_stream(spark, **topic, starting=start))
-    tables = alerts(spark, connect), raw_rows(spark, connect)
+    tables = alerts(spark, connect, alert_table), raw_rows(spark, connect, raw_table)
     return pipelines.speed_layer(decoded, *tables, checkpoint, rejected_path, trigger, **options)
 
 
 def replay_topic(
     spark: SparkSession, topic: dict, connect: dict[str, str], end: Column, rejected_path: str,
-    run_ts=None,
+    run_ts=None, profile_table: str = CUSTOMERS,
 ) -> None:
     """The topic from its beginning up to `end`: window profiles upserted into the database."""
     start = kafka.starting_offsets("reprocess")
     decoded = events.decode(kafka.read_batch(spark, **topic, starting=start))
     file_sink.overwrite(events.quarantine(decoded), f"{rejected_path}/messages")
-    jobs.replay_profiles(
-        events.good(decoded), profiles(spark, connect), end, f"{rejected_path}/rows", run_ts
-    )
+    target = profiles(spark, connect, profile_table)
+    jobs.replay_profiles(events.good(decoded), target, end, f"{rejected_path}/rows", run_ts)
 
 
 def load_topic(
-    spark: SparkSession, topic: dict, connect: dict[str, str], batch_path: str
+    spark: SparkSession, topic: dict, connect: dict[str, str], batch_path: str,
+    raw_table: str = RAW,
 ) -> dict[str, int]:
     """The topic as it is now into the empty raw table; rows read, stored and rejected."""
     messages = kafka.read_batch(spark, **topic)
-    return jobs.load_messages(messages, raw_rows(spark, connect), batch_path)
+    return jobs.load_messages(messages, raw_rows(spark, connect, raw_table), batch_path)
 
 
 def profile_database(
-    spark: SparkSession, connect: dict[str, str], run_ts=None, **split
+    spark: SparkSession, connect: dict[str, str], run_ts=None, raw_table: str = RAW,
+    profile_table: str = CUSTOMERS, **split,
 ) -> DataFrame:
     """Profiles over all raw rows of the database replace those in it.  Returns the new ones.
 
     `split` places the ranges of `event_time`, or of another column, that are read side by side.
     """
-    target = profiles(spark, connect)
-    jobs.rebuild_profiles(raw_rows(spark, connect).read(**split), target, run_ts)
+    target = profiles(spark, connect, profile_table)
+    jobs.rebuild_profiles(raw_rows(spark, connect, raw_table).read(**split), target, run_ts)
     return target.read()
