@@ -75,7 +75,10 @@ class KeyedTable:
 
     def _parts(self, rows: DataFrame) -> list:
         """The partitions of some rows: at most as many as the table has."""
-        return [r[0] for r in rows.select(PART).distinct().collect()]
+        return list(self._part_sizes(rows))
+
+    def _part_sizes(self, rows: DataFrame) -> dict:
+        return {r[0]: r[1] for r in rows.groupBy(PART).agg(F.count("*")).collect()}
 
     def _write(self, rows: DataFrame, mode: str, path: str, **options) -> None:
         """Few files to a folder: rows of a folder meet first, and large folders are split again."""
@@ -106,22 +109,30 @@ class InsertIgnoreTable(KeyedTable):
     def insert(self, batch: DataFrame, order_by: Sequence[str] = ()) -> int:
         """Adds the rows with new keys and tells how many they were.
 
-        The batch is read more than once, so it is kept while it is written.
+        The batch is read more than once, so its first rows are written down beside the table
+        until they are in it.  Only columns that a check needs are read from there.
         """
         rows = keyed_rows(self.placed(batch), self.keys)
-        rows = keyed.first_per_key(rows, self.keys, order_by).persist()
-        offered, known, old = rows.count(), None, 0
+        rows, known, old = keyed.first_per_key(rows, self.keys, order_by), None, 0
+        rows.write.mode("overwrite").parquet(self.batch_path)
         try:
-            if self._exists(self.bits_path):
-                known = self._known(rows).persist()
+            rows = self.spark.read.schema(self._stored()).parquet(self.batch_path)
+            offered = self._part_sizes(rows)
+            if offered and self._exists(self.bits_path):
+                known = self._known(rows, list(offered)).persist()
                 old = known.count()
-            if offered > old:
+            new = sum(offered.values()) - old
+            if new:
                 self._add(rows.join(known, [PART, *self.keys], "left_anti") if old else rows)
-            return offered - old
+            return new
         finally:
-            rows.unpersist()
             if known is not None:
                 known.unpersist()
+            self._remove(self.batch_path)
+
+    @property
+    def batch_path(self) -> str:
+        return f"{self.path}-batch"
 
     @property
     def bits_path(self) -> str:
@@ -136,16 +147,16 @@ class InsertIgnoreTable(KeyedTable):
             F.bitmap_bit_position(place).alias("bit"),
         )
 
-    def _known(self, rows: DataFrame) -> DataFrame:
-        """Partition and key of the rows that are in the table."""
-        suspects = self.suspects(rows)
+    def _known(self, rows: DataFrame, parts: Sequence | None = None) -> DataFrame:
+        """Partition and key of the rows that are in the table; `parts` names the rows' partitions."""
+        suspects = self.suspects(rows, parts)
         # Rows with a bit that is not set are new; mostly there is nothing to read.
         parts = self._parts(suspects)
         if not parts:
             return suspects.limit(0)
         return self.partitions(parts).select(PART, *self.keys).join(suspects, [PART, *self.keys], "left_semi")
 
-    def suspects(self, rows: DataFrame) -> DataFrame:
+    def suspects(self, rows: DataFrame, parts: Sequence | None = None) -> DataFrame:
         """Partition and key of placed rows whose bit is set: all known ones, and few others."""
         hashed = self._hashed(rows)
         if not self._exists(self.bits_path):
@@ -153,7 +164,7 @@ class InsertIgnoreTable(KeyedTable):
         kind = T.StructType([T.StructField("slot", T.LongType()), T.StructField("bits", T.BinaryType()),
                              T.StructField(PART, T.StringType())])
         bits = self.spark.read.schema(kind).parquet(self.bits_path)
-        bits = bits.filter(F.col(PART).isin(self._parts(rows)))
+        bits = bits.filter(F.col(PART).isin(list(parts or self._parts(rows))))
         bits = bits.join(hashed.select(PART, "slot").distinct(), [PART, "slot"], "left_semi")
         bits = bits.groupBy(PART, "slot").agg(F.bitmap_or_agg("bits").alias("bits"))
         octet = F.conv(F.hex(F.substring("bits", F.floor(F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10)

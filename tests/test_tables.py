@@ -166,3 +166,24 @@ def test_an_upsert_that_broke_off_is_finished(spark, folder, monkeypatch):
 
 def test_work_folder_is_below_the_shared_folder(spark, folder):
     assert folder.startswith(spark.sparkContext.getConf().get("spark.checkpoint.dir") + "/")
+
+
+def test_an_insert_takes_few_tasks_for_few_rows(spark, folder):
+    """Not one per shuffle partition for each look at the batch, and nothing stays beside the table."""
+    context, table = spark.sparkContext, InsertIgnoreTable(spark, folder, SCHEMA, ["k"])
+    table.insert(rows(spark, ("a", 1), ("b", 5)), ["v"])
+    usual = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    context.setJobGroup(folder, "insert")
+    try:
+        assert table.insert(rows(spark, ("b", 0), ("c", 3)), ["v"]) == 1
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", usual)
+        context.setLocalProperty("spark.jobGroup.id", None)
+    status = context.statusTracker()
+    jobs = [status.getJobInfo(j) for j in status.getJobIdsForGroup(folder)]
+    stages = {s for job in jobs for s in job.stageIds}
+    sizes = [info.numCompletedTasks for info in map(status.getStageInfo, stages) if info]
+    assert sizes and max(sizes) < 64
+    assert not glob.glob(f"{folder}-batch*")
+    assert content(table) == [("a", 1), ("b", 5), ("c", 3)]
