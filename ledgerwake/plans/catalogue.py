@@ -650,15 +650,16 @@ def single_pipeline_reprocess(spark, sf_dir):
 
 
 def _sent(spark, sf_dir, folder, broken=True):
-    """A topic of four files, one micro-batch each; the second also has cut-off messages."""
+    """A topic of four slices, one micro-batch each; the second also has cut-off messages."""
+    files = tables.slice_files(spark, sf_dir)
     for number, rows in enumerate(tables.sent_slices(spark, sf_dir)):
         messages = events.to_messages(rows)
         if broken and number == 1:
             some = rows.filter(F.col("transaction_id").cast("long") % 10 == 3)
             cut = events.to_messages(some).select(F.substring("value", 1, 40).alias("value"))
             messages = messages.unionByName(cut)
-        file_source.add_slice(messages, f"{folder}/topic")
-    return events.decode(file_source.stream_messages(spark, f"{folder}/topic", 1))
+        file_source.add_slice(messages, f"{folder}/topic", files)
+    return events.decode(file_source.stream_messages(spark, f"{folder}/topic", files))
 
 
 def stream_late_counts(spark, sf_dir):
@@ -760,18 +761,18 @@ def live_history_profile(spark, sf_dir):
 
 
 def live_latency(spark, sf_dir):
-    """Alerts and raw rows as two streams of three files each; the last day is still open."""
-    folder = work_folder(spark, "live-latency")
+    """Alerts and raw rows as two streams of three slices each; the last day is still open."""
+    folder, files = work_folder(spark, "live-latency"), tables.slice_files(spark, sf_dir)
     number = F.col("transaction_id").cast("long")
     for rows in tables.sent_slices(spark, sf_dir, again=False)[:3]:
         delay = F.make_dt_interval(secs=number % 97 + 1)
         timed = rows.withColumn("detected_at", F.col("event_time") + delay)
         found = detect.detect(timed, limits=EVENT_LIMITS, carry=["detected_at"])
         for side, name in ((rows, "rows"), (found, "alerts")):
-            side.coalesce(1).write.mode("append").parquet(f"{folder}/{name}")
+            file_source.dealt(side, files).write.mode("append").parquet(f"{folder}/{name}")
     streams = [
         spark.readStream.schema(spark.read.parquet(f"{folder}/{name}").schema)
-        .option("maxFilesPerTrigger", 1)
+        .option("maxFilesPerTrigger", files)
         .parquet(f"{folder}/{name}")
         for name in ("alerts", "rows")
     ]

@@ -155,15 +155,20 @@ def stream_messages(
     return reader.text(path)
 
 
-def add_slice(messages: DataFrame, path: str) -> None:
-    """One more file of a topic folder, so one more micro-batch where a trigger takes one file.
+def add_slice(messages: DataFrame, path: str, files: int = 1) -> None:
+    """More files of a topic folder, so one more micro-batch where a trigger takes as many.
 
     Files are read in the order of their times, which count in milliseconds.
     """
-    messages.select(F.col("value").cast("string")).coalesce(1).write.mode("append").text(path)
+    dealt(messages.select(F.col("value").cast("string")), files).write.mode("append").text(path)
     time.sleep(0.05)
 
 
+def dealt(rows: DataFrame, files: int) -> DataFrame:
+    """Rows for so many files of about one size, each written by a task of its own."""
+    return rows.coalesce(1) if files == 1 else rows.repartition(files)
+
+
 def stream_csv_paths(spark: SparkSession, path: str, max_files_per_trigger: int) -> DataFrame:
     """New files of a folder as a stream of their paths, a bounded number for each micro-batch."""
     reader = spark.readStream.option("maxFilesPerTrigger", max_files_per_trigger)

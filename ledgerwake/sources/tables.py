@@ -97,6 +97,15 @@ def sent_slices(spark: SparkSession, sf_dir: str, again: bool = True) -> list[Da
     ]
 
 
+# Rows of a slice that one file may hold, about 100 MB as messages.
+SLICE_ROWS = 500_000
+
+
+def slice_files(spark: SparkSession, sf_dir: str) -> int:
+    """Files for each of the four slices, so that no task writes or reads a whole large one."""
+    return 1 + table(spark, sf_dir, "events").count() // (4 * SLICE_ROWS)
+
+
 def gappy_transactions(transactions: DataFrame) -> DataFrame:
     """Line transactions as doubles with gaps: nulls and NaN placed by other columns."""
     line_no, gender = F.col("l_linenumber"), F.col("customer_gender")

@@ -11,10 +11,11 @@ from pyspark.sql import types as T
 
 from ledgerwake.functions import events
 from ledgerwake.operators import detect, profile, validate
+from ledgerwake.plans import catalogue
 from ledgerwake.schemas import ANOMALIES, PROFILES, RAW_TRANSACTIONS, TRANSACTION_COLUMNS
 from ledgerwake.sinks import layouts
 from ledgerwake.sinks.tables import InsertIgnoreTable, UpsertTable
-from ledgerwake.sources import files
+from ledgerwake.sources import files, tables
 from ledgerwake.streaming import pipelines
 from ledgerwake.streaming.progress import BatchCounts
 from tests.samples import at, frame, txn
@@ -284,3 +285,19 @@ def test_csv_problems_are_named_and_a_staged_split_parses_once(spark, folder):
     good, rejected = files.split_csv(spark, f"{folder}/rows.csv", schema, stage=f"{folder}/judged")
     os.remove(f"{folder}/rows.csv")
     assert [r.id for r in good.collect()] == ["a"] and [r.id for r in rejected.collect()] == ["b"]
+
+
+def test_large_slices_are_several_files_of_one_micro_batch(spark, folder, monkeypatch):
+    days = [(n, datetime(2024, 1, 1 + n % 28), n % 3, "view", 500.0, '{"k": 50}') for n in range(400)]
+    kind = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    spark.createDataFrame(days, kind).repartition(1).write.parquet(f"{folder}/sf/events.parquet")
+    found = {}
+    for rows_of_a_file in (1000, 25):
+        monkeypatch.setattr(tables, "SLICE_ROWS", rows_of_a_file)
+        balance = catalogue.stream_balance(spark, f"{folder}/sf").collect()
+        latency = catalogue.live_latency(spark, f"{folder}/sf").collect()
+        found[rows_of_a_file] = sorted(balance), sorted(latency)
+    assert found[1000] == found[25] and len(found[25][0]) == 4
+    topic = catalogue._sent(spark, f"{folder}/sf", f"{folder}/sent")
+    assert len(glob.glob(f"{folder}/sent/topic/part-*")) == 4 * 5
+    assert topic.isStreaming
