@@ -181,3 +181,42 @@ def test_csv_by_name_with_rejects(spark, folder, tmp_path):
     }
     with pytest.raises(ValueError, match="do not fit"):
         file_source.read_csv(spark, str(tmp_path / "in.csv"), schema, multi_line=True)
+
+
+CELLS = [
+    "1", " 2 ", "+3", "-4", "9" * 30, "12.5", ".5", "5.", "1e3", "1d", "2F", "0x1p3", "inf", "-Infinity",
+    "+inf", "nAn", "1-1", "01/01/92", "x", "", "e5", "1e", "--1", "0x", "1 2", ".", "\x011", "i", "N",
+]
+
+
+def test_inferred_kinds_are_those_of_the_casts(spark):
+    """Whatever is not tried as a number must be none."""
+    cells = spark.createDataFrame([(c,) for c in CELLS], "cell string")
+    tried = cells.filter(F.col("cell").try_cast("double").isNotNull()).collect()
+    formed = cells.filter(F.col("cell").rlike(file_source._NUMBER)).collect()
+    assert {r.cell for r in tried} <= {r.cell for r in formed}
+    for cell in CELLS:
+        one = cells.filter(F.col("cell") == cell).limit(1)
+        is_number = any(r.cell == cell for r in tried)
+        assert (file_source.infer_types(one)["cell"].dataType != T.StringType()) == is_number
+
+
+def test_reading_csv_passes_over_the_files_once_to_judge_them(spark, folder):
+    """One job with types to find or given, not one for the types and several for the rejects."""
+    spark.range(1000).select("id", F.lit("a").alias("t")).repartition(20).write.option("header", True).csv(folder)
+    context = spark.sparkContext
+    for schema in (None, T.StructType([T.StructField("id", T.LongType())])):
+        group = f"{folder}-{schema is None}"
+        context.setJobGroup(group, "read")
+        try:
+            good = file_source.read_csv(spark, folder, schema)
+        finally:
+            context.setLocalProperty("spark.jobGroup.id", None)
+        assert good.count() == 1000
+        status = context.statusTracker()
+        stages = {s for j in status.getJobIdsForGroup(group) for s in status.getJobInfo(j).stageIds}
+        tasks = [info.numCompletedTasks for info in map(status.getStageInfo, stages) if info]
+        assert len([n for n in tasks if n > 1]) == 1
+    spark.createDataFrame([("1,2",), ("3,4,5",)], "line string").coalesce(1).write.text(f"{folder}-ragged")
+    with pytest.raises(ValueError, match="do not fit: ragged"):
+        file_source.read_csv(spark, f"{folder}-ragged", None)
