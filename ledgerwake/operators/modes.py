@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerwake.functions.scalars import FLOATS, measure
+from ledgerwake.session import work_folder
 
 # Candidates of a column, and values that its sketch holds at a time.
 CANDIDATES, TRACKED = 8, 6000
@@ -26,6 +27,8 @@ UNNAMED = 2 * 2.625
 SKETCHED = (T.BooleanType, T.IntegralType, *FLOATS, T.DecimalType, T.DateType)
 # Types that are no longer than a hash, or hardly, are counted as they are.
 NARROW = (*SKETCHED, T.TimestampType, T.TimestampNTZType)
+# Types whose cells are written down for all passes.
+STORED = (*NARROW, T.StringType, T.BinaryType)
 # Texts with about as many distinct ones, or fewer, are counted as they are as well.
 FEW = 100_000
 # Columns that share a pass; a grouping id has room for 63.
@@ -37,6 +40,11 @@ def exact_modes(df: DataFrame) -> list:
     # Plain internal names, so that no column of the data can clash.
     cells = [f"cell_{i}" for i in range(len(df.columns))]
     known = df.select(*[_cell(df, c).alias(cell) for c, cell in zip(df.columns, cells)])
+    if cells and all(isinstance(f.dataType, STORED) for f in known.schema):
+        # Written down once: what the rows come from may cost more than all passes over them.
+        spark, folder = df.sparkSession, work_folder(df.sparkSession, "cells")
+        known.write.parquet(folder)
+        known = spark.read.schema(known.schema).parquet(folder)
     found = {}
     for at in range(0, len(cells), TOGETHER):
         part = known.select(*cells[at : at + TOGETHER])
@@ -126,13 +134,13 @@ def top_counts(cells: DataFrame) -> dict[str, Row]:
     for position, c in enumerate(names):
         # In a grouping id the bit of the one grouped column is 0, all others are 1.
         own_set = (1 << len(names)) - 1 - (1 << (len(names) - 1 - position))
-        counted = (F.col("set_id") == own_set) & F.col(c).isNotNull()
-        n = F.when(counted, F.col("n"))
+        # Rows of other sets are filtered before anything is made of them.
+        counted = f"FILTER (WHERE set_id = {own_set} AND {c} IS NOT NULL)"
         tops.append(
             F.struct(
-                F.max(n).alias("n"),
-                F.min_by(c, F.when(counted, F.struct(-F.col("n"), c))).alias("first"),
-                F.max_by(c, F.when(counted, F.struct("n", c))).alias("last"),
+                F.expr(f"max(n) {counted}").alias("n"),
+                F.expr(f"min_by({c}, struct(-n, {c})) {counted}").alias("first"),
+                F.expr(f"max_by({c}, struct(n, {c})) {counted}").alias("last"),
             ).alias(c)
         )
     return counts.agg(*tops).first().asDict()

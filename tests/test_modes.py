@@ -98,3 +98,16 @@ def test_empty_tables_and_odd_names(spark):
     rows = spark.createDataFrame([("u", 1, None), ("u", None, 2.0), (None, 1, 2.0)], kinds)
     assert [tuple(r) for r in clean.fill_mode(rows).collect()] == [("u", 1, 2.0)] * 3
     assert clean.column_modes(rows).schema == rows.schema
+
+
+def test_the_rows_are_made_once(spark):
+    made_rows = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            made_rows.add(batch.num_rows)
+            yield batch
+
+    table = spark.range(500).selectExpr("id % 7 AS a", "concat('t', id) AS b", "id / 3 AS c")
+    assert modes.exact_modes(table.mapInArrow(seen, table.schema)) == [0, "t0", 0.0]
+    assert made_rows.value == 500
