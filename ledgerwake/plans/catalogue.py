@@ -487,20 +487,22 @@ def csv_rejects(spark, sf_dir):
 
 
 def csv_stream(spark, sf_dir):
-    """Three files with their columns in different orders, one micro-batch each; some amounts are text."""
+    """Files with their columns in three orders, one micro-batch each; some amounts are text."""
     folder, rows = work_folder(spark, "csv-stream"), _named(_dataset(spark, sf_dir))
+    files = tables.csv_files(spark, sf_dir)
     amount = F.when(F.col("l_suppkey") % 10 == 1, "unknown").otherwise(F.col("amount").cast("string"))
     cells = rows.select(
         F.col("transaction_id").alias("id"), amount.alias("amount"), F.lit("more").alias("note"),
         (F.col("l_partkey") % 3).alias("k"),
     )
     for k, names in enumerate((["id", "amount"], ["amount", "id"], ["note", "amount", "id"])):
-        file_sink.write_csv(cells.filter(F.col("k") == k).select(names).coalesce(1), f"{folder}/in", "append")
+        ordered = cells.filter(F.col("k") == k).select(names)
+        file_sink.write_csv(file_source.dealt(ordered, files), f"{folder}/in", "append")
     schema = T.StructType(
         [T.StructField("id", T.StringType()), T.StructField("amount", T.DoubleType())]
     )
     pipelines.csv_stream(
-        file_source.stream_csv_paths(spark, f"{folder}/in", 1),
+        file_source.stream_csv_paths(spark, f"{folder}/in", files),
         schema,
         lambda good, batch_id: good.write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}"),
         f"{folder}/state",

@@ -106,6 +106,15 @@ def slice_files(spark: SparkSession, sf_dir: str) -> int:
     return 1 + table(spark, sf_dir, "events").count() // (4 * SLICE_ROWS)
 
 
+# Rows of one CSV file, where a folder of them is made.
+CSV_ROWS = 2_000_000
+
+
+def csv_files(spark: SparkSession, sf_dir: str) -> int:
+    """Files for each third of the lines, so that no task writes or reads a whole large one."""
+    return 1 + table(spark, sf_dir, "lineitem").count() // (3 * CSV_ROWS)
+
+
 def gappy_transactions(transactions: DataFrame) -> DataFrame:
     """Line transactions as doubles with gaps: nulls and NaN placed by other columns."""
     line_no, gender = F.col("l_linenumber"), F.col("customer_gender")

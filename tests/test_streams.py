@@ -301,3 +301,35 @@ def test_large_slices_are_several_files_of_one_micro_batch(spark, folder, monkey
     topic = catalogue._sent(spark, f"{folder}/sf", f"{folder}/sent")
     assert len(glob.glob(f"{folder}/sent/topic/part-*")) == 4 * 5
     assert topic.isStreaming
+
+
+def small_lines(spark, sf_dir):
+    """The tables that lines are made of, one file each."""
+    day = datetime(2024, 1, 5)
+    made = {
+        "nation": ([(0, "N0"), (1, "N1")], "n_nationkey int, n_name string"),
+        "supplier": ([(n, n % 2) for n in range(20)], "s_suppkey long, s_nationkey int"),
+        "customer": ([(n, "ABFH"[n % 4], 10.0 * n) for n in range(8)], "c_custkey long, c_mktsegment string, c_acctbal double"),
+        "orders": ([(n, n % 8, day) for n in range(40)], "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz"),
+        "lineitem": (
+            [(n % 40, n % 7 + 1, n, n % 20, 1.5 * n, "RN"[n % 2], day) for n in range(600)],
+            "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double, "
+            "l_returnflag string, l_shipdate timestamp_ntz",
+        ),
+    }
+    for name, (cells, kind) in made.items():
+        spark.createDataFrame(cells, kind).coalesce(1).write.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def test_large_csv_parts_are_several_files_of_one_micro_batch(spark, folder, monkeypatch):
+    small_lines(spark, f"{folder}/sf")
+    root = spark.conf.get("spark.checkpoint.dir")
+    found = {}
+    for rows_of_a_file, files_of_a_part in ((1000, 1), (40, 6)):
+        monkeypatch.setattr(tables, "CSV_ROWS", rows_of_a_file)
+        before = set(glob.glob(f"{root}/csv-stream-*"))
+        found[rows_of_a_file] = sorted(map(str, catalogue.csv_stream(spark, f"{folder}/sf").collect()))
+        (made,) = set(glob.glob(f"{root}/csv-stream-*")) - before
+        assert len(glob.glob(f"{made}/in/part-*")) == 3 * files_of_a_part
+        assert len(glob.glob(f"{made}/out/batch=*")) == 3
+    assert found[1000] == found[40] and len(found[40]) == 600
