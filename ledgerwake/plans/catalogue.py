@@ -536,7 +536,7 @@ def bulk_load_events(spark, sf_dir):
     jobs.bulk_load(
         spark,
         f"{folder}/in",
-        lambda messages: messages.write.text(f"{folder}/topic"),
+        lambda messages: messages.write.option("compression", "snappy").text(f"{folder}/topic"),
         f"{folder}/rejected",
         RUN_TS,
         ["transaction_id", "l_partkey", "l_suppkey"],

@@ -333,3 +333,14 @@ def test_large_csv_parts_are_several_files_of_one_micro_batch(spark, folder, mon
         assert len(glob.glob(f"{made}/in/part-*")) == 3 * files_of_a_part
         assert len(glob.glob(f"{made}/out/batch=*")) == 3
     assert found[1000] == found[40] and len(found[40]) == 600
+
+
+def test_bulk_loaded_messages_take_a_part_of_their_length(spark, folder):
+    small_lines(spark, f"{folder}/sf")
+    root = spark.conf.get("spark.checkpoint.dir")
+    before = set(glob.glob(f"{root}/bulk-load-*"))
+    loaded = catalogue.bulk_load_events(spark, f"{folder}/sf").collect()
+    assert sum(r.n for r in loaded) == 600
+    (made,) = set(glob.glob(f"{root}/bulk-load-*")) - before
+    long = spark.read.text(f"{made}/topic").agg(F.sum(F.length("value") + 1)).first()[0]
+    assert 2 * sum(map(os.path.getsize, glob.glob(f"{made}/topic/part-*"))) < long
