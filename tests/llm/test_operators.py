@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -624,6 +625,31 @@ def test_more_text_scores_better_beside_the_base(spark):
     assert gains[1] > gains[0] and gains[1] > 0.2
 
 
+def test_feature_tables_do_not_pass_whole_through_the_driver(spark, monkeypatch):
+    rows = 1 << 19
+    whole = 2 * rows * (language_model.CLASSES + language_model.CELLS_PER_ROW)
+    monkeypatch.setattr(language_model, "feature_rows", lambda distinct: rows)
+    monkeypatch.setattr(language_model, "CHUNK", whole // 10, raising=False)
+    docs = spark.createDataFrame([(n, f"a b c{n} d") for n in range(20)], "doc_id long, text string")
+    tracemalloc.start()
+    try:
+        found = language_model.score(docs)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < whole  # two copies of it before
+    assert all(r["score"] < 0 and r["n_tokens"] == 5 for r in _rows(found))
+
+
+def test_sums_of_groups_of_any_size():
+    rng = np.random.default_rng(5)
+    table, keys = rng.normal(size=(50, 32)).astype(np.float32), np.sort(rng.zipf(1.3, size=900) % 400)
+    order, starts, distinct = language_model._grouped(rng.permutation(keys).astype(np.int64))
+    assert (distinct == np.unique(keys)).all() and sorted(order) == list(range(900))
+    at = order % 50
+    assert (language_model._sums_of(table, at, starts) == np.add.reduceat(table[at], starts, axis=0)).all()
+
+
 def test_class_probabilities_sum_to_one():
     rng = np.random.default_rng(1)
     weights = rng.normal(size=(language_model.FEATURES, language_model.CLASSES)).astype(np.float32)
