@@ -32,6 +32,8 @@ LEXICON = 300
 RUN, SEQUENCE, BATCH = (4, 40), 64, 64
 # Words whose scores a worker remembers, and words that one forward-backward takes.
 MEMO, AT_ONCE = 200_000, 100_000
+# Words whose features are hashed at once.
+HASHED = 20_000
 UNKNOWN = "und"
 
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -53,6 +55,72 @@ def features_of(word: str, lexicon: dict[str, list[int]]) -> list[int]:
     return [zlib.crc32(name.encode()) % FEATURES for name in names]
 
 
+def _crc_table() -> np.ndarray:
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = np.where(table & 1, (table >> 1) ^ np.uint32(0xEDB88320), table >> 1)
+    return table
+
+
+_CRC = _crc_table()
+
+
+def _crc_on(state: np.ndarray, chars: np.ndarray) -> np.ndarray:
+    """CRC-32 states, not inverted at the end, after one more code point each in UTF-8."""
+
+    def fed(state: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        return _CRC[(state ^ byte) & 255] ^ (state >> 8)
+
+    if not len(chars) or chars.max() < 0x80:
+        return fed(state, chars)
+    bounds = [chars < 0x80, chars < 0x800, chars < 0x10000]
+    lead = np.select(bounds, [chars, 0xC0 | chars >> 6, 0xE0 | chars >> 12], 0xF0 | chars >> 18)
+    state = fed(state, lead)
+    for short, shift in zip(reversed(bounds), (12, 6, 0)):
+        at = np.flatnonzero(~short)
+        state[at] = fed(state[at], 0x80 | chars[at] >> shift & 63)
+    return state
+
+
+def feature_table(words: list[str], lexicon: dict[str, list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """`features_of` each word, one after another, and how many each has."""
+    chars = np.frombuffer("".join(f"^{w}$" for w in words).encode("utf-32-le"), dtype=np.uint32)
+    length = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    listed = [(n, lexicon[w]) for n, w in enumerate(words) if w in lexicon]
+    sizes = 8 + 2 * length
+    for n, labels in listed:
+        sizes[n] += len(labels)
+    at = np.cumsum(sizes) - sizes
+    found = np.empty(int(sizes.sum()), dtype=np.uint32)
+    whole = zlib.crc32(b"w")
+    found[at] = np.fromiter((zlib.crc32(w.encode(), whole) for w in words), np.uint32, len(words))
+    first = np.cumsum(length + 2) - length - 1
+    last = first + length - 1
+    start, end = (np.full(len(words), ~np.uint32(zlib.crc32(x))) for x in (b"p", b"s"))
+    for n in (1, 2, 3):
+        more = np.flatnonzero(length >= n)
+        start[more] = _crc_on(start[more], chars[first[more] + n - 1])
+        found[at + n] = ~start
+        tail = end[more]
+        for k in range(n - 1, -1, -1):
+            tail = _crc_on(tail, chars[last[more] - k])
+        found[at + 3 + n] = found[at + 2 + n] if n > 1 else 0
+        found[at[more] + 3 + n] = ~tail
+    # Runs of two and three, from each place but the last ones of a word.
+    two = _crc_on(_crc_on(np.full(len(chars), ~np.uint32(0)), chars)[:-1], chars[1:])
+    three = _crc_on(two[:-1], chars[2:])
+    owner = np.repeat(np.arange(len(words)), length + 2)
+    place = np.arange(len(chars)) - first[owner] + 1
+    inside = np.flatnonzero(place <= length[owner])
+    found[at[owner[inside]] + 7 + place[inside]] = ~two[inside]
+    inside = np.flatnonzero(place < length[owner])
+    found[(at + 8 + length)[owner[inside]] + place[inside]] = ~three[inside]
+    for n, labels in listed:
+        stop = at[n] + sizes[n]
+        found[stop - len(labels) : stop] = [zlib.crc32(f"l{label}".encode()) for label in labels]
+    return (found % FEATURES).astype(np.int32), sizes
+
+
 @dataclass
 class Model:
     labels: list[str]
@@ -62,19 +130,25 @@ class Model:
     lexicon: dict[str, list[int]]
 
     def scores(self, words: list[str]) -> np.ndarray:
-        rows = [features_of(w, self.lexicon) for w in words]
-        ends = np.cumsum([len(r) for r in rows])
-        flat = np.fromiter((f for r in rows for f in r), dtype=np.int64, count=int(ends[-1]))
-        return np.add.reduceat(self.weights[flat], np.concatenate([[0], ends[:-1]]), axis=0)
+        out = []
+        for n in range(0, len(words), HASHED):
+            flat, sizes = feature_table(words[n : n + HASHED], self.lexicon)
+            out.append(np.add.reduceat(self.weights[flat], np.cumsum(sizes) - sizes, axis=0))
+        return np.concatenate(out)
 
 
 def posteriors(
-    scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray, starts: np.ndarray
+    scores: np.ndarray,
+    lengths: np.ndarray,
+    moves: np.ndarray,
+    starts: np.ndarray,
+    expect: bool = True,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Label probabilities of every word by forward-backward, expected moves and start labels.
 
     `scores` holds the sequences one after another; `lengths` must not increase and be at
-    least 1.  A step advances all sequences that are still long enough.
+    least 1.  A step advances all sequences that are still long enough.  Only training needs
+    the expected moves; they are zero unless `expect`.
     """
     steps, labels = int(lengths[0]), len(starts)
     starts_at = np.concatenate([[0], np.cumsum(lengths)[:-1]])
@@ -94,8 +168,9 @@ def posteriors(
     for t in range(steps - 1, 0, -1):
         at = starts_at[: active[t]] + t
         after = backward[at] * shifted[at]
-        pair = forward[at - 1][:, :, None] * jump * after[:, None, :]
-        expected += (pair / pair.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+        if expect:
+            pair = forward[at - 1][:, :, None] * jump * after[:, None, :]
+            expected += (pair / pair.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
         before = after @ jump.T
         backward[at - 1] = before / before.sum(axis=1, keepdims=True)
     both = forward * backward
@@ -232,7 +307,7 @@ class _Labeller:
         ids = self._ids([w for _, words in split for w in words])
         lengths = np.array([len(words) for _, words in split])
         found, _, _ = posteriors(
-            self.table[ids].astype(np.float64), lengths, self.model.moves, self.model.starts
+            self.table[ids].astype(np.float64), lengths, self.model.moves, self.model.starts, expect=False
         )
         first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
         out[[n for n, _ in split]] = np.add.reduceat(of_words(found), first, axis=0) / lengths[:, None]

@@ -335,6 +335,19 @@ def test_clean_code_switched_texts_stay(spark):
     assert language_id.keep_known(frame.filter("doc_id = -5"), model).count() == 0
 
 
+def test_features_of_many_words_at_once(monkeypatch):
+    words = ["a", "ab", "abc", "stra\u00dfe", "\u00e9", "\u00e9a", "\u4e2d\u6587\u5b57", "x\U00010428", "z" * 300]
+    lexicon, rng = {"ab": [0, 1], "\u00e9": [1]}, np.random.default_rng(6)
+    weights = rng.normal(size=(language_id.FEATURES, 2))
+    wanted = [language_id.features_of(w, lexicon) for w in words]
+    monkeypatch.setattr(language_id, "features_of", None)  # a call for each word took too long
+    monkeypatch.setattr(language_id, "HASHED", 4, raising=False)
+    model = language_id.Model(["p", "q"], weights, np.zeros((2, 2)), np.zeros(2), lexicon)
+    assert model.scores(words) == pytest.approx(np.array([weights[f].sum(axis=0) for f in wanted]))
+    flat, sizes = language_id.feature_table(words, lexicon)
+    assert flat.tolist() == sum(wanted, []) and sizes.tolist() == [len(f) for f in wanted]
+
+
 def test_posteriors_equal_enumeration():
     rng = np.random.default_rng(3)
     scores, moves, starts = rng.normal(size=(4, 2)), rng.normal(size=(2, 2)), rng.normal(size=2)
