@@ -654,6 +654,38 @@ def test_feature_tables_do_not_pass_whole_through_the_driver(spark, monkeypatch)
     assert all(r["score"] < 0 and r["n_tokens"] == 5 for r in _rows(found))
 
 
+@pytest.mark.parametrize("shards", [1, 7, 60])
+def test_a_shard_holds_about_its_part_of_the_tokens(shards):
+    rng = np.random.default_rng(6)
+    n, buckets = 300, rng.integers(1, 9, size=(2, language_model.ENDINGS, 4))
+    counts = np.append(rng.integers(1, 200, size=n), 0)
+    counts[:2] = 90_000, 40_000  # two words make up most of the text
+    kinds = rng.integers(0, language_model.CLASSES, size=n + 1).astype(np.int8)
+    zeros = np.zeros(n + 1, dtype=np.uint32)
+    forks = language_model.Forks(language_model.Vocabulary({}, counts, kinds, zeros, kinds[:-1]), buckets)
+    leaves = np.repeat(np.arange(len(forks.place)), np.diff(forks.upto))
+    found = language_model.shard_of(forks, leaves, np.arange(len(leaves)), shards)
+    assert np.bincount(found, minlength=shards).max() <= 2.1 * len(leaves) / shards
+    # All that follows a word is learnt together, unless it is more than a shard.
+    together = np.diff(forks.upto)[leaves] * shards <= len(leaves)
+    met = np.unique(np.stack([leaves, found])[:, together], axis=1)
+    assert len(np.unique(met[0])) == met.shape[1]
+
+
+def test_tasks_hold_shards_that_do_not_grow(spark, monkeypatch):
+    """The texts go to more shards, not to larger ones, and no shard's tables outgrow its size."""
+    docs, made = table(spark, SF_DIR, "documents"), []
+    dealt, learnt = language_model._dealt, language_model._learnt
+    monkeypatch.setattr(language_model, "SHARD", 50_000)
+    monkeypatch.setattr(language_model, "IN_SHARD", 2_000)
+    monkeypatch.setattr(language_model, "_dealt", lambda *given: made.append(given[-1]) or dealt(*given))
+    monkeypatch.setattr(language_model, "_learnt", lambda *given: made.append(given[-1]) or learnt(*given))
+    found = [r for r in _check_scores(docs) if r["held_out"]]
+    size = sum(len((t or "").encode()) + 1 for _, t in _texts(docs))
+    assert made == [1 + size // 50_000, language_model.FEATURES] and made[0] > 5
+    assert sum(r["score"] for r in found) > sum(r["base_score"] for r in found)
+
+
 def test_sums_of_groups_of_any_size():
     rng = np.random.default_rng(5)
     table, keys = rng.normal(size=(50, 32)).astype(np.float32), np.sort(rng.zipf(1.3, size=900) % 400)
