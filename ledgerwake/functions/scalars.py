@@ -47,6 +47,18 @@ def content_id(*columns: Column) -> Column:
     return F.md5(F.concat_ws("|", *parts))
 
 
+def packed_id(text: Column) -> Column:
+    """An id as bytes, other bytes for each other id; one that ends in a `content_id` takes 15 bytes less.
+
+    A last byte of 1 tells that the first 16 stand for 32 digits at the end of the text.
+    """
+    digest = F.right(text, F.lit(32))
+    start = F.left(text, F.length(text) - 32).cast("binary")
+    packed = F.concat(F.unhex(digest), start, F.lit(b"\x01"))
+    whole = F.concat(text.cast("binary"), F.lit(b"\x00"))
+    return F.when(digest.rlike(r"\A[0-9a-f]{32}\z"), packed).otherwise(whole)
+
+
 def hash_share(key: Column, seed: str) -> Column:
     """Number in [0, 1) fixed by key and seed, the same on every partitioning."""
     digest = F.md5(F.concat_ws(":", F.lit(seed), key))

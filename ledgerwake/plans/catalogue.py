@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerwake.functions import events
+from ledgerwake.functions.scalars import packed_id
 from ledgerwake.operators import clean, detect, keyed, profile, summary, telemetry, validate
 from ledgerwake.plans import jobs
-from ledgerwake.session import use_utc, work_folder
+from ledgerwake.session import brief_shuffles, use_utc, work_folder
 from ledgerwake.sinks import files as file_sink
 from ledgerwake.sinks import layouts
 from ledgerwake.sources import files as file_source
@@ -30,12 +31,12 @@ EVENT_LIMITS = detect.Limits(relative_share=0.5, absolute=200)
 WRITE_ORDER = ["event_time", "l_partkey", "l_suppkey"]
 
 
-def _lines(spark, sf_dir):
-    return tables.line_transactions(spark, sf_dir)
+def _lines(spark, sf_dir, send_places=False):
+    return tables.line_transactions(spark, sf_dir, send_places)
 
 
-def _gappy(spark, sf_dir):
-    return tables.gappy_transactions(_lines(spark, sf_dir))
+def _gappy(spark, sf_dir, send_places=False):
+    return tables.gappy_transactions(_lines(spark, sf_dir, send_places))
 
 
 def _events(spark, sf_dir):
@@ -356,9 +357,9 @@ def validate_counts(spark, sf_dir):
 # --- cleaning --------------------------------------------------------------------------
 
 
-def _dataset(spark, sf_dir):
+def _dataset(spark, sf_dir, send_places=False):
     """The lines with gaps under the CSV dataset's column names, plus a row key."""
-    return _gappy(spark, sf_dir).select(
+    return _gappy(spark, sf_dir, send_places).select(
         "transaction_id",
         "l_partkey",
         "l_suppkey",
@@ -434,10 +435,10 @@ def row_counts(spark, sf_dir):
 # --- CSV jobs --------------------------------------------------------------------------
 
 
-def _csv_dataset(spark, sf_dir, purpose):
+def _csv_dataset(spark, sf_dir, purpose, send_places=False, **options):
     folder = work_folder(spark, purpose)
-    rows = _dataset(spark, sf_dir)
-    file_sink.write_csv(rows, f"{folder}/in")
+    rows = _dataset(spark, sf_dir, send_places)
+    file_sink.write_csv(rows, f"{folder}/in", **options)
     return folder, rows.schema
 
 
@@ -531,24 +532,37 @@ def csv_sign_job(spark, sf_dir):
 
 
 def bulk_load_events(spark, sf_dir):
-    """CSV to event messages and back to transactions, without the generated ids."""
-    folder, schema = _csv_dataset(spark, sf_dir, "bulk-load")
+    """CSV to event messages and back to transactions, without the generated ids.
+
+    Nothing stays on disk longer than it is needed: the shuffles of the joins go once the CSV is
+    written, the CSV goes once it is loaded.
+    """
+    with brief_shuffles(spark):
+        folder, schema = _csv_dataset(spark, sf_dir, "bulk-load", True, **file_sink.SMALL)
     jobs.bulk_load(
         spark,
         f"{folder}/in",
-        lambda messages: messages.write.option("compression", "snappy").text(f"{folder}/topic"),
+        lambda messages: messages.write.options(**file_sink.SMALL).text(f"{folder}/topic"),
         f"{folder}/rejected",
         RUN_TS,
         ["transaction_id", "l_partkey", "l_suppkey"],
         schema,
     )
+    file_sink.remove(spark, f"{folder}/in")
     messages = file_source.read_messages(spark, f"{folder}/topic")
-    loaded = events.good(events.decode(messages))
+    loaded, keys = events.good(events.decode(messages)), ["customer_id", "customer_location", "event_time"]
+    # Nearly every id is another one, so rows are dealt out as they are: counting them in the
+    # task that reads them would make none fewer and fill its memory.
+    ids = loaded.select(
+        *keys,
+        packed_id(F.col("transaction_id")).alias("id"),
+        F.when(F.col("transaction_amount_inr").isNotNull(), 1).alias("has_amount"),
+    ).repartition(*keys, "id")
     return _plain(
-        loaded.groupBy("customer_id", "customer_location", "event_time").agg(
+        ids.groupBy(*keys).agg(
             F.count("*").alias("n"),
-            F.count("transaction_amount_inr").alias("n_amounts"),
-            F.count_distinct("transaction_id").alias("n_ids"),
+            F.count("has_amount").alias("n_amounts"),
+            F.count_distinct("id").alias("n_ids"),
         )
     )
 

@@ -109,10 +109,12 @@ def bulk_load(
 
     A topic write can repeat rows after a task failure.  With `row_key` a repeated row
     keeps its id, so insert-ignore downstream removes it.  Rows that do not fit the schema
-    go to the rejected path.
+    go to the rejected path.  The files are parsed as the messages are written, without a copy,
+    and once more only where a row did not fit.
     """
-    rows = _fitting(spark, source, schema, rejected_path)
-    sent = Observation("sent")
+    unfit, sent = Observation("unfit"), Observation("sent")
+    rows, rejected = file_source.split_csv(spark, source, schema, unfit=unfit)
     transactions = events.events_from_csv(rows, run_ts, row_key)
     publish(events.to_messages(transactions).observe(sent, F.count("*").alias("n")))
+    file_sink.overwrite(rejected if unfit.get["n"] else rejected.limit(0), rejected_path)
     return sent.get["n"]

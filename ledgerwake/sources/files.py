@@ -24,6 +24,7 @@ def split_csv(
     multi_line: bool = False,
     stage: str | None = None,
     ragged: Observation | None = None,
+    unfit: Observation | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Rows of a CSV dataset, and the rows that do not fit with `reject_reasons`.
 
@@ -40,7 +41,9 @@ def split_csv(
 
     Both sides parse the files again each time they are read.  With `stage` the judged rows are
     written to that folder once, and both sides read them from there.  The pass that finds the
-    types out notes in `ragged` how many rows are; no other row can fail then.
+    types out notes in `ragged` how many rows are; no other row can fail then.  The first pass
+    over the rows that fit notes in `unfit` how many do not, so without a stage the other side
+    need be read only where there are some.
     """
     # Cells stay text at first: the reader knows just one spelling of null.  No value of
     # its own may stand for null or the empty string here.
@@ -77,10 +80,12 @@ def split_csv(
     if stage:
         judged.write.parquet(stage)
         judged = spark.read.schema(judged.schema).parquet(stage)
-    good = judged.filter(F.size("reject_reasons") == 0).select(
+    fails = F.size("reject_reasons") > 0
+    seen = judged.observe(unfit, F.count(F.when(fails, 1)).alias("n")) if unfit else judged
+    good = seen.filter(~fails).select(
         *[value.alias(n) for n, value in cast.items()], *[F.col(f"`{n}`") for n in further]
     )
-    return good, judged.filter(F.size("reject_reasons") > 0)
+    return good, judged.filter(fails)
 
 
 def _header(spark: SparkSession, reader, path: str | list[str]) -> list[str]:

@@ -16,11 +16,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def line_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+# Suppliers whose places may go to every task, some 40 bytes each; the places of more are joined.
+SENT_PLACES = 1_000_000
+
+
+def line_transactions(spark: SparkSession, sf_dir: str, send_places: bool = False) -> DataFrame:
     """Order lines as bank transactions; the line keys tell repeats apart.
 
     Customers join the orders and nations the suppliers first, so the long table takes
-    part in one join on the order key and one on the supplier key.
+    part in one join on the order key and one on the supplier key.  With `send_places` the second
+    one shuffles no lines while suppliers are at most `SENT_PLACES`.
     """
     holders = table(spark, sf_dir, "orders").join(
         table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")
@@ -28,6 +33,8 @@ def line_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     places = table(spark, sf_dir, "supplier").join(
         table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")
     )
+    if send_places and table(spark, sf_dir, "supplier").count() <= SENT_PLACES:
+        places = F.broadcast(places)
     lines = (
         table(spark, sf_dir, "lineitem")
         .join(holders, F.col("l_orderkey") == F.col("o_orderkey"))

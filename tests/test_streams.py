@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerwake.functions import events
+from ledgerwake.functions.scalars import packed_id
 from ledgerwake.operators import detect, profile, validate
-from ledgerwake.plans import catalogue
-from ledgerwake.schemas import ANOMALIES, PROFILES, RAW_TRANSACTIONS, TRANSACTION_COLUMNS
+from ledgerwake.plans import catalogue, jobs
+from ledgerwake.schemas import ANOMALIES, CSV_SCHEMA, PROFILES, RAW_TRANSACTIONS, TRANSACTION_COLUMNS
+from ledgerwake.session import setting
 from ledgerwake.sinks import layouts
 from ledgerwake.sinks.tables import InsertIgnoreTable, UpsertTable
 from ledgerwake.sources import files, tables
@@ -344,3 +346,78 @@ def test_bulk_loaded_messages_take_a_part_of_their_length(spark, folder):
     (made,) = set(glob.glob(f"{root}/bulk-load-*")) - before
     long = spark.read.text(f"{made}/topic").agg(F.sum(F.length("value") + 1)).first()[0]
     assert 2 * sum(map(os.path.getsize, glob.glob(f"{made}/topic/part-*"))) < long
+
+
+def shuffle_files(spark):
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return {path for made in folders for path in glob.glob(f"{made}/*/shuffle_*")}
+
+
+def test_bulk_load_leaves_nothing_but_its_messages_on_disk(spark, folder, monkeypatch):
+    small_lines(spark, f"{folder}/sf")
+    root, load, left = spark.conf.get("spark.checkpoint.dir"), jobs.bulk_load, []
+
+    def loaded(*given):
+        until = time.time() + 20
+        while shuffle_files(spark) - shuffles and time.time() < until:
+            time.sleep(0.1)
+        left.extend(shuffle_files(spark) - shuffles)
+        return load(*given)
+
+    monkeypatch.setattr(jobs, "bulk_load", loaded)
+    folders, shuffles = set(glob.glob(f"{root}/*")), shuffle_files(spark)
+    rows = catalogue.bulk_load_events(spark, f"{folder}/sf").collect()
+    assert sum(r.n for r in rows) == sum(r.n_ids for r in rows) == 600
+    (made,) = set(glob.glob(f"{root}/*")) - folders
+    assert left == [] and sorted(os.listdir(made)) == ["rejected", "topic"]
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") != "true"
+
+
+def test_bulk_load_sets_aside_what_does_not_fit(spark, folder):
+    schema = T.StructType([*CSV_SCHEMA.fields, T.StructField("key", T.LongType())])
+    line = "c{},1/1/90,F,X,{},10:00,5.0,{}\n"
+    lines = [line.format(n, 10.0 * n, n) for n in range(6)]
+    bad = [line.format(6, "much", 6), "c7,1/1/90\n", line.format(8, 1.0, "x")]
+    os.makedirs(folder)
+    for name, some in (("mixed", lines[:3] + bad + lines[3:]), ("clean", lines), ("none", [])):
+        with open(f"{folder}/{name}.csv", "w") as file:
+            file.writelines([",".join(schema.names) + "\n", *some])
+        sent = jobs.bulk_load(
+            spark, f"{folder}/{name}.csv", lambda messages: messages.write.text(f"{folder}/{name}"),
+            f"{folder}/rejected", "2024-02-01 00:00:00", ["key"], schema,
+        )
+        messages = events.good(events.decode(spark.read.text(f"{folder}/{name}"))).collect()
+        good = [] if name == "none" else [(f"c{n}", 10.0 * n, 5.0) for n in range(6)]
+        assert sent == len(good) and sorted(
+            (m.customer_id, m.customer_account_balance, m.transaction_amount_inr) for m in messages
+        ) == good
+        aside = spark.read.parquet(f"{folder}/rejected")
+        assert aside.columns == [*schema.names, "_ragged_line", "reject_reasons"]
+        found = sorted(r.reject_reasons[0] for r in aside.collect())
+        assert found == (["CustAccountBalance_unfit", "key_unfit", "ragged"] if name == "mixed" else [])
+
+
+def test_places_of_few_suppliers_are_sent_instead_of_shuffling_lines(spark, folder, monkeypatch):
+    small_lines(spark, f"{folder}/sf")
+    found = {}
+    with setting(spark, "spark.sql.autoBroadcastJoinThreshold", "-1"):
+        for most in (19, 20):
+            monkeypatch.setattr(tables, "SENT_PLACES", most)
+            rows = tables.line_transactions(spark, f"{folder}/sf", True)
+            plan = rows._jdf.queryExecution().executedPlan().toString()
+            assert ("hashpartitioning(l_suppkey" in plan) == (most == 19)
+            found[most] = sorted(map(str, rows.collect()))
+    assert found[19] == found[20] and len(found[20]) == 600
+
+
+def test_packed_ids_differ_where_their_texts_do(spark):
+    digest = "0123456789abcdef" * 2
+    texts = [
+        None, "", "-", digest, digest.upper(), f"{digest}\n", f"{digest}0", digest[1:], f"20240201000000-{digest}",
+        f"20240201000001-{digest}", f"20240201000000-{digest[::-1]}", f"\U0001f4b0é-{digest}", f"\x01-{digest}", "\x01",
+    ]
+    rows = spark.createDataFrame([(t,) for t in 2 * texts], "id string").select("id", packed_id(F.col("id")).alias("packed"))
+    assert rows.filter("id IS NULL").select("packed").distinct().collect() == [(None,)]
+    assert rows.agg(F.count_distinct("packed")).first()[0] == len(texts) - 1
+    assert rows.filter("packed IS NULL AND id IS NOT NULL").isEmpty()
+    assert {len(r.packed) for r in rows.collect() if r.id and r.id.startswith("2024")} == {32}
